@@ -23,7 +23,7 @@ _COUNTS = (
 @query("standardize_union", f"SELECT {_TRIP_COLS} FROM trips", _MONEY)
 def standardize_union(t):
     """Two raw schemas in one common schema."""
-    return t.trips
+    return t.two_sources
 
 
 @query("quality_flags", f"SELECT service, pu, dl, miles, time_s, fare, src_month, {_FLAGS} FROM flagged", "miles:4 time_s:4 fare:4")
@@ -47,7 +47,7 @@ def silver_clean(t):
 def _register_gold(name: str) -> None:
     @query(f"gold_{name}", f"SELECT * FROM {name}", SUM_ROUND)
     def build(t):
-        return t.gold(name)
+        return gold.build_gold(t.silver, name)
 
 
 for _name in gold.TABLES:

@@ -16,11 +16,18 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _shift(n: int) -> float:
+    """A step far below the last kept digit: exact halves then round the same way in every engine."""
+    return float(f"3.1e-{n + 2}")
+
+
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round measured columns; adding 0 turns a negative zero into zero."""
-    return df.select(
-        *[(F.round(F.col(c).cast("double"), digits[c]) + F.lit(0.0)).alias(c) if c in digits else F.col(c) for c in df.columns]
-    )
+
+    def one(c: str):
+        return F.round(F.col(c).cast("double") + F.lit(_shift(digits[c])), digits[c]) + F.lit(0.0)
+
+    return df.select(*[one(c).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
 def _digits(spec: str) -> dict[str, int]:
@@ -61,7 +68,7 @@ def query(name: str, sql: str | None = None, round: str = "", ctes: dict[str, st
         run.__doc__ = build.__doc__
         QUERIES[name] = run
         if sql is not None:
-            replace = ", ".join(f'round(CAST("{c}" AS DOUBLE), {n}) + 0.0e0 AS "{c}"' for c, n in digits.items())
+            replace = ", ".join(f'round(CAST("{c}" AS DOUBLE) + {_shift(n)!r}, {n}) + 0.0e0 AS "{c}"' for c, n in digits.items())
             body = f"SELECT * REPLACE ({replace}) FROM ({sql}) AS q" if replace else sql
             ORACLE[name] = with_ctes(body, ctes)
         return build

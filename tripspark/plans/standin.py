@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.config import CleaningRules, ZoneRules
-from tripspark.operators import clean, gold
+from tripspark.operators import clean
+from tripspark.plans.lake import Lake
+from tripspark.session import scratch_path
 from tripspark.sources.trips import standardize_ridehail, standardize_taxi, union_sources
 
 RULES = CleaningRules(last_zone=24)
@@ -104,9 +106,9 @@ CTES["od_month"] = f"SELECT service, strftime(d, '%Y-%m') AS ym, pu, dl, {_SUMS}
 
 RAW_RIDEHAIL = {
     "hvfhs_license_num": "CASE WHEN l_returnflag = 'R' THEN 'HV0005' ELSE 'HV0003' END",
-    "request_datetime": "CASE WHEN l_linenumber <> 7 THEN ts0 - make_dt_interval(0, 0, 0, (l_suppkey * 97 + l_linenumber * 131) % 9000 - 60) END",
+    "request_datetime": "CASE WHEN l_linenumber <> 7 THEN timestampadd(SECOND, 60 - (l_suppkey * 97 + l_linenumber * 131) % 9000, ts0) END",
     "pickup_datetime": "CASE WHEN l_orderkey % 997 = 0 AND l_linenumber = 1 THEN NULL ELSE ts0 END",
-    "dropoff_datetime": "ts0 + make_dt_interval(0, 0, 0, secs)",
+    "dropoff_datetime": "timestampadd(SECOND, secs, ts0)",
     "PULocationID": "pz",
     "DOLocationID": "dz",
     "trip_miles": "dist",
@@ -168,7 +170,7 @@ class StandIn:
         timed = joined.withColumn("day0", F.date_add(F.lit("2022-01-01").cast("date"), days))
         return timed.select(
             "*",
-            F.expr("CAST(day0 AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, (l_orderkey * 7919 + l_partkey * 101) % 86400)").alias("ts0"),
+            F.expr("timestampadd(SECOND, (l_orderkey * 7919 + l_partkey * 101) % 86400, CAST(day0 AS TIMESTAMP_NTZ))").alias("ts0"),
             F.expr("(l_partkey * 37 + l_suppkey * 11 + l_linenumber) % 15000").alias("secs"),
             F.expr("floor(l_extendedprice) / 100D").alias("price"),
             F.expr("l_quantity * CASE WHEN l_partkey % 97 = 0 THEN 0 WHEN l_partkey % 89 = 0 THEN 3 ELSE 1 END").alias("dist"),
@@ -190,12 +192,45 @@ class StandIn:
         return picked.select(*[F.expr(e).alias(n) for n, e in RAW_TAXI.items()])
 
     @cached_property
-    def trips(self) -> DataFrame:
-        """Both sources in the common schema."""
+    def two_sources(self) -> DataFrame:
+        """Both raw schemas, standardised and united: the way separate monthly files are read."""
         return union_sources(
             standardize_ridehail(self.raw_ridehail, keep=("src_month",)), standardize_taxi(self.raw_taxi, keep=("src_month",))
         )
 
+    @cached_property
+    def trips(self) -> DataFrame:
+        """The same rows in one pass, since here both sources come from one table."""
+        hail = "l_linestatus = 'O'"
+        columns = {
+            "service": f"CASE WHEN {hail} THEN 'hvfhv' ELSE 'yellow' END",
+            "company_code": f"CASE WHEN NOT {hail} THEN 'YELLOW' WHEN l_returnflag = 'R' THEN 'HV0005' ELSE 'HV0003' END",
+            "request_ts": f"CASE WHEN {hail} AND l_linenumber <> 7"
+            " THEN timestampadd(SECOND, 60 - (l_suppkey * 97 + l_linenumber * 131) % 9000, ts0) END",
+            "pickup_ts": RAW_RIDEHAIL["pickup_datetime"],
+            "dropoff_ts": RAW_RIDEHAIL["dropoff_datetime"],
+            "pu": "pz",
+            "dl": "dz",
+            "miles": "dist",
+            "time_s": f"CASE WHEN {hail} OR NOT (l_orderkey % 997 = 0 AND l_linenumber = 1) THEN CAST(secs AS DOUBLE) END",
+            "fare": "price",
+            "tolls": "price * l_tax",
+            "bcf": "0.0D",
+            "tax": "0.5D",
+            "cong_sur": "CASE WHEN l_linenumber = 3 THEN 0.0D ELSE 2.75D END",
+            "airport_fee": "CASE WHEN dz % 5 = 0 THEN 1.25D ELSE 0.0D END",
+            "cbd_fee": "toll_fee",
+            "tips": "price * l_discount",
+            "driver_pay": f"CASE WHEN {hail} AND l_partkey % 301 <> 0 THEN price * (1 - l_discount) END",
+            "shared_req": f"CAST({hail} AND l_returnflag = 'R' AS INT)",
+            "shared_match": f"CAST({hail} AND l_returnflag = 'R' AND l_linenumber <= 3 AS INT)",
+            "wav_req": f"CAST({hail} AND l_linenumber = 7 AS INT)",
+            "total_amount": f"CASE WHEN NOT {hail} THEN price + 3.0D END",
+            "payment_type": f"CASE WHEN NOT {hail} THEN l_linenumber END",
+            "src_month": "src_month",
+        }
+        return self.lines.select(*[F.expr(e).alias(n) for n, e in columns.items()])
+
     @cached_property
     def dim_zone(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -215,7 +250,26 @@ class StandIn:
 
     @cached_property
     def silver(self) -> DataFrame:
+        """Cleaned trips as one lazy plan from the raw tables."""
         return clean.derive_columns(self.flagged, self.dim_zone, RULES)
 
+    @cached_property
+    def lake(self) -> Lake:
+        """Cleaned trips and aggregates as written tables, shared by all queries of the application."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _LAKES:
+            _LAKES[key] = Lake(self.spark, scratch_path(self.spark, "lake"))
+        lake = _LAKES[key]
+        lake.source = self.silver
+        return lake
+
     def gold(self, name: str) -> DataFrame:
-        return gold.build_gold(self.silver, name)
+        """An aggregate table, read from the lake."""
+        return self.lake.gold(name)
+
+    @property
+    def stored_silver(self) -> DataFrame:
+        return self.lake.silver()
+
+
+_LAKES: dict[tuple[str, str], Lake] = {}
