@@ -48,7 +48,7 @@ def t_two_sided(t: float | None, df: float) -> float | None:
     """P(|T| >= |t|)."""
     if t is None or math.isnan(t) or df <= 0:
         return None
-    return beta_inc(df / 2.0, 0.5, df / (df + t * t))
+    return float(beta_inc(df / 2.0, 0.5, df / (df + t * t)))
 
 
 def t_quantile(p: float, df: float) -> float:

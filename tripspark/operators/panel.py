@@ -59,7 +59,7 @@ def balanced_units(cells: DataFrame, unit: list[str], period: str, min_pre: floa
 
 def _treatment(df: DataFrame, post: Column, groups: Groups) -> DataFrame:
     df = df.withColumns({"treat": flag(F.col("grp") == groups.treated), "post": flag(post)})
-    return df.withColumn("D", F.col("treat") * F.col("post"))
+    return df.withColumn("tp", F.col("treat") * F.col("post"))
 
 
 def zone_week(
@@ -94,11 +94,12 @@ def zone_day(
     pre_days: float = 366.0,
     policy=POLICY_DATE,
     names: Groups = GROUPS,
-    since: str = "2024-01-01",
+    first: str = "2024-01-01",
+    last: str = "2025-12-31",
 ) -> DataFrame:
     """Zone × day panel of large zones; missing days stay missing."""
     rows = table if service is None else table.where(F.col("service") == service)
-    rows = rows.where(F.col("d") >= _day(since)).groupBy("zone", "d").agg(*[F.sum(c).alias(c) for c in MEASURE_NAMES])
+    rows = rows.where(F.col("d").between(_day(first), _day(last))).groupBy("zone", "d").agg(*[F.sum(c).alias(c) for c in MEASURE_NAMES])
     cells = rows.join(zones.where(F.col("grp").isin(*groups)).select("zone", "grp", "borough"), "zone")
     volume = cells.groupBy("zone").agg((F.sum(F.when(F.col("d") < _day(policy), F.col("n"))) / pre_days).alias("w_pre"))
     out = _treatment(cells.join(volume.where(F.col("w_pre") >= min_daily), "zone"), F.col("d") >= _day(policy), names)
@@ -137,7 +138,7 @@ def od_panel(
             "post": flag(F.col("period") >= F.lit(policy)),
         }
     )
-    return add_ratios(out.withColumn("D", F.col("treat") * F.col("post")))
+    return add_ratios(out.withColumn("tp", F.col("treat") * F.col("post")))
 
 
 def zone_hour_bins(
@@ -149,16 +150,17 @@ def zone_hour_bins(
     pre_days: float = 366.0,
     period: Column | None = None,
     first: str = "2024-01",
+    last: str = "2025-12",
     policy: str = "2025-01",
     names: Groups = GROUPS,
 ) -> DataFrame:
     """Zone × hour bin × period table of large zones."""
     rows = table if service is None else table.where(F.col("service") == service)
-    rows = rows.where(F.col("ym") >= first)
+    rows = rows.where(F.col("ym").between(first, last))
     rows = rows.join(zones.where(F.col("grp").isin(*groups)).select("zone", "grp"), "zone")
-    volume = rows.groupBy("zone").agg((F.sum(F.when(F.col("ym") < policy, F.col("n"))) / pre_days).alias("w_pre"))
-    key = (F.col("ym") if period is None else period).alias("period")
-    cells = rows.groupBy("zone", "grp", key, hour_bin("hr").alias("hbin")).agg(*[F.sum(c).alias(c) for c in MEASURE_NAMES])
+    rows = rows.withColumn("period", F.col("ym") if period is None else period)
+    volume = rows.groupBy("zone").agg((F.sum(F.when(F.col("period") < policy, F.col("n"))) / pre_days).alias("w_pre"))
+    cells = rows.groupBy("zone", "grp", "period", hour_bin("hr").alias("hbin")).agg(*[F.sum(c).alias(c) for c in MEASURE_NAMES])
     out = cells.join(volume.where(F.col("w_pre") >= min_daily), "zone")
     return add_ratios(_treatment(out, F.col("period") >= F.lit(policy), names))
 

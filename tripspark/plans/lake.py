@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tripspark.operators import gold
@@ -33,3 +35,16 @@ class Lake:
             gold.build_gold(self.silver(), name).write.mode("overwrite").option("compression", "zstd").parquet(self._path(name))
             self._written.add(name)
         return self.spark.read.parquet(self._path(name))
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._written
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self._path(name))
+
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table (a panel, say), written when first asked for."""
+        if name not in self._written:
+            build().write.mode("overwrite").option("compression", "zstd").parquet(self._path(name))
+            self._written.add(name)
+        return self.read(name)

@@ -1,7 +1,7 @@
 """Trip tables derived from the star-schema test tables, as DataFrames and as the same SQL.
 
-The test data holds no trips. Each order line stands for one trip: the customer's nation is the
-pick-up zone, the supplier's nation the drop-off zone, the order date (rescaled to the 48 study
+The test data holds no trips. Each order line stands for one trip: the customer's nation
+(spread by part) is the pick-up zone, the supplier's nation the drop-off zone, the order date (rescaled to the 48 study
 months) the pick-up day. Everything downstream is the library's own code.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.config import CleaningRules, ZoneRules
-from tripspark.operators import clean
+from tripspark.operators import clean, panel
 from tripspark.plans.lake import Lake
 from tripspark.session import scratch_path
 from tripspark.sources.trips import standardize_ridehail, standardize_taxi, union_sources
@@ -26,7 +26,7 @@ MIN_DAILY = 0.5
 
 CTES: dict[str, str] = {
     "raw_lines": """
-SELECT l.*, CAST(c_nationkey + 1 AS INTEGER) AS pz, CAST(s_nationkey + 1 AS INTEGER) AS dz,
+SELECT l.*, CAST((c_nationkey + l_partkey) % 25 + 1 AS INTEGER) AS pz, CAST(s_nationkey + 1 AS INTEGER) AS dz,
        DATE '2022-01-01' + CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) * 1461 // 2404 AS INTEGER) AS day0,
        (l_orderkey * 7919 + l_partkey * 101) % 86400 AS sec0
 FROM lineitem AS l JOIN orders ON l_orderkey = o_orderkey
@@ -104,6 +104,56 @@ CTES["company_grp_day"] = f"SELECT service, company_code, d, pu_grp, do_grp, {_S
 CTES["zone_hour_month"] = f"SELECT service, strftime(d, '%Y-%m') AS ym, pu AS zone, hr, {_SUMS} FROM silver GROUP BY ALL"
 CTES["od_month"] = f"SELECT service, strftime(d, '%Y-%m') AS ym, pu, dl, {_SUMS} FROM silver GROUP BY ALL"
 
+_SUM_COLS = "n fare pay miles time_s tips cbd rider_cost cong_sur tolls wait_sum wait_n shared_req n_cbd".split()
+_SUM_LIST = ", ".join(f"sum({c}) AS {c}" for c in _SUM_COLS)
+RATIO_SQL = """ln(n) AS ln_n, fare / nullif(miles, 0) AS fare_pm, pay / nullif(miles, 0) AS pay_pm, fare / nullif(n, 0) AS fare_pt,
+  pay / nullif(n, 0) AS pay_pt, miles / nullif(time_s / 3600.0e0, 0) AS mph, time_s / nullif(n, 0) / 60.0e0 AS min_pt,
+  miles / nullif(n, 0) AS miles_pt, wait_sum / nullif(wait_n, 0) AS wait, rider_cost / nullif(n, 0) AS rider_pt,
+  cbd / nullif(n, 0) AS cbd_pt, tips / nullif(n, 0) AS tips_pt, 100.0e0 * pay / nullif(fare, 0) AS pay_share,
+  100.0e0 * n_cbd / nullif(n, 0) AS cbd_share, 100.0e0 * shared_req / nullif(n, 0) AS shared_pct"""
+_QUARTER = "substr(ym, 1, 4) || '-Q' || CAST((CAST(substr(ym, 6, 2) AS INTEGER) + 2) // 3 AS VARCHAR)"
+
+
+def _week_ctes(prefix: str, groups: str, extra: str) -> None:
+    CTES[f"{prefix}_cells"] = f"""SELECT * FROM (SELECT zone, d - CAST(dayofweek(d) AS INTEGER) AS wk, {_SUM_LIST}, {extra} FROM zone_day_pu
+      WHERE d BETWEEN DATE '2024-01-07' AND DATE '2025-12-27' GROUP BY ALL) JOIN (SELECT zone, grp, borough FROM dim_zone WHERE grp IN ({groups})) USING (zone)"""
+    CTES[f"{prefix}_keep"] = f"""SELECT zone, sum(n) FILTER (WHERE wk < DATE '2025-01-05') / 364.0e0 AS w_pre FROM {prefix}_cells GROUP BY zone
+      HAVING count(*) = (SELECT count(DISTINCT wk) FROM {prefix}_cells) AND sum(n) FILTER (WHERE wk < DATE '2025-01-05') / 364.0e0 >= 0.5"""
+    CTES[f"{prefix}"] = f"""SELECT *, treat * post AS tp, {RATIO_SQL} FROM (SELECT *, CAST(grp = 'CRZ' AS INTEGER) AS treat,
+      CAST(wk >= DATE '2025-01-05' AS INTEGER) AS post, CAST(floor(date_diff('day', DATE '2025-01-05', wk) / 7.0) AS INTEGER) AS k,
+      CAST((year(wk) - 2025) * 12 + month(wk) - 1 AS INTEGER) AS km,
+      CAST((date_diff('day', DATE '2024-01-07', wk) // 7) % 52 AS INTEGER) AS woy, strftime(wk, '%Y-%m') AS month
+      FROM {prefix}_cells JOIN {prefix}_keep USING (zone))"""
+
+
+_week_ctes("panel_week", "'CRZ', 'MN_NORTH', 'OUTER'", "sum(n_to_crz) AS n_to_crz, sum(n_uber) AS n_uber, sum(n_lyft) AS n_lyft")
+_week_ctes("panel_week_all", "'CRZ', 'CRZ_PARTIAL', 'MN_NORTH', 'OUTER'", "sum(n_to_crz) AS n_to_crz")
+CTES["panel_day_cells"] = f"""SELECT * FROM (SELECT zone, d, {_SUM_LIST} FROM zone_day_pu WHERE d BETWEEN DATE '2024-01-01' AND DATE '2025-12-31' GROUP BY ALL)
+  JOIN (SELECT zone, grp, borough FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (zone)"""
+CTES["panel_day"] = f"""SELECT *, treat * post AS tp, {RATIO_SQL} FROM (SELECT *, CAST(grp = 'CRZ' AS INTEGER) AS treat,
+  CAST(d >= DATE '2025-01-05' AS INTEGER) AS post, CAST(isodow(d) >= 6 AS INTEGER) AS weekend FROM panel_day_cells JOIN (SELECT zone,
+  sum(n) FILTER (WHERE d < DATE '2025-01-05') / 366.0e0 AS w_pre FROM panel_day_cells GROUP BY zone) USING (zone) WHERE w_pre >= 0.5)"""
+CTES["panel_od_cells"] = f"""SELECT * FROM (SELECT pu, dl, {_QUARTER} AS period, {_SUM_LIST} FROM od_month WHERE ym BETWEEN '2024-01' AND '2025-12' GROUP BY ALL)
+  JOIN (SELECT zone AS pu, grp AS pu_grp FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (pu)
+  JOIN (SELECT zone AS dl, grp AS do_grp FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (dl)"""
+CTES["panel_od"] = f"""SELECT *, treat * post AS tp, {RATIO_SQL} FROM (SELECT *, CAST(pu AS VARCHAR) || '_' || CAST(dl AS VARCHAR) AS pair,
+  CASE WHEN pu_grp = 'CRZ' AND do_grp = 'CRZ' THEN 'inside' WHEN pu_grp = 'CRZ' THEN 'outbound' WHEN do_grp = 'CRZ' THEN 'inbound' ELSE 'none' END AS ftype,
+  CAST(pu_grp = 'CRZ' OR do_grp = 'CRZ' AS INTEGER) AS treat, CAST(period >= '2025-Q1' AS INTEGER) AS post
+  FROM panel_od_cells JOIN (SELECT pu, dl, avg(n) FILTER (WHERE period < '2025-Q1') AS w_pre FROM panel_od_cells GROUP BY pu, dl
+    HAVING count(*) = (SELECT count(DISTINCT period) FROM panel_od_cells)) USING (pu, dl) WHERE w_pre >= 1)"""
+CTES["panel_hour_rows"] = """SELECT * FROM zone_hour_month JOIN (SELECT zone, grp FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (zone) WHERE ym BETWEEN '2024-01' AND '2025-12'"""
+CTES["panel_hour"] = f"""SELECT *, treat * post AS tp, {RATIO_SQL} FROM (SELECT *, CAST(grp = 'CRZ' AS INTEGER) AS treat, CAST(period >= '2025-Q1' AS INTEGER) AS post
+  FROM (SELECT zone, grp, {_QUARTER} AS period, CASE WHEN hr <= 5 THEN '00-05' WHEN hr <= 9 THEN '06-09' WHEN hr <= 15 THEN '10-15' WHEN hr <= 19 THEN '16-19' ELSE '20-23' END AS hbin,
+    {_SUM_LIST} FROM panel_hour_rows GROUP BY ALL)
+  JOIN (SELECT zone, sum(n) FILTER (WHERE ym < '2025-01') / 366.0e0 AS w_pre FROM panel_hour_rows GROUP BY zone) USING (zone) WHERE w_pre >= 0.5)"""
+CTES["panel_long_rows"] = """SELECT * FROM zone_day_pu JOIN (SELECT zone, grp FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (zone)
+  WHERE d BETWEEN DATE '2022-01-01' AND DATE '2025-12-31'"""
+CTES["panel_long_cells"] = f"SELECT zone, grp, strftime(d, '%Y-%m') AS ym, {_SUM_LIST} FROM panel_long_rows GROUP BY ALL"
+CTES["panel_long"] = f"""SELECT *, {RATIO_SQL}, (rider_cost - cbd) / n AS rider_ex_pt FROM (SELECT *, CAST(grp = 'CRZ' AS INTEGER) AS treat, CAST(substr(ym, 1, 4) AS INTEGER) AS year,
+  CAST(substr(ym, 6, 2) AS INTEGER) AS moy, CAST(ym >= '2025' AS INTEGER) AS post FROM panel_long_cells
+  JOIN (SELECT zone, sum(n) FILTER (WHERE d BETWEEN DATE '2024-01-07' AND DATE '2025-01-04') / 364.0e0 AS w_pre FROM panel_long_rows GROUP BY zone) USING (zone)
+  WHERE w_pre >= 0.5 AND zone IN (SELECT zone FROM panel_long_cells GROUP BY zone HAVING count(*) = (SELECT count(DISTINCT ym) FROM panel_long_cells)))"""
+
 RAW_RIDEHAIL = {
     "hvfhs_license_num": "CASE WHEN l_returnflag = 'R' THEN 'HV0005' ELSE 'HV0003' END",
     "request_datetime": "CASE WHEN l_linenumber <> 7 THEN timestampadd(SECOND, 60 - (l_suppkey * 97 + l_linenumber * 131) % 9000, ts0) END",
@@ -159,7 +209,7 @@ class StandIn:
     def lines(self) -> DataFrame:
         """Order lines with zones and a pick-up time; big-to-big joins on their keys, no hints."""
         lines, orders = self.table("lineitem"), self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        customer = self.table("customer").select("c_custkey", (F.col("c_nationkey") + 1).cast("int").alias("pz"))
+        customer = self.table("customer").select("c_custkey", "c_nationkey")
         supplier = self.table("supplier").select("s_suppkey", (F.col("s_nationkey") + 1).cast("int").alias("dz"))
         joined = (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -167,7 +217,12 @@ class StandIn:
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         )
         days = F.expr("CAST(datediff(CAST(o_orderdate AS DATE), DATE'1995-01-01') * 1461 div 2404 AS INT)")
-        timed = joined.withColumn("day0", F.date_add(F.lit("2022-01-01").cast("date"), days))
+        timed = joined.withColumns(
+            {
+                "pz": F.expr("CAST((c_nationkey + l_partkey) % 25 + 1 AS INT)"),
+                "day0": F.date_add(F.lit("2022-01-01").cast("date"), days),
+            }
+        )
         return timed.select(
             "*",
             F.expr("timestampadd(SECOND, (l_orderkey * 7919 + l_partkey * 101) % 86400, CAST(day0 AS TIMESTAMP_NTZ))").alias("ts0"),
@@ -271,5 +326,55 @@ class StandIn:
     def stored_silver(self) -> DataFrame:
         return self.lake.silver()
 
+    # Panels over all services: the test tables are too thin to split them further.
+    @property
+    def panel_week(self) -> DataFrame:
+        extra = ("n_to_crz", "n_uber", "n_lyft")
+        return self._stored("panel_week", lambda: panel.zone_week(self.gold("zone_day_pu"), self.dim_zone, None, min_daily=MIN_DAILY, extra=extra))
+
+    @property
+    def panel_week_all(self) -> DataFrame:
+        """The week panel with the straddling zones."""
+        groups = ("CRZ", "CRZ_PARTIAL", "MN_NORTH", "OUTER")
+        extra = ("n_to_crz",)
+        return self._stored(
+            "panel_week_all",
+            lambda: panel.zone_week(self.gold("zone_day_pu"), self.dim_zone, None, groups=groups, min_daily=MIN_DAILY, extra=extra),
+        )
+
+    @property
+    def panel_day(self) -> DataFrame:
+        return self._stored("panel_day", lambda: panel.zone_day(self.gold("zone_day_pu"), self.dim_zone, None, min_daily=MIN_DAILY))
+
+    @property
+    def panel_od(self) -> DataFrame:
+        """Pairs by quarter: a month has too few stand-in trips per pair."""
+        return self._stored(
+            "panel_od",
+            lambda: panel.od_panel(self.gold("od_month"), self.dim_zone, None, min_mean=1.0, period=quarter_of("ym"), policy="2025-Q1"),
+        )
+
+    @property
+    def panel_hour(self) -> DataFrame:
+        return self._stored(
+            "panel_hour",
+            lambda: panel.zone_hour_bins(
+                self.gold("zone_hour_month"), self.dim_zone, None, min_daily=MIN_DAILY, period=quarter_of("ym"), policy="2025-Q1"
+            ),
+        )
+
+    @property
+    def panel_long(self) -> DataFrame:
+        return self._stored("panel_long", lambda: panel.zone_month_long(self.gold("zone_day_pu"), self.dim_zone, None, min_daily=MIN_DAILY))
+
+    def _stored(self, name: str, build) -> DataFrame:
+        lake = self.lake
+        return lake.table(name, build) if name not in lake else lake.read(name)
+
+
+def quarter_of(ym: str):
+    """'2024-05' -> '2024-Q2'."""
+    return F.concat(F.substring(ym, 1, 4), F.lit("-Q"), F.ceil(F.substring(ym, 6, 2).cast("int") / 3).cast("string"))
+
 
 _LAKES: dict[tuple[str, str], Lake] = {}
