@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from tripspark.plans import causal, describe, gold_tables  # noqa: F401
+from tripspark.plans import causal, describe, gold_tables, inference, space  # noqa: F401
 from tripspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
