@@ -50,11 +50,12 @@ def rings(nodes: DataFrame, edges: DataFrame, key: str, is_seed: Column, max_rin
 
     Each round keeps one row per node reached, so the work is edges × rounds and never all paths.
     """
+    edges = checkpointed(edges)
     reached = nodes.where(is_seed).select(F.col(key).alias("v"), F.lit(0).alias("ring"))
     for step in range(1, max_ring + 1):
         frontier = reached.where(F.col("ring") == step - 1)
         nxt = edges.join(frontier, edges["a"] == frontier["v"], "left_semi").select(F.col("b").alias("v"), F.lit(step).alias("ring"))
-        reached = reached.unionByName(nxt).groupBy("v").agg(F.min("ring").alias("ring"))
+        reached = checkpointed(reached.unionByName(nxt).groupBy("v").agg(F.min("ring").alias("ring")))
     return nodes.select(key).join(reached, F.col(key) == F.col("v"), "left").select(key, "ring")
 
 

@@ -21,30 +21,30 @@ class Lake:
         self.spark, self.root, self.source = spark, root, source
         self._written: set[str] = set()
 
-    def _path(self, name: str) -> str:
+    def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def silver(self) -> DataFrame:
         if "silver" not in self._written:
-            write_silver(self.source, self._path("silver"))
+            write_silver(self.source, self.path("silver"))
             self._written.add("silver")
-        return self.spark.read.parquet(self._path("silver"))
+        return self.spark.read.parquet(self.path("silver"))
 
     def gold(self, name: str) -> DataFrame:
         if name not in self._written:
-            gold.build_gold(self.silver(), name).write.mode("overwrite").option("compression", "zstd").parquet(self._path(name))
+            gold.build_gold(self.silver(), name).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
             self._written.add(name)
-        return self.spark.read.parquet(self._path(name))
+        return self.spark.read.parquet(self.path(name))
 
     def __contains__(self, name: str) -> bool:
         return name in self._written
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        return self.spark.read.parquet(self.path(name))
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived table (a panel, say), written when first asked for."""
         if name not in self._written:
-            build().write.mode("overwrite").option("compression", "zstd").parquet(self._path(name))
+            build().write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
             self._written.add(name)
         return self.read(name)
