@@ -49,7 +49,8 @@ def week_ending(d: str | Column, last_dow: int = 7) -> Column:
 
 
 def year_month(d: str | Column) -> Column:
-    return F.date_format(col(d).cast("date"), "yyyy-MM")
+    """Calendar month as yyyy-MM text."""
+    return F.substring(col(d).cast("date").cast("string"), 1, 7)
 
 
 def uniform01(*parts: str | Column) -> Column:

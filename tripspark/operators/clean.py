@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripspark.config import CLEANING, GROUPS, ZONES, CleaningRules, Groups, ZoneRules
-from tripspark.functions.exprs import flag, iso_dow, second_diff, year_month
+from tripspark.functions.exprs import flag, iso_dow, second_diff
 
 FLAGS = ("q_out_of_month", "q_bad_zone", "q_bad_miles", "q_bad_time", "q_bad_fare", "q_bad_speed", "q_bad_pay")
 
@@ -24,7 +24,7 @@ def _outside(column: str, low: float, high: float, open_low: bool) -> Column:
 def add_quality_flags(trips: DataFrame, rules: CleaningRules = CLEANING, month: str = "src_month") -> DataFrame:
     """Seven 0/1 columns, one per rule; a missing value breaks the rule and no flag is ever NULL.
 
-    ``month`` names the column with the calendar month (yyyy-MM) of the file a row came from, so
+    ``month`` names the date column with the first day of the month of the file a row came from, so
     many monthly files are flagged in one job.
     """
     zone_ok = F.col("pu").between(rules.first_zone, rules.last_zone) & F.col("dl").between(rules.first_zone, rules.last_zone)
@@ -33,7 +33,7 @@ def add_quality_flags(trips: DataFrame, rules: CleaningRules = CLEANING, month:
     unpaid = F.col("service").isin(*rules.pay_required) & (F.col("driver_pay").isNull() | (F.col("driver_pay") < 0))
     return trips.withColumns(
         {
-            "q_out_of_month": (~F.coalesce(year_month("pickup_ts") == F.col(month), F.lit(False))).cast("int"),
+            "q_out_of_month": (~F.coalesce(_in_month("pickup_ts", month), F.lit(False))).cast("int"),
             "q_bad_zone": (~F.coalesce(zone_ok, F.lit(False))).cast("int"),
             "q_bad_miles": _outside("miles", rules.min_miles, rules.max_miles, open_low=True),
             "q_bad_time": _outside("time_s", rules.min_time_s, rules.max_time_s, open_low=False),
@@ -49,6 +49,18 @@ def violations() -> Column:
     return reduce(add, [F.col(f) for f in FLAGS])
 
 
+def breaks_none() -> Column:
+    """No rule is broken. One condition per rule, the cheap ones first: each is pushed down as far as
+    its columns allow and the first broken one ends the test of a row."""
+    cheap_first = [f for f in FLAGS if f != "q_out_of_month"] + ["q_out_of_month"]
+    return reduce(and_, [F.col(f) == 0 for f in cheap_first])
+
+
+def _in_month(ts: str, month: str) -> Column:
+    """The time lies in the calendar month that starts on the given date."""
+    return F.trunc(F.col(ts).cast("date"), "MM") == F.col(month)
+
+
 def quality_counts(flagged: DataFrame, *keys: str) -> DataFrame:
     """Rows, violations per rule and rejected rows, in total or per key. One row may break several rules."""
     return flagged.groupBy(*keys).agg(
@@ -67,7 +79,7 @@ def derive_columns(flagged: DataFrame, zones: DataFrame, rules: CleaningRules =
     wait = second_diff("request_ts", "pickup_ts")
     origin = zones.select(F.col("zone").alias("_pz"), F.col("grp").alias("pu_grp"))
     target = zones.select(F.col("zone").alias("_dz"), F.col("grp").alias("do_grp"))
-    kept = flagged.where(violations() == 0)
+    kept = flagged.where(breaks_none())
     joined = kept.join(origin, kept.pu == F.col("_pz"), "left").join(target, kept.dl == F.col("_dz"), "left")
     total = reduce(add, [F.col(c) for c in ("fare", "tolls", "bcf", "tax", "cong_sur", "airport_fee", "cbd_fee")])
     return joined.withColumns(
@@ -151,7 +163,7 @@ def same_window(d: str = "d", base_year: int = 2024, later_year: int = 2025) ->
 
 def day_chunk(ts: str, month: str, step: int, n_chunks: int) -> Column:
     """Chunk number of a row inside its file's month; rows outside the month or without time go to the last."""
-    inside = year_month(ts) == F.col(month)
+    inside = _in_month(ts, month)
     by_day = F.floor((F.dayofmonth(F.col(ts).cast("date")) - 1) / step).cast("int")
     return F.when(inside, F.least(by_day, F.lit(n_chunks - 1))).otherwise(F.lit(n_chunks - 1))
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripspark.config import POLICY_DATE
-from tripspark.functions.exprs import flag, ratio
+from tripspark.functions.exprs import flag, ratio, year_month
 from tripspark.operators.clean import FLAGS, quality_counts
 
 
 def quality_by_month(flagged: DataFrame, month: str = "src_month") -> DataFrame:
-    counts = quality_counts(flagged.withColumn("month", F.col(month)), "service", "month")
+    counts = quality_counts(flagged, "service", month).withColumn("month", year_month(month)).drop(month)
     return counts.withColumn("reject_pct", 100.0 * ratio("n_rejected", "n_raw"))
 
 

@@ -62,7 +62,7 @@ def quality_counts(t):
 
 @query(
     "quality_by_month",
-    f"SELECT *, 100.0e0 * n_rejected / n_raw AS reject_pct FROM (SELECT service, src_month AS month, {_COUNTS} FROM flagged GROUP BY ALL)",
+    f"SELECT *, 100.0e0 * n_rejected / n_raw AS reject_pct FROM (SELECT service, strftime(src_month, '%Y-%m') AS month, {_COUNTS} FROM flagged GROUP BY ALL)",
     "reject_pct",
 )
 def quality_by_month(t):
@@ -138,7 +138,7 @@ def zone_classify(t):
 
 @query(
     "chunk_by_day_range",
-    f"""SELECT service, src_month, CASE WHEN pickup_ts IS NOT NULL AND strftime(pickup_ts, '%Y-%m') = src_month
+    f"""SELECT service, src_month, CASE WHEN pickup_ts IS NOT NULL AND CAST(date_trunc('month', pickup_ts) AS DATE) = src_month
           THEN CAST(least((day(pickup_ts) - 1) // 8, 3) AS INTEGER) ELSE 3 END AS chunk,
           CAST(count(*) AS BIGINT) AS n_raw, CAST(sum(q_out_of_month) AS BIGINT) AS n_out
         FROM flagged GROUP BY ALL""",

@@ -203,7 +203,7 @@ def compare_outputs(t):
           SELECT *, abs(z - lag(z) OVER (PARTITION BY service ORDER BY month)) AS mr FROM (
             SELECT *, (p - pbar) / nullif(sqrt(pbar * (1 - pbar) / n_raw), 0) AS z, sqrt(pbar * (1 - pbar) / n_raw) AS sigma FROM (
               SELECT service, month, n_raw, n_rej / CAST(n_raw AS DOUBLE) AS p, sum(n_rej) OVER (PARTITION BY service) / CAST(sum(n_raw) OVER (PARTITION BY service) AS DOUBLE) AS pbar
-              FROM (SELECT service, src_month AS month, count(*) AS n_raw, count(*) FILTER (WHERE {_BROKEN} > 0) AS n_rej FROM flagged GROUP BY ALL)))))""",
+              FROM (SELECT service, strftime(src_month, '%Y-%m') AS month, count(*) AS n_raw, count(*) FILTER (WHERE {_BROKEN} > 0) AS n_rej FROM flagged GROUP BY ALL)))))""",
     "p pbar sigma_z ucl lcl ucl_laney lcl_laney",
 )
 def pchart_laney(t):

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripspark.plans.as_text import AS_TEXT
 from tripspark.plans.standin import CTES, StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,18 +58,35 @@ def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({known[name]})" for name in needed) + "\n" + sql
 
 
+def _time_columns(name: str) -> list[tuple[str, str]]:
+    items = [item.partition(":") for item in AS_TEXT.get(name, "").split()]
+    return [(c, kind or "date") for c, _, kind in items]
+
+
+def _text(c: str, kind: str) -> Column:
+    return F.col(c).cast("date").cast("string") if kind == "date" else F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def _text_sql(c: str, kind: str) -> str:
+    return f"CAST(CAST({c} AS DATE) AS VARCHAR)" if kind == "date" else f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
 def query(name: str, sql: str | None = None, round: str = "", ctes: dict[str, str] | None = None):
     """Register a function of StandIn tables under ``name`` together with its SQL, if it has one."""
     digits = _digits(round)
 
+    times = dict(_time_columns(name))
+
     def register(build: Callable[[StandIn], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(StandIn(spark, sf_dir)), digits)
+            return rounded(build(StandIn(spark, sf_dir)), digits).withColumns({c: _text(c, kind) for c, kind in times.items()})
 
         run.__doc__ = build.__doc__
         QUERIES[name] = run
         if sql is not None:
-            replace = ", ".join(f'round(CAST("{c}" AS DOUBLE) + {_shift(n)!r}, {n}) + 0.0e0 AS "{c}"' for c, n in digits.items())
+            parts = [f'round(CAST("{c}" AS DOUBLE) + {_shift(n)!r}, {n}) + 0.0e0 AS "{c}"' for c, n in digits.items()]
+            parts += [f"{_text_sql(c, kind)} AS {c}" for c, kind in times.items()]
+            replace = ", ".join(parts)
             body = f"SELECT * REPLACE ({replace}) FROM ({sql}) AS q" if replace else sql
             ORACLE[name] = with_ctes(body, ctes)
         return build

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripspark.functions.exprs import ratio
+from tripspark.functions.exprs import ratio, year_month
 from tripspark.operators import clean, quality
 from tripspark.plans.registry import query
 from tripspark.session import scratch_path
@@ -117,15 +117,15 @@ def incremental_partitions(t):
     def summarise(df):
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("fare").alias("fare"))
 
-    for upto in ("2023-12", "9999-12", "9999-12"):
-        sinks.process_incrementally(rows.where(F.col("src_month") <= upto), keys, table, log, summarise)
-    return t.spark.read.schema("n long, fare double, service string, src_month string").parquet(table)
+    for upto in ("2023-12-31", "9999-12-31", "9999-12-31"):
+        sinks.process_incrementally(rows.where(F.col("src_month") <= F.lit(upto).cast("date")), keys, table, log, summarise)
+    return t.spark.read.schema("n long, fare double, service string, src_month date").parquet(table)
 
 
 def write_logs(t) -> str:
     """One JSON record per partition, as the monthly job writes them."""
     path = scratch_path(t.spark, "logs")
-    counts = clean.quality_counts(t.flagged.withColumn("month", F.col("src_month")), "service", "month")
+    counts = clean.quality_counts(t.flagged, "service", "src_month").withColumn("month", year_month("src_month"))
     n = F.col("n_raw").cast("double")
     counts.select("service", "month", "n_raw", "n_rejected", "n_silver", (n / 1e5).alias("sec_quality"), (n / 2e4).alias("sec_silver"), (n / 5e4).alias("sec_gold"), (n * 8e-5).alias("sec_total")).write.json(path)
     return path
@@ -133,7 +133,7 @@ def write_logs(t) -> str:
 
 _BROKEN = " + ".join(clean.FLAGS)
 _LOGS = {
-    "logs": f"""SELECT service, src_month AS month, {_COUNT} AS n_raw, CAST(count(*) FILTER (WHERE {_BROKEN} > 0) AS BIGINT) AS n_rejected,
+    "logs": f"""SELECT service, strftime(src_month, '%Y-%m') AS month, {_COUNT} AS n_raw, CAST(count(*) FILTER (WHERE {_BROKEN} > 0) AS BIGINT) AS n_rejected,
         CAST(count(*) FILTER (WHERE {_BROKEN} = 0) AS BIGINT) AS n_silver, count(*) * 8e-5 AS sec_total, count(*) / 5e4 AS sec_gold FROM flagged GROUP BY ALL"""
 }
 

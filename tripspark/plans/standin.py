@@ -38,7 +38,7 @@ SELECT *, CAST(day0 AS TIMESTAMP) + to_seconds(sec0) AS ts0,
        l_quantity * CASE WHEN l_partkey % 97 = 0 THEN 0 WHEN l_partkey % 89 = 0 THEN 3 ELSE 1 END AS dist,
        CASE WHEN day0 >= DATE '2025-01-05' AND (pz % 5 = 1 OR dz % 5 = 1 OR (pz = dz AND pz IN (4, 14) AND l_partkey % 2 = 0))
             THEN CASE WHEN l_linestatus = 'O' THEN 1.5e0 ELSE 0.75e0 END ELSE 0.0e0 END AS toll_fee,
-       strftime(CASE WHEN l_partkey % 211 = 0 THEN day0 - 31 ELSE day0 END, '%Y-%m') AS src_month
+       CAST(date_trunc('month', CASE WHEN l_partkey % 211 = 0 THEN day0 - 31 ELSE day0 END) AS DATE) AS src_month
 FROM raw_lines""",
     "trips": """
 SELECT CASE WHEN l_linestatus = 'O' THEN 'hvfhv' ELSE 'yellow' END AS service,
@@ -66,7 +66,7 @@ SELECT CAST(n_nationkey + 1 AS INTEGER) AS zone, n_name AS zone_name, r_name AS
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "flagged": """
 SELECT *,
-  CAST(pickup_ts IS NULL OR strftime(pickup_ts, '%Y-%m') <> src_month AS INTEGER) AS q_out_of_month,
+  CAST(pickup_ts IS NULL OR CAST(date_trunc('month', pickup_ts) AS DATE) <> src_month AS INTEGER) AS q_out_of_month,
   CAST(pu NOT BETWEEN 1 AND 24 OR dl NOT BETWEEN 1 AND 24 AS INTEGER) AS q_bad_zone,
   CAST(miles IS NULL OR miles <= 0 OR miles > 100 AS INTEGER) AS q_bad_miles,
   CAST(time_s IS NULL OR time_s < 60 OR time_s > 14400 AS INTEGER) AS q_bad_time,
@@ -207,8 +207,10 @@ class StandIn:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Order lines with zones and a pick-up time; big-to-big joins on their keys, no hints."""
-        lines, orders = self.table("lineitem"), self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        """Order lines with zones and a pick-up time. Lines and orders are both facts: they meet by a
+        sort-merge join at any size; the other sides are broadcast if their statistics allow it."""
+        lines = self.table("lineitem")
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate").hint("merge")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         supplier = self.table("supplier").select("s_suppkey", (F.col("s_nationkey") + 1).cast("int").alias("dz"))
         joined = (
@@ -233,7 +235,7 @@ class StandIn:
                 "CASE WHEN day0 >= DATE'2025-01-05' AND (pz % 5 = 1 OR dz % 5 = 1 OR (pz = dz AND pz IN (4, 14) AND l_partkey % 2 = 0))"
                 " THEN CASE WHEN l_linestatus = 'O' THEN 1.5D ELSE 0.75D END ELSE 0.0D END"
             ).alias("toll_fee"),
-            F.expr("date_format(CASE WHEN l_partkey % 211 = 0 THEN date_sub(day0, 31) ELSE day0 END, 'yyyy-MM')").alias("src_month"),
+            F.expr("trunc(CASE WHEN l_partkey % 211 = 0 THEN date_sub(day0, 31) ELSE day0 END, 'MM')").alias("src_month"),
         )
 
     @cached_property
