@@ -48,23 +48,19 @@ def within_twoway_balanced(df: DataFrame, cols: Sequence[str], unit: str, period
 
 
 def demean_iterative(
-    df: DataFrame, cols: Sequence[str], fes: Sequence[str], w: str | None = None, tol: float = 1e-8, max_sweeps: int = 500, sweeps_per_check: int = 5
+    df: DataFrame, cols: Sequence[str], fes: Sequence[str], w: str | None = None, tol: float = 1e-8, max_sweeps: int = 500
 ) -> DataFrame:
-    """Alternating projections. The lineage is cut at every convergence check."""
-    current = df
-    done = 0
-    while done < max_sweeps:
-        for _ in range(sweeps_per_check - 1):
-            for fe in fes:
-                current = within_one(current, cols, fe, w)
-        before = {f"_old_{c}": F.col(c) for c in cols}
-        current = current.withColumns(before)
+    """Alternating projections. Every projection reads its input twice (means and join), so the lineage
+    is cut after each sweep; the same pass yields the largest move."""
+    before = [f"_old_{c}" for c in cols]
+    current = checkpointed(df)
+    for _ in range(max_sweeps):
+        swept = current.withColumns({b: F.col(c) for b, c in zip(before, cols, strict=True)})
         for fe in fes:
-            current = within_one(current, cols, fe, w)
-        current = checkpointed(current)
-        done += sweeps_per_check
-        moved = current.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_old_{c}")) for c in cols], F.lit(0.0)))).first()[0]
-        current = current.drop(*before)
+            swept = within_one(swept, cols, fe, w)
+        swept = checkpointed(swept)
+        moved = swept.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(b)) for b, c in zip(before, cols, strict=True)], F.lit(0.0)))).first()[0]
+        current = swept.drop(*before)
         if moved is None or moved < tol:
             break
     return current
