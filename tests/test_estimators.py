@@ -119,7 +119,7 @@ def test_incomplete_unit_is_dropped_whole(spark):
 def test_wild_bootstrap_expansion(spark):
     parts = [("y", i, noise("a", i), 0.1 + abs(noise("q", i)), 0.2, 1.5) for i in range(9)]
     df = spark.createDataFrame(parts, "outcome string, cluster int, a double, q double, b double, adj double")
-    got = {r.draw: r for r in inference.wild_bootstrap(df, ["outcome"], 20, 7, F.first("adj")).collect()}
+    got = {r.draw: r for r in inference.wild_bootstrap(df, ["outcome", "adj"], 20, 7, F.col("adj")).collect()}
     webb = [-np.sqrt(1.5), -1.0, -np.sqrt(0.5), np.sqrt(0.5), 1.0, np.sqrt(1.5)]
     a, q = np.array([p[2] for p in parts]), np.array([p[3] for p in parts])
     for draw in (1, 13):

@@ -15,7 +15,7 @@ def k_anonymity(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
     Everything after the class counts works on the histogram of class sizes, which is tiny.
     """
-    return _risk(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("k")), label)
+    return _risk(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_class")).select(F.col("_class").alias("k")), label)
 
 
 def _risk(classes: DataFrame, label: str) -> DataFrame:
@@ -47,7 +47,7 @@ def k_anonymity_sets(df: DataFrame, sets: dict[str, Sequence[str]], base: Sequen
     out = None
     for label, columns in sets.items():
         if set(columns) <= set(base):
-            one = _risk(common.groupBy(*columns).agg(F.sum("n").alias("k")), label)
+            one = _risk(common.groupBy(*columns).agg(F.sum("n").alias("_class")).select(F.col("_class").alias("k")), label)
         else:
             one = k_anonymity(df, columns, label)
         out = one if out is None else out.unionByName(one)
