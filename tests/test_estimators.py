@@ -30,7 +30,7 @@ SCHEMA = "zone int, t int, treat int, post int, tp double, y double, w_pre doubl
 
 
 def dummies_ols(rows, xs, fes, cluster, w=None, y=5):
-    """Reference: all dummies at once, then the clustered sandwich for the regressors."""
+    """Plain least squares: all dummies at once, then the clustered sandwich for the regressors."""
     a = np.array([[float(v) for v in r] for r in rows])
     ww = np.ones(len(a)) if w is None else a[:, w]
     blocks, levels = [], 0
