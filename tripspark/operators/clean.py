@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripspark.config import CLEANING, GROUPS, ZONES, CleaningRules, Groups, ZoneRules
 from tripspark.functions.exprs import flag, iso_dow, second_diff
+from tripspark.operators.reshape import exact_quantiles
 
 FLAGS = ("q_out_of_month", "q_bad_zone", "q_bad_miles", "q_bad_time", "q_bad_fare", "q_bad_speed", "q_bad_pay")
 
@@ -169,9 +170,9 @@ def day_chunk(ts: str, month: str, step: int, n_chunks: int) -> Column:
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill NULLs with the column medians, which a scalar subquery delivers to the scan."""
-    medians = df.agg(F.struct(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).alias("m")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), medians.getField(c)) for c in columns})
+    """Fill NULLs with the exact column medians, which scalar subqueries deliver to the scan."""
+    medians = {c: exact_quantiles(df, [], c, [0.5]).select("value").scalar() for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c]) for c in columns})
 
 
 def dummies(df: DataFrame, column: str, values: list, prefix: str) -> DataFrame:

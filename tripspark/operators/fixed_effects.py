@@ -1,9 +1,9 @@
 """Least squares with several fixed effects on panels of any shape, weights and clustered errors.
 
-The largest fixed effect is absorbed by group means; the levels of the others (weeks, groups × weeks:
-tens to hundreds) are solved exactly from their cross-product matrix, which Spark sums and the driver
-inverts. That gives the same result as alternating projections run to convergence, in two jobs.
-When the other effects have too many levels for that, the projections are run on Spark.
+The largest fixed effect is absorbed by group means. The levels of the others solve a linear system that is never
+formed: conjugate gradients need its product with a vector, and that product is a join of rows with levels, a mean
+per unit and a sum per level. The vectors stay in Spark tables; one number per column and step reaches the driver.
+The same path runs at every size, stops at a relative tolerance, and raises if it does not get there.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripspark.functions import tails
 from tripspark.session import checkpointed
 
-MAX_SOLVED_LEVELS = 2_000
+TOLERANCE = 1e-10  # of the residual norm, relative to its start
+MAX_STEPS = 2_000  # steps after which a solve is given up with an error
 
 
 def _weight(w: str | None) -> Column:
@@ -48,12 +48,13 @@ def within_twoway_balanced(df: DataFrame, cols: Sequence[str], unit: str, period
 
 
 def demean_iterative(
-    df: DataFrame, cols: Sequence[str], fes: Sequence[str], w: str | None = None, tol: float = 1e-8, max_sweeps: int = 500
+    df: DataFrame, cols: Sequence[str], fes: Sequence[str], w: str | None = None, tol: float = TOLERANCE, max_sweeps: int = 500
 ) -> DataFrame:
-    """Alternating projections. Every projection reads its input twice (means and join), so the lineage
-    is cut after each sweep; the same pass yields the largest move."""
+    """Alternating projections, the plain method that `demean` is tested against. The largest move of a sweep is
+    compared with the largest value of the first; too many sweeps raise."""
     before = [f"_old_{c}" for c in cols]
     current = checkpointed(df)
+    size = current.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in cols], F.lit(0.0)))).first()[0] or 1.0
     for _ in range(max_sweeps):
         swept = current.withColumns({b: F.col(c) for b, c in zip(before, cols, strict=True)})
         for fe in fes:
@@ -61,88 +62,83 @@ def demean_iterative(
         swept = checkpointed(swept)
         moved = swept.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(b)) for b, c in zip(before, cols, strict=True)], F.lit(0.0)))).first()[0]
         current = swept.drop(*before)
-        if moved is None or moved < tol:
-            break
-    return current
-
-
-def _level_frame(df: DataFrame, others: Sequence[str], w: str | None, primary: str, cols: Sequence[str]) -> DataFrame:
-    levels = F.inline(F.array(*[F.struct(F.lit(f).alias("fe"), F.col(f).cast("string").alias("level")) for f in others]))
-    return df.select(primary, _weight(w).alias("_w"), *cols, levels)
-
-
-def _level_gram(df: DataFrame, primary: str, others: Sequence[str], w: str | None) -> DataFrame:
-    """Cross products of level indicators after absorbing the primary effect: (a, b, v)."""
-    long = _level_frame(df, others, w, primary, [])
-    name = F.concat_ws("=", "fe", "level")
-    # raw cross products inside a row
-    pairs = F.inline(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(
-                        *[
-                            F.struct(
-                                F.concat(F.lit(f"{f}="), F.col(f).cast("string")).alias("a"),
-                                F.concat(F.lit(f"{g}="), F.col(g).cast("string")).alias("b"),
-                            )
-                            for g in others
-                        ]
-                    )
-                    for f in others
-                ]
-            )
-        )
-    )
-    raw = df.select(_weight(w).alias("_w"), pairs).groupBy("a", "b").agg(F.sum("_w").alias("v"))
-    # share of each level in each unit; units with the same pattern are merged before levels are paired
-    per_unit = long.groupBy(primary, name.alias("level")).agg(F.sum("_w").alias("wl"))
-    totals = df.groupBy(primary).agg(F.sum(_weight(w)).alias("wt"))
-    shares = per_unit.join(totals, primary).select(primary, "wt", F.struct("level", (F.col("wl") / F.col("wt")).alias("p")).alias("s"))
-    patterns = (
-        shares.groupBy(primary, "wt")
-        .agg(F.array_sort(F.collect_list("s")).alias("pattern"))
-        .groupBy("pattern")
-        .agg(F.sum("wt").alias("wt"))
-    )
-    left = patterns.select("pattern", "wt", F.inline("pattern").alias("a", "pa"))
-    both = left.select("a", "pa", "wt", F.inline("pattern").alias("b", "pb"))
-    absorbed = both.groupBy("a", "b").agg((-F.sum(F.col("wt") * F.col("pa") * F.col("pb"))).alias("v"))
-    return raw.unionByName(absorbed).groupBy("a", "b").agg(F.sum("v").alias("v"))
+        if moved is None or moved <= tol * size:
+            return current
+    raise RuntimeError(f"projections have not converged after {max_sweeps} sweeps")
 
 
-def _level_cross(df: DataFrame, primary: str, others: Sequence[str], w: str | None, cols: Sequence[str]) -> DataFrame:
-    """Cross products of level indicators with the columns after absorbing the primary effect: (a, *cols)."""
-    within = within_one(df, cols, primary, w)
-    long = _level_frame(within, others, w, primary, cols)
-    return long.groupBy(F.concat_ws("=", "fe", "level").alias("a")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in cols])
+def _level_sums(rows: DataFrame, others: Sequence[str], values: list[Column], name: str) -> DataFrame:
+    """(fe, level, array of sums) over the levels of all effects but the absorbed one."""
+    out = None
+    for f in others:
+        part = rows.groupBy(F.lit(f).alias("fe"), F.col(f).cast("string").alias("level")).agg(F.array(*[F.sum(v) for v in values]).alias(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _product(cells: DataFrame, primary: str, others: Sequence[str], state: DataFrame, k: int) -> DataFrame:
+    """The system's matrix times the vectors ``p`` of ``state``: (fe, level, ap)."""
+    rows = cells
+    for i, f in enumerate(others):
+        table = state.where(F.col("fe") == f).select(F.col("level").alias(f), F.col("p").alias(f"_p{i}"))
+        rows = rows.join(table, f)
+    total = F.array(*[sum((F.col(f"_p{i}")[j] for i in range(1, len(others))), F.col("_p0")[j]) for j in range(k)])
+    rows = rows.select(primary, *others, "_w", total.alias("z"))
+    means = rows.groupBy(primary).agg(F.array(*[F.sum(F.col("_w") * F.col("z")[j]) / F.sum("_w") for j in range(k)]).alias("m"))
+    rows = rows.join(means, primary)
+    return _level_sums(rows, others, [F.col("_w") * (F.col("z")[j] - F.col("m")[j]) for j in range(k)], "ap")
+
 
+def _dots(state: DataFrame, a: str, b: Column | str, k: int) -> np.ndarray:
+    b = F.col(b) if isinstance(b, str) else b
+    row = state.agg(*[F.sum(F.col(a)[j] * b[j]).alias(f"d{j}") for j in range(k)]).first()
+    return np.array([row[j] or 0.0 for j in range(k)])
 
-def demean(df: DataFrame, cols: Sequence[str], fes: Sequence[str], w: str | None = None) -> DataFrame:
-    """Residuals of the columns after removing all fixed effects. ``fes[0]`` should have the most levels."""
+
+def _combined(a: str, b: str, factors: np.ndarray, k: int) -> Column:
+    """a + factor * b, column by column."""
+    return F.array(*[F.col(a)[j] + float(factors[j]) * F.col(b)[j] for j in range(k)])
+
+
+def demean(
+    df: DataFrame, cols: Sequence[str], fes: Sequence[str], w: str | None = None, tol: float = TOLERANCE, max_steps: int = MAX_STEPS
+) -> DataFrame:
+    """Residuals of the columns after removing all fixed effects. ``fes[0]`` should have the most levels.
+
+    Rows with a NULL effect belong to no level and are left out.
+    """
     primary, others = fes[0], list(fes[1:])
+    df = df.dropna(subset=[primary, *others])
+    within = within_one(df, cols, primary, w)
     if not others:
-        return within_one(df, cols, primary, w)
-    n_levels = sum(df.agg(*[F.countDistinct(f).alias(f) for f in others]).first())
-    if n_levels > MAX_SOLVED_LEVELS:
-        return demean_iterative(df, cols, fes, w)
-    gram = _level_gram(df, primary, others, w).collect()
-    cross = _level_cross(df, primary, others, w, cols).collect()
-    names = sorted(r["a"] for r in cross)
-    at = {n: i for i, n in enumerate(names)}
-    g, x = np.zeros((len(names), len(names))), np.zeros((len(names), len(cols)))
-    for a, b, v in gram:
-        g[at[a], at[b]] = v
-    for r in cross:
-        x[at[r["a"]]] = [r[c] for c in cols]
-    effects = np.linalg.pinv(g, rcond=1e-11, hermitian=True) @ x
-    schema = T.StructType([T.StructField("_level", T.StringType()), *[T.StructField(f"_e_{c}", T.DoubleType()) for c in cols]])
+        return within
+    k = len(cols)
+    named = df.withColumns({f: F.col(f).cast("string") for f in others})
+    cells = checkpointed(named.groupBy(primary, *others).agg(F.sum(_weight(w)).alias("_w")).where("_w > 0"))
+    right = _level_sums(within.withColumn("_w", _weight(w)), others, [F.coalesce(F.col("_w") * F.col(c), F.lit(0.0)) for c in cols], "r")
+    size = _level_sums(cells, others, [F.col("_w")], "d").select("fe", "level", F.col("d")[0].alias("d"))
+    state = right.join(size, ["fe", "level"])
+    zero = F.array(*[F.lit(0.0)] * k)
+    state = checkpointed(state.withColumns({"u": zero, "p": F.transform("r", lambda x: x / F.col("d"))}))
+    rz = start = _dots(state, "r", "p", k)
+    for _ in range(max_steps):
+        if (rz <= tol**2 * start).all():
+            break
+        state = checkpointed(state.join(_product(cells, primary, others, state, k), ["fe", "level"]))
+        curve = _dots(state, "p", "ap", k)
+        step = np.divide(rz, curve, out=np.zeros(k), where=(curve > 0) & (rz > tol**2 * start))
+        moved = state.withColumns({"u": _combined("u", "p", step, k), "r": _combined("r", "ap", -step, k)}).drop("ap")
+        new = _dots(moved, "r", F.transform("r", lambda x: x / F.col("d")), k)
+        turn = np.divide(new, rz, out=np.zeros(k), where=(rz > 0) & (step > 0))
+        state = moved.withColumn("p", F.array(*[F.col("r")[j] / F.col("d") + float(turn[j]) * F.col("p")[j] for j in range(k)]))
+        rz = np.where(step > 0, new, 0.0)
+    else:
+        raise RuntimeError(f"the fixed effects have not converged after {max_steps} steps")
     out = df
     for f in others:
-        rows = [(n[len(f) + 1 :], *map(float, effects[i])) for n, i in at.items() if n.startswith(f"{f}=")]
-        table = df.sparkSession.createDataFrame(rows, schema)
-        out = out.join(table, out[f].cast("string") == table["_level"]).drop("_level")
-        out = out.withColumns({c: F.col(c) - F.col(f"_e_{c}") for c in cols}).drop(*[f"_e_{c}" for c in cols])
+        table = state.where(F.col("fe") == f).select(F.col("level").alias("_level"), F.col("u").alias("_u"))
+        out = out.join(table, out[f].cast("string") == table["_level"])
+        out = out.withColumns({c: F.col(c) - F.col("_u")[j] for j, c in enumerate(cols)}).drop("_u", "_level")
     return within_one(out, cols, primary, w)
 
 
@@ -157,6 +153,7 @@ class Fit:
     n_clusters: int
     n_levels: int
     within_r2: float
+    n_dropped: int = 0  # rows with a NULL outcome, regressor, effect or cluster
 
     def rows(self) -> list[dict]:
         crit = tails.t_quantile(0.975, self.n_clusters - 1) if self.n_clusters > 1 else float("nan")
@@ -181,12 +178,14 @@ ROW_SCHEMA = "term string, coef double, se double, t double, p double, ci_low do
 def fe_ols(df: DataFrame, y: str, xs: Sequence[str], fes: Sequence[str], cluster: str, w: str | None = None) -> Fit:
     """Regression with fixed effects and clustered errors on any panel.
 
-    Three jobs over the rows: level cross products, normal equations, cluster scores. Only matrices
-    of regressor size come to the driver.
+    Fixed effects, normal equations and cluster scores are jobs over the rows; only matrices of regressor size come
+    to the driver. Rows with a NULL in any used column are left out and counted in ``n_dropped``.
     """
     cols = [y, *xs]
+    before = df.count()
+    df = df.dropna(subset=list(dict.fromkeys([*cols, *fes, cluster])))
     # the cluster may be one of the effects or of the columns, so everything gets its own name
-    data = df.dropna(subset=[*cols]).select(
+    data = df.select(
         *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fes)],
         F.col(cluster).cast("string").alias("_cluster"),
         _weight(w).alias("_w"),
@@ -228,7 +227,7 @@ def fe_ols(df: DataFrame, y: str, xs: Sequence[str], fes: Sequence[str], cluster
     adj = g / (g - 1) * (n - 1) / max(n - k - levels, 1) if g > 1 else float("nan")
     ss_res = s[0, 0] - b @ s[1:, 0]
     r2 = 1 - ss_res / s[0, 0] if s[0, 0] > 0 else float("nan")
-    return Fit(list(xs), b, adj * inv @ meat @ inv, n, g, levels, float(r2))
+    return Fit(list(xs), b, adj * inv @ meat @ inv, n, g, levels, float(r2), before - n)
 
 
 def fits_frame(spark, fits: dict[str, Fit], label: str = "model") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.exprs import uniform01, webb_weight
-from tripspark.operators.contrasts import influences
+from tripspark.operators.contrasts import influences, projection_weights
 
 
 @dataclass(frozen=True)
@@ -74,19 +74,21 @@ def year_mean(ev: Sequence[str], year: int) -> np.ndarray:
     return hit / max(hit.sum(), 1.0)
 
 
-def trend_weights(ev: Sequence[str], spec: TrendSpec, post: int = 2025, last: int = 2024) -> np.ndarray:
-    """Post-year effect against the last pre-year, minus the trend extrapolated between them."""
-    years = np.array([year_of(m) for m in ev])
-    k = np.array([(year_of(m) - 2023) * 12 + month_of(m) - 1 for m in ev], dtype=float)
-    a = year_mean(ev, post) - year_mean(ev, last)
+def drift_adjusted(ev: Sequence[str], spec: TrendSpec, post: int = 2025) -> np.ndarray:
+    """Weights of the step into the policy year, less the step that the drift of earlier years foretells.
+
+    The drift is a polynomial in time whose slopes are least-squares weights on the months of the fit; its own
+    step is the difference of the powers' means over the two years, so the constant drops out.
+    """
+    step = year_mean(ev, post) - year_mean(ev, post - 1)
     if spec.trend is None:
-        return a
-    fit = np.flatnonzero((years >= spec.trend[0]) & (years <= spec.trend[1]))
-    design = np.vander(k, spec.degree + 1, increasing=True)
-    coef = np.zeros((spec.degree + 1, len(ev)))
-    coef[:, fit] = np.linalg.pinv(design[fit])
-    ahead = design[years == post].mean(axis=0) - design[years == last].mean(axis=0)
-    return a - ahead @ coef
+        return step
+    t = np.array([year_of(m) - post + (month_of(m) - 1) / 12 for m in ev])
+    powers = np.stack([t**d for d in range(1, spec.degree + 1)], axis=1)
+    inside = np.array([spec.trend[0] <= year_of(m) <= spec.trend[1] for m in ev])
+    slopes = np.zeros((spec.degree, len(ev)))
+    slopes[:, inside] = projection_weights(powers[inside])
+    return step - (step @ powers) @ slopes
 
 
 def summary_terms(months: Sequence[str]) -> dict[str, dict[str, float]]:
@@ -103,7 +105,7 @@ def summary_terms(months: Sequence[str]) -> dict[str, dict[str, float]]:
         "placebo_2024_vs_2023": y24 - y23,
         "effect_2025_vs_2024": y25 - y24,
         "accel": (y25 - y24) - (y24 - y23),
-        "effect_trend_adj": trend_weights(ev, spec),
+        "effect_trend_adj": drift_adjusted(ev, spec),
         "pre_slope": slope,
         "effect_vs_last_pre": y25 - last,
     }
@@ -120,7 +122,7 @@ def spec_terms(months: Sequence[str]) -> dict[str, dict[str, float]]:
     out = {}
     for name, spec in SPECS.items():
         ev = event_months(months, spec)
-        out[name] = on_calendar(dict(zip(ev, map(float, trend_weights(ev, spec)), strict=True)), spec)
+        out[name] = on_calendar(dict(zip(ev, map(float, drift_adjusted(ev, spec)), strict=True)), spec)
     return out
 
 

@@ -30,30 +30,28 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         F.max("x").alias("x_max"),
     )
     k = len(probs)
-    brackets = sketch.select(
+    lo = [F.col("x_min") if lows[i] == 0.0 else F.get("edges", F.lit(i)) for i in range(k)]
+    hi = [F.col("x_max") if highs[i] == 1.0 else F.get("edges", F.lit(k + i)) for i in range(k)]
+    brackets = sketch.select(*keys, "n", F.array(*[F.struct(F.lit(p).alias("prob"), lo[i].alias("lo"), hi[i].alias("hi")) for i, p in enumerate(probs)]).alias("b"))
+    met = rows.join(brackets, keys)  # one row of brackets per group
+    sides = []
+    for i in range(k):
+        below, above = F.col("x") < F.col("b")[i]["lo"], F.col("x") > F.col("b")[i]["hi"]
+        sides += [F.sum(below.cast("long")).alias(f"_c{i}"), F.max(F.when(below, F.col("x"))).alias(f"_l{i}"), F.min(F.when(above, F.col("x"))).alias(f"_h{i}")]
+    totals = met.groupBy(*keys).agg(*sides)
+    around = totals.select(
         *keys,
-        "n",
         F.inline(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(p).alias("prob"),
-                        (F.col("x_min") if lows[i] == 0.0 else F.get("edges", F.lit(i))).alias("lo"),
-                        (F.col("x_max") if highs[i] == 1.0 else F.get("edges", F.lit(k + i))).alias("hi"),
-                    )
+                    F.struct(F.lit(p).alias("prob"), F.col(f"_c{i}").alias("below"), F.col(f"_l{i}").alias("before"), F.col(f"_h{i}").alias("after"))
                     for i, p in enumerate(probs)
                 ]
             )
         ),
     )
-    counts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
-    joined = counts.join(brackets, keys)
-    around = joined.groupBy(*keys, "prob").agg(
-        F.coalesce(F.sum(F.when(F.col("x") < F.col("lo"), F.col("c"))), F.lit(0)).alias("below"),
-        F.max(F.when(F.col("x") < F.col("lo"), F.col("x"))).alias("before"),
-        F.min(F.when(F.col("x") > F.col("hi"), F.col("x"))).alias("after"),
-    )
-    inside = joined.where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    hits = F.filter("b", lambda r: (F.col("x") >= r["lo"]) & (F.col("x") <= r["hi"]))
+    inside = met.select(*keys, "n", "x", F.explode(hits).alias("r")).groupBy(*keys, "n", "x", F.col("r.prob").alias("prob")).agg(F.count(F.lit(1)).alias("c"))
     ranked = inside.join(around, [*keys, "prob"])
     order = Window.partitionBy(*keys, "prob").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("upto", F.col("below") + F.sum("c").over(order))
@@ -69,9 +67,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int, by: list[str] | None = None) -> DataFrame:
-    """Interpolated quantile edges of a unit-level table, as one array per group."""
-    probs = [i / bins for i in range(bins + 1)]
-    return df.groupBy(*(by or [])).agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("edges"))
+    """Interpolated quantile edges, as one array per group, for groups of any size."""
+    found = exact_quantiles(df, by or [], column, [i / bins for i in range(bins + 1)])
+    listed = found.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct("prob", "value"))).alias("pv"))  # bins + 1 values
+    return listed.select(*(by or []), F.transform("pv", lambda e: e["value"]).alias("edges"))
 
 
 def bin_of(value: str | Column, edges: Column, bins: int) -> Column:

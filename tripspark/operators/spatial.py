@@ -48,6 +48,7 @@ def neighbour_counts(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def rings(nodes: DataFrame, edges: DataFrame, key: str, is_seed: Column, max_ring: int = 5) -> DataFrame:
     """Number of steps from the seed set, up to ``max_ring``, NULL beyond: one aggregate per ring.
 
+    ``max_ring`` is a parameter of the measure: nodes farther away have no ring.
     Each round keeps one row per node reached, so the work is edges × rounds and never all paths.
     """
     edges = checkpointed(edges)
@@ -92,14 +93,17 @@ def point_segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: C
 
 
 def nearest_target(points: DataFrame, key: str, targets: DataFrame, step: float) -> DataFrame:
-    """Distance from each point to the nearest target point, NULL without targets: (key, dist).
+    """Distance from each point to the nearest target point: (key, dist).
 
+    NULL without targets, and for points with a missing or non-finite coordinate; such targets are left out.
     Points that find a target no farther than the grid cell are done; the others try cells twice as
     wide. Every round is an equi-join on cells, and the points still open are written between rounds,
     so the number of rounds is the logarithm of the largest distance.
     """
-    todo = points.select(F.col(key).alias("a"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    goal = targets.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    usable = F.greatest(F.abs("x"), F.abs("y")) < float("inf")  # a comparison with NULL is not true, and NaN is the greatest
+    usable = usable & F.col("x").isNotNull() & F.col("y").isNotNull()
+    todo = points.select(F.col(key).alias("a"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(usable)
+    goal = targets.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(usable)
     found = None
     size = step
     while not goal.isEmpty():

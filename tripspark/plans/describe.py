@@ -105,7 +105,7 @@ def median_profile(t):
 )
 def source_summary(t):
     """Rows, time range and fare statistics per source."""
-    return t.trips.groupBy("service").agg(
+    return t.two_sources.groupBy("service").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("pickup_ts").alias("first_pickup"),
         F.max("pickup_ts").alias("last_pickup"),

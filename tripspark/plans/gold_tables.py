@@ -110,7 +110,7 @@ def gold_consolidate(t):
 )
 def fee_share_by_zone(t):
     """Share of trips inside a zone that paid the fee."""
-    return quality.fee_share_by_zone(t.trips, "hvfhv")
+    return quality.fee_share_by_zone(t.two_sources, "hvfhv")
 
 
 _ZONE_SHARE = {
@@ -131,7 +131,7 @@ _ZONE_SHARE = {
 )
 def zone_classify(t):
     """Zone groups from the measured fee share."""
-    share = quality.fee_share_by_zone(t.trips, "hvfhv").select("zone", "fee_share")
+    share = quality.fee_share_by_zone(t.two_sources, "hvfhv").select("zone", "fee_share")
     zones = t.dim_zone.drop("grp").join(share, "zone", "left")
     return clean.classify_zones(zones, rules=ZONE_RULES)
 

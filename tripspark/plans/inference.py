@@ -11,7 +11,7 @@ from tripspark.plans.registry import query
 from tripspark.plans.space import _POINTS, zone_points
 
 N_PERM = 500
-N_BOOT = 1999
+N_BOOT = 9999
 _N_WEEKS = "(SELECT count(DISTINCT wk) FROM panel_week)"
 
 

@@ -12,9 +12,9 @@ from tripspark.plans.registry import query
 
 OUT = ["ln_n", "mph", "rider_ex_pt"]
 MONTHS = longrun.months_between(2022, 2025)
-DRAWS = 499
+DRAWS = 1999
 GRID = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
-FINE = [round(0.05 * i, 2) for i in range(61)]
+FINE = [round(0.005 * i, 3) for i in range(601)]
 
 
 def values_sql(terms: dict[str, dict[str, float]]) -> str:

@@ -12,10 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.config import CleaningRules, ZoneRules
-from tripspark.operators import clean, panel
+from tripspark.config import GROUPS, CleaningRules, ZoneRules
+from tripspark.operators import clean, gold, panel
 from tripspark.plans.lake import Lake
 from tripspark.session import scratch_path
+from tripspark.sources.catalog import list_files
 from tripspark.sources.trips import standardize_ridehail, standardize_taxi, union_sources
 
 RULES = CleaningRules(last_zone=24)
@@ -64,48 +65,54 @@ SELECT CAST(n_nationkey + 1 AS INTEGER) AS zone, n_name AS zone_name, r_name AS
        CASE WHEN n_nationkey = 24 THEN 'UNKNOWN' WHEN n_regionkey = 4 THEN 'AIRPORT' WHEN n_regionkey = 0 THEN 'CRZ'
             WHEN n_nationkey IN (3, 13) THEN 'CRZ_PARTIAL' WHEN n_regionkey = 1 THEN 'MN_NORTH' ELSE 'OUTER' END AS grp
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "flagged": """
-SELECT *,
-  CAST(pickup_ts IS NULL OR CAST(date_trunc('month', pickup_ts) AS DATE) <> src_month AS INTEGER) AS q_out_of_month,
-  CAST(pu NOT BETWEEN 1 AND 24 OR dl NOT BETWEEN 1 AND 24 AS INTEGER) AS q_bad_zone,
-  CAST(miles IS NULL OR miles <= 0 OR miles > 100 AS INTEGER) AS q_bad_miles,
-  CAST(time_s IS NULL OR time_s < 60 OR time_s > 14400 AS INTEGER) AS q_bad_time,
-  CAST(fare IS NULL OR fare <= 0 OR fare > 1000 AS INTEGER) AS q_bad_fare,
-  CASE WHEN time_s > 0 AND miles / (time_s / 3600.0e0) > 80 THEN 1 ELSE 0 END AS q_bad_speed,
-  CASE WHEN service = 'hvfhv' AND (driver_pay IS NULL OR driver_pay < 0) THEN 1 ELSE 0 END AS q_bad_pay
-FROM trips""",
-    "silver": """
-SELECT f.* EXCLUDE (q_out_of_month, q_bad_zone, q_bad_miles, q_bad_time, q_bad_fare, q_bad_speed, q_bad_pay),
-       zp.grp AS pu_grp, zd.grp AS do_grp,
-       CAST(pickup_ts AS DATE) AS d, CAST(hour(pickup_ts) AS TINYINT) AS hr, CAST(isodow(pickup_ts) AS TINYINT) AS dow,
-       CASE WHEN date_diff('second', request_ts, pickup_ts) BETWEEN 0 AND 7200
-            THEN date_diff('second', request_ts, pickup_ts) / 60.0e0 END AS wait_min,
-       miles / (time_s / 3600.0e0) AS mph,
-       CAST(zp.grp = 'CRZ' OR zd.grp = 'CRZ' AS INTEGER) AS touch_crz,
-       fare + tolls + bcf + tax + cong_sur + airport_fee + cbd_fee AS rider_cost
-FROM flagged AS f LEFT JOIN dim_zone AS zp ON f.pu = zp.zone LEFT JOIN dim_zone AS zd ON f.dl = zd.zone
-WHERE q_out_of_month + q_bad_zone + q_bad_miles + q_bad_time + q_bad_fare + q_bad_speed + q_bad_pay = 0""",
 }
 
-_SUMS = """CAST(count(*) AS BIGINT) AS n, sum(fare) AS fare, sum(driver_pay) AS pay, sum(miles) AS miles, sum(time_s) AS time_s,
-  sum(tips) AS tips, sum(cbd_fee) AS cbd, sum(rider_cost) AS rider_cost, sum(cong_sur) AS cong_sur, sum(tolls) AS tolls,
-  sum(wait_min) AS wait_sum, CAST(count(wait_min) AS BIGINT) AS wait_n, CAST(sum(shared_req) AS BIGINT) AS shared_req,
-  CAST(count(*) FILTER (WHERE cbd_fee > 0) AS BIGINT) AS n_cbd"""
-SUM_ROUND = "fare:4 pay:4 miles:4 time_s:4 tips:4 cbd:4 rider_cost:4 cong_sur:4 tolls:4 wait_sum:4"
-
-CTES["zone_day_pu"] = f"""SELECT service, d, pu AS zone, {_SUMS},
-  CAST(count(*) FILTER (WHERE do_grp = 'CRZ') AS BIGINT) AS n_to_crz,
-  CAST(count(*) FILTER (WHERE company_code = 'HV0003') AS BIGINT) AS n_uber,
-  CAST(count(*) FILTER (WHERE company_code = 'HV0005') AS BIGINT) AS n_lyft FROM silver GROUP BY ALL"""
-CTES["zone_day_do"] = f"""SELECT service, d, dl AS zone, {_SUMS},
-  CAST(count(*) FILTER (WHERE pu_grp = 'CRZ') AS BIGINT) AS n_from_crz FROM silver GROUP BY ALL"""
-CTES["grp_hour_day"] = f"SELECT service, d, hr, pu_grp, do_grp, {_SUMS} FROM silver GROUP BY ALL"
-CTES["company_grp_day"] = f"SELECT service, company_code, d, pu_grp, do_grp, {_SUMS} FROM silver GROUP BY ALL"
-CTES["zone_hour_month"] = f"SELECT service, strftime(d, '%Y-%m') AS ym, pu AS zone, hr, {_SUMS} FROM silver GROUP BY ALL"
-CTES["od_month"] = f"SELECT service, strftime(d, '%Y-%m') AS ym, pu, dl, {_SUMS} FROM silver GROUP BY ALL"
-
-_SUM_COLS = "n fare pay miles time_s tips cbd rider_cost cong_sur tolls wait_sum wait_n shared_req n_cbd".split()
-_SUM_LIST = ", ".join(f"sum({c}) AS {c}" for c in _SUM_COLS)
+#: What a sound row fulfils, by flag; anything else, missing values included, breaks the rule.
+_SOUND = {
+    "q_out_of_month": "strftime(pickup_ts, '%Y%m') = strftime(src_month, '%Y%m')",
+    "q_bad_zone": f"least(pu, dl) >= {RULES.first_zone} AND greatest(pu, dl) <= {RULES.last_zone}",
+    "q_bad_miles": f"miles > {RULES.min_miles} AND miles <= {RULES.max_miles}",
+    "q_bad_time": f"time_s BETWEEN {RULES.min_time_s} AND {RULES.max_time_s}",
+    "q_bad_fare": f"fare > {RULES.min_fare} AND fare <= {RULES.max_fare}",
+    "q_bad_speed": f"coalesce(miles / (nullif(greatest(time_s, 0), 0) / 3600.0e0), 0) <= {RULES.max_speed_mph}",
+    "q_bad_pay": f"service NOT IN ({', '.join(map(repr, RULES.pay_required))}) OR driver_pay >= 0",
+}
+CTES["flagged"] = "SELECT trips.*, " + ", ".join(f"1 - coalesce(({ok})::INTEGER, 0) AS {q}" for q, ok in _SOUND.items()) + " FROM trips"
+CTES["sound"] = f"SELECT * EXCLUDE ({', '.join(_SOUND)}) FROM flagged WHERE " + " AND ".join(f"{q} = 0" for q in _SOUND)
+_PAID = "fare tolls bcf tax cong_sur airport_fee cbd_fee".split()
+CTES["silver"] = f"""SELECT s.*, o.grp AS pu_grp, t.grp AS do_grp, pickup_ts::DATE AS d, extract('hour' FROM pickup_ts)::TINYINT AS hr,
+       extract('isodow' FROM pickup_ts)::TINYINT AS dow, CASE WHEN waited >= 0 AND waited <= {RULES.max_wait_min * 60} THEN waited / 60.0e0 END AS wait_min,
+       miles / hours AS mph, coalesce('{GROUPS.treated}' IN (o.grp, t.grp), FALSE)::INTEGER AS touch_crz, {" + ".join(_PAID)} AS rider_cost
+FROM (SELECT *, epoch(pickup_ts) - epoch(request_ts) AS waited, time_s / 3600.0e0 AS hours FROM sound) AS s
+LEFT JOIN dim_zone AS o ON o.zone = pu LEFT JOIN dim_zone AS t ON t.zone = dl"""
+CTES["silver"] = f"SELECT * EXCLUDE (waited, hours) FROM ({CTES['silver']})"
+
+# Names of the additive measures and what they add up; counts are whole numbers.
+_ADDED = {
+    "fare": "fare", "pay": "driver_pay", "miles": "miles", "time_s": "time_s", "tips": "tips", "cbd": "cbd_fee",
+    "rider_cost": "rider_cost", "cong_sur": "cong_sur", "tolls": "tolls", "wait_sum": "wait_min",
+}
+_COUNTED = {
+    "n": "TRUE", "wait_n": "wait_min IS NOT NULL", "shared_req": "shared_req = 1", "n_cbd": "cbd_fee > 0",
+    "n_to_crz": f"do_grp = '{GROUPS.treated}'", "n_from_crz": f"pu_grp = '{GROUPS.treated}'",
+    **{name: f"company_code = '{code}'" for name, code in gold.COMPANY_COUNTERS.items()},
+}
+SUM_ROUND = " ".join(f"{name}:4" for name in _ADDED)
+
+
+def _additive_sql(table: str) -> str:
+    """An additive table from its keys and counters."""
+    keys, extra = gold.TABLES[table]
+    made = {"zone": "dl" if table == "zone_day_do" else "pu", "ym": "strftime(d, '%Y-%m')"}
+    columns = [f"{made.get(k, k)} AS {k}" for k in keys]
+    columns += [f"sum({c}) AS {name}" for name, c in _ADDED.items()]
+    columns += [f"count_if({c})::BIGINT AS {name}" for name, c in _COUNTED.items() if name in gold.MEASURE_NAMES or name in extra]
+    return f"SELECT {', '.join(columns)} FROM silver GROUP BY ALL"
+
+
+CTES.update({table: _additive_sql(table) for table in gold.TABLES})
+
+_SUM_LIST = ", ".join(f"sum({c}) AS {c}" for c in gold.MEASURE_NAMES)
 RATIO_SQL = """ln(n) AS ln_n, fare / nullif(miles, 0) AS fare_pm, pay / nullif(miles, 0) AS pay_pm, fare / nullif(n, 0) AS fare_pt,
   pay / nullif(n, 0) AS pay_pt, miles / nullif(time_s / 3600.0e0, 0) AS mph, time_s / nullif(n, 0) / 60.0e0 AS min_pt,
   miles / nullif(n, 0) AS miles_pt, wait_sum / nullif(wait_n, 0) AS wait, rider_cost / nullif(n, 0) AS rider_pt,
@@ -207,10 +214,9 @@ class StandIn:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Order lines with zones and a pick-up time. Lines and orders are both facts: they meet by a
-        sort-merge join at any size; the other sides are broadcast if their statistics allow it."""
+        """Order lines with zones and a pick-up time; how the sides meet is left to their statistics."""
         lines = self.table("lineitem")
-        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate").hint("merge")
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         supplier = self.table("supplier").select("s_suppkey", (F.col("s_nationkey") + 1).cast("int").alias("dz"))
         joined = (
@@ -255,39 +261,6 @@ class StandIn:
             standardize_ridehail(self.raw_ridehail, keep=("src_month",)), standardize_taxi(self.raw_taxi, keep=("src_month",))
         )
 
-    @cached_property
-    def trips(self) -> DataFrame:
-        """The same rows in one pass, since here both sources come from one table."""
-        hail = "l_linestatus = 'O'"
-        columns = {
-            "service": f"CASE WHEN {hail} THEN 'hvfhv' ELSE 'yellow' END",
-            "company_code": f"CASE WHEN NOT {hail} THEN 'YELLOW' WHEN l_returnflag = 'R' THEN 'HV0005' ELSE 'HV0003' END",
-            "request_ts": f"CASE WHEN {hail} AND l_linenumber <> 7"
-            " THEN timestampadd(SECOND, 60 - (l_suppkey * 97 + l_linenumber * 131) % 9000, ts0) END",
-            "pickup_ts": RAW_RIDEHAIL["pickup_datetime"],
-            "dropoff_ts": RAW_RIDEHAIL["dropoff_datetime"],
-            "pu": "pz",
-            "dl": "dz",
-            "miles": "dist",
-            "time_s": f"CASE WHEN {hail} OR NOT (l_orderkey % 997 = 0 AND l_linenumber = 1) THEN CAST(secs AS DOUBLE) END",
-            "fare": "price",
-            "tolls": "price * l_tax",
-            "bcf": "0.0D",
-            "tax": "0.5D",
-            "cong_sur": "CASE WHEN l_linenumber = 3 THEN 0.0D ELSE 2.75D END",
-            "airport_fee": "CASE WHEN dz % 5 = 0 THEN 1.25D ELSE 0.0D END",
-            "cbd_fee": "toll_fee",
-            "tips": "price * l_discount",
-            "driver_pay": f"CASE WHEN {hail} AND l_partkey % 301 <> 0 THEN price * (1 - l_discount) END",
-            "shared_req": f"CAST({hail} AND l_returnflag = 'R' AS INT)",
-            "shared_match": f"CAST({hail} AND l_returnflag = 'R' AND l_linenumber <= 3 AS INT)",
-            "wav_req": f"CAST({hail} AND l_linenumber = 7 AS INT)",
-            "total_amount": f"CASE WHEN NOT {hail} THEN price + 3.0D END",
-            "payment_type": f"CASE WHEN NOT {hail} THEN l_linenumber END",
-            "src_month": "src_month",
-        }
-        return self.lines.select(*[F.expr(e).alias(n) for n, e in columns.items()])
-
     @cached_property
     def dim_zone(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -303,17 +276,23 @@ class StandIn:
 
     @cached_property
     def flagged(self) -> DataFrame:
-        return clean.add_quality_flags(self.trips, RULES)
+        return clean.add_quality_flags(self.two_sources, RULES)
 
     @cached_property
     def silver(self) -> DataFrame:
         """Cleaned trips as one lazy plan from the raw tables."""
-        return clean.derive_columns(self.flagged, self.dim_zone, RULES)
+        return clean.clean_trips(self.two_sources, self.dim_zone, RULES)
+
+    @cached_property
+    def _state(self) -> str:
+        """Changes with path, size or modification time of any file below the folder."""
+        files = list_files(self.spark, self.folder)
+        return files.agg(F.sum(F.xxhash64("path", "bytes", "modified").cast("decimal(38,0)")).cast("string")).first()[0]
 
     @cached_property
     def lake(self) -> Lake:
         """Cleaned trips and aggregates as written tables, shared by all queries of the application."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
+        key = (self.spark.sparkContext.applicationId, self.folder, self._state)
         if key not in _LAKES:
             _LAKES[key] = Lake(self.spark, scratch_path(self.spark, "lake"))
         lake = _LAKES[key]
@@ -379,4 +358,4 @@ def quarter_of(ym: str):
     return F.concat(F.substring(ym, 1, 4), F.lit("-Q"), F.ceil(F.substring(ym, 6, 2).cast("int") / 3).cast("string"))
 
 
-_LAKES: dict[tuple[str, str], Lake] = {}
+_LAKES: dict[tuple[str, str, str], Lake] = {}

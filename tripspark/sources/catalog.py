@@ -16,16 +16,16 @@ CATALOG_SCHEMA = (
     "path string, bytes long, n_rows long, n_row_groups int, n_columns int, compression string, created_by string, schema_fp string"
 )
 STATS_SCHEMA = "path string, row_group int, column_name string, n_rows long, n_nulls long, min_value string, max_value string"
-HASH_SCHEMA = "path string, bytes long, sha256 string"
+HASH_SCHEMA = "path string, bytes long, modified timestamp, sha256 string"
 CHUNK = 8 << 20
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """Path and size of files below a folder. Contents are pruned away, so nothing but the listing is read."""
+    """Path, size and modification time of files below a folder. Contents are pruned away: only the listing is read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     )
-    return files.select("path", F.col("length").alias("bytes"))
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -91,22 +91,23 @@ def row_group_stats(files: DataFrame, column: str | None = None) -> DataFrame:
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for path, size in zip(pdf["path"], pdf["bytes"], strict=True):
+        for path, size, modified in zip(pdf["path"], pdf["bytes"], pdf["modified"], strict=True):
             system, inner = _open(path)
             h = hashlib.sha256()
             with system.open_input_stream(inner) as stream:
                 while chunk := stream.read(CHUNK):
                     h.update(chunk)
-            rows.append((path, int(size), h.hexdigest()))
-        yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+            rows.append((path, int(size), modified, h.hexdigest()))
+        yield pd.DataFrame(rows, columns=["path", "bytes", "modified", "sha256"])
 
 
 def sha256_manifest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """SHA-256 per file, read in chunks; files of unchanged size in ``known`` are not hashed again."""
+    """SHA-256 per file, read in chunks; files of unchanged size and time in ``known`` are not hashed again."""
     if known is None:
         return _spread(files).mapInPandas(_hashes, HASH_SCHEMA)
-    fresh = files.join(known.select("path", "bytes"), ["path", "bytes"], "left_anti")
-    kept = known.join(files, ["path", "bytes"], "left_semi")
+    same = ["path", "bytes", "modified"]
+    fresh = files.join(known.select(*same), same, "left_anti")
+    kept = known.join(files, same, "left_semi")
     return kept.unionByName(_spread(fresh).mapInPandas(_hashes, HASH_SCHEMA))
 
 
@@ -115,5 +116,5 @@ def verify_manifest(manifest: DataFrame, sample: int = 3, seed: int = 0) -> Data
     from tripspark.functions.exprs import uniform01
 
     picked = manifest.orderBy(uniform01(F.lit(seed), "path"), "path").limit(sample)
-    again = _spread(picked.select("path", "bytes")).mapInPandas(_hashes, HASH_SCHEMA).withColumnRenamed("sha256", "again")
+    again = _spread(picked.select("path", "bytes", "modified")).mapInPandas(_hashes, HASH_SCHEMA).withColumnRenamed("sha256", "again")
     return picked.join(again.select("path", "again"), "path").select("path", (F.col("sha256") == F.col("again")).alias("match"))

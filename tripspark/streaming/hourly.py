@@ -68,10 +68,16 @@ PROGRESS_SCHEMA = (
 
 
 def progress(spark: SparkSession, q: StreamingQuery) -> DataFrame:
-    """One row per micro-batch: rows, times, watermark and state. The history kept by Spark is bounded."""
+    """One row per micro-batch: rows, times, watermark and state.
+
+    Spark keeps as many batches as spark.sql.streaming.numRecentProgressUpdates says. A full history is refused,
+    since earlier batches may have left it: set that number above the batches of a run before it starts.
+    """
     rows = []
-    for p in q.recentProgress:
-        d = json.loads(p.json) if hasattr(p, "json") else p
+    told = [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
+    if len(told) >= int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")):
+        raise RuntimeError("the progress history is full, batches may be missing; raise spark.sql.streaming.numRecentProgressUpdates")
+    for d in told:
         state = (d.get("stateOperators") or [{}])[0]
         ms = d.get("durationMs", {})
         rows.append(
