@@ -55,14 +55,18 @@ def _extras(treated: str) -> dict[str, Column]:
     return out
 
 
+def all_measures(table: str, treated: str = GROUPS.treated) -> dict[str, Column]:
+    """Measures and extra counters of a table."""
+    return {**measures(), **{name: _extras(treated)[name] for name in TABLES[table][1]}}
+
+
 def build_gold(trips: DataFrame, table: str, treated: str = GROUPS.treated) -> DataFrame:
     """One aggregate table from cleaned trips: partial aggregation in each task, one shuffle on the keys."""
-    keys, extra = TABLES[table]
+    keys, _ = TABLES[table]
     zone = "dl" if table == "zone_day_do" else "pu"
     derived = {"zone": F.col(zone), "ym": year_month("d")}
     grouping = [derived[k].alias(k) if k in derived else F.col(k) for k in keys]
-    aggregates = {**measures(), **{name: _extras(treated)[name] for name in extra}}
-    return trips.groupBy(*grouping).agg(*[expr.alias(name) for name, expr in aggregates.items()])
+    return trips.groupBy(*grouping).agg(*[expr.alias(name) for name, expr in all_measures(table, treated).items()])
 
 
 def consolidate(partials: DataFrame, table: str) -> DataFrame:

@@ -21,17 +21,18 @@ AS_TEXT = {
     "trip_sample": "pickup_ts:time",
     "standardize_union": "request_ts:time pickup_ts:time dropoff_ts:time src_month",
     "quality_flags": "src_month",
-    "silver_clean": "pickup_ts:time d",
+    "silver_clean": "request_ts:time pickup_ts:time dropoff_ts:time d src_month",
     "gold_zone_day_pu": "d",
     "gold_zone_day_do": "d",
     "gold_grp_hour_day": "d",
     "gold_company_grp_day": "d",
     "gold_consolidate": "d",
     "chunk_by_day_range": "src_month",
-    "max_all_columns": "pickup_ts:time",
+    "max_all_columns": "request_ts:time pickup_ts:time dropoff_ts:time d src_month",
     "reconcile_full_outer": "d",
     "reconcile_layers": "src_month",
     "csv_roundtrip": "d",
+    "csv_plain_roundtrip": "d",
     "incremental_partitions": "src_month",
     "split_by_day": "day",
     "stream_tumbling_1h": "hour:time",

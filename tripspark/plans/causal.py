@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripspark.functions.exprs import ratio, safe_ln
 from tripspark.operators import clean, contrasts, fixed_effects
+from tripspark.operators.panel import RATIOS
 from tripspark.plans.registry import query
 from tripspark.plans.standin import SUM_ROUND
 
@@ -151,8 +152,12 @@ def did_twfe(t):
     return contrasts.estimate(c, ["outcome"], n)
 
 
+# every outcome; units without a value in some week are left out of that outcome, as in the operator
+_ALL_LONG = long_sql("panel_week", list(RATIOS), "zone, wk, treat, post, k, woy, w_pre")
 _SPECS = {
     **_TWFE,
+    "pw_any": _ALL_LONG,
+    "pw_long": f"SELECT * FROM pw_any SEMI JOIN (SELECT zone, outcome FROM pw_any GROUP BY ALL HAVING count(y) = {_N_WEEKS}) USING (zone, outcome)",
     "pw_wk": "SELECT DISTINCT wk, post, k, woy FROM panel_week",
     # effect of post next to a linear trend: residual of post on k, over the calendar
     "pw_trend": """SELECT wk, r / sum(r * r) OVER () AS a FROM (SELECT wk, post - (SELECT regr_intercept(post, k) FROM pw_wk) - (SELECT regr_slope(post, k) FROM pw_wk) * k AS r FROM pw_wk)""",
@@ -171,12 +176,12 @@ _spec_ctes, _spec_final = difference_sql(
 
 @query("did_specs", _spec_final, "coef se t:4", {**_SPECS, **_spec_ctes})
 def did_specs(t):
-    """Plain, weighted, group-trend and seasonal specifications."""
+    """Plain, weighted, group-trend and seasonal specifications of every outcome."""
     panel = t.panel_week
     out = None
     for spec in ("twfe", "weighted", "trend", "seasonal"):
         kind = "twfe" if spec == "weighted" else spec
-        c, n = policy_contrasts(t, panel, "wk", OUTCOMES, kind, keep=("treat", "w_pre"), extra_cols=("k", "woy"))
+        c, n = policy_contrasts(t, panel, "wk", RATIOS, kind, keep=("treat", "w_pre"), extra_cols=("k", "woy"))
         levels = 2 * len(contrasts.periods_of(panel, ["woy"])) - 1 if spec == "seasonal" else 0
         one = contrasts.estimate(
             c, ["outcome"], n, k=2 if spec == "trend" else 1, extra_levels=levels, weight="w_pre" if spec == "weighted" else None
@@ -200,6 +205,12 @@ def fe_ols_multi(t):
     return fixed_effects.fits_frame(t.spark, fits)
 
 
+@query("fe_ols_balanced", f"SELECT spec AS model, coef, se, n_obs, n_clusters FROM ({_spec_final}) WHERE outcome = 'ln_n'", "coef se", {**_SPECS, **_spec_ctes})
+def fe_ols_balanced(t):
+    """The policy effect by the general solver, checked against the closed forms of a balanced panel."""
+    return fe_ols_multi(t).where("term = 'tp' AND model <> 'weekend'").select("model", "coef", "se", "n_obs", "n_clusters")
+
+
 @query("did_inference")
 def did_inference(t):
     """The main estimates with p-values and confidence intervals."""

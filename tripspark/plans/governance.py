@@ -12,6 +12,8 @@ from tripspark.operators import clean, contrasts, forest, gold, privacy, quality
 from tripspark.plans.causal import difference_sql
 from tripspark.plans.inference import u_sql
 from tripspark.plans.registry import query
+from tripspark.plans.standin import additive_columns
+from tripspark.sources.trips import COMMON
 
 _METRICS = gold.MEASURE_NAMES + gold.TABLES["zone_day_pu"][1]
 _COUNT = "CAST(count(*) AS BIGINT)"
@@ -89,10 +91,14 @@ def raw_vendor_counts(t):
 
 
 # ------------------------------------------------------------------ comparison and reconciliation
-@query("max_all_columns", "SELECT max(service) AS service, max(pickup_ts) AS pickup_ts, max(pu) AS pu, max(dl) AS dl, max(miles) AS miles, max(fare) AS fare, max(mph) AS mph FROM silver", "miles fare mph")
+_DOUBLES = "miles time_s fare tolls bcf tax cong_sur airport_fee cbd_fee tips driver_pay total_amount wait_min mph rider_cost"
+_SILVER = [*COMMON, "src_month", "pu_grp", "do_grp", "d", "hr", "dow", "wait_min", "mph", "touch_crz", "rider_cost"]
+
+
+@query("max_all_columns", f"SELECT {', '.join(f'max({c}) AS {c}' for c in _SILVER)} FROM silver", _DOUBLES)
 def max_all_columns(t):
     """Maximum of every column."""
-    return quality.max_all_columns(t.stored_silver.select("service", "pickup_ts", "pu", "dl", "miles", "fare", "mph"))
+    return quality.max_all_columns(t.stored_silver.drop("year", "month"))
 
 
 _FP_COLS = ["zone", *_METRICS]
@@ -127,22 +133,25 @@ def regeneration_check(t):
 def rebuilt_from_hours(t):
     """Zone-day counts once more, by another route: from drop-off and hour detail of the stored trips."""
     s = t.stored_silver.withColumn("zone", F.col("pu"))
-    fine = s.groupBy("service", "d", "hr", "zone").agg(*[e.alias(n) for n, e in gold.measures().items()])
-    return gold.sum_measures(fine, ["service", "d", "zone"])
+    fine = s.groupBy("service", "d", "hr", "zone").agg(*[e.alias(n) for n, e in gold.all_measures("zone_day_pu").items()])
+    return gold.sum_measures(fine, ["service", "d", "zone"], _METRICS)
 
 
-_CMP_METRICS = ["n", "fare", "pay", "miles", "cbd", "wait_sum", "wait_n"]
+_HOURS = {
+    "cmp_hours": f"SELECT service, d, hr, pu AS zone, {additive_columns(_METRICS)} FROM silver GROUP BY ALL",
+    "cmp_left": f"SELECT service, d, zone, {', '.join(f'sum({m}) AS {m}' for m in _METRICS)} FROM cmp_hours GROUP BY ALL",
+}
 _CMP = " UNION ALL ".join(
-    f"SELECT service, '{m}' AS metric, {_COUNT} AS cells, CAST(0 AS BIGINT) AS null_mismatch, sum(CAST({m} AS DOUBLE)) AS total_left, sum(CAST({m} AS DOUBLE)) AS total_right,"
-    f" CASE WHEN count({m}) > 0 THEN TRUE ELSE NULL END AS within FROM zone_day_pu GROUP BY service"
-    for m in _CMP_METRICS
+    f"""SELECT service, '{m}' AS metric, {_COUNT} AS cells, count_if((l.{m} IS NULL) <> (r.{m} IS NULL))::BIGINT AS null_mismatch, sum(l.{m}::DOUBLE) AS total_left,
+        sum(r.{m}::DOUBLE) AS total_right, max(abs(l.{m}::DOUBLE - r.{m}::DOUBLE)) < 1e-6 AS within FROM cmp_left AS l JOIN zone_day_pu AS r USING (service, d, zone) GROUP BY service"""
+    for m in _METRICS
 )
 
 
-@query("cell_compare", _CMP, "total_left:3 total_right:3")
+@query("cell_compare", _CMP, "total_left:3 total_right:3", _HOURS)
 def cell_compare(t):
     """Cell-by-cell comparison of two builds of one table; sums may differ in the last digits only."""
-    out = quality.compare_cells(rebuilt_from_hours(t), t.gold("zone_day_pu"), ["service", "d", "zone"], _CMP_METRICS, "service")
+    out = quality.compare_cells(rebuilt_from_hours(t), t.gold("zone_day_pu"), ["service", "d", "zone"], _METRICS, "service")
     return out.select("service", "metric", "cells", "null_mismatch", "total_left", "total_right", (F.col("max_abs_diff") < 1e-6).alias("within"))
 
 
@@ -181,17 +190,18 @@ def reconcile_layers(t):
 @query(
     "compare_outputs",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, {_COUNT} AS cells, CAST(0 AS BIGINT) AS null_changes, 1.0e0 AS max_abs, max(1.0e0 / nullif(CAST({c} AS DOUBLE), 0)) AS max_rel, 1 AS changed"
-        f" FROM (SELECT service, d, zone, n, wait_n FROM zone_day_pu)"
-        for c in ("n", "wait_n")
+        f"""SELECT '{m}' AS column_name, {_COUNT} AS cells, count_if((a.{m} IS NULL) <> (b.{m} IS NULL))::BIGINT AS null_changes, max(abs(a.{m}::DOUBLE - b.{m})) AS max_abs,
+            max(abs(a.{m}::DOUBLE - b.{m}) / nullif(abs(b.{m}::DOUBLE), 0)) AS max_rel, max((abs(a.{m}::DOUBLE - b.{m}) > 1e-9)::INTEGER) AS changed
+            FROM zone_day_do AS a FULL JOIN zone_day_pu AS b USING (service, d, zone)"""
+        for m in gold.MEASURE_NAMES
     ),
-    "max_abs max_rel",
+    "max_abs:4 max_rel:4",
 )
 def compare_outputs(t):
-    """Changed columns between two versions of a table: here one with every count raised by one."""
-    old = t.gold("zone_day_pu").select("service", "d", "zone", "n", "wait_n")
-    new = old.withColumns({"n": F.col("n") + 1, "wait_n": F.col("wait_n") + 1})
-    return quality.compare_outputs(new, old, ["service", "d", "zone"])
+    """Change of every measure between two tables of one shape: by drop-off and by pick-up zone."""
+    keys = ["service", "d", "zone"]
+    new, old = (t.gold(n).select(*keys, *gold.MEASURE_NAMES) for n in ("zone_day_do", "zone_day_pu"))
+    return quality.compare_outputs(new, old, keys)
 
 
 @query(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.exprs import ratio, year_month
 from tripspark.operators import clean, quality
 from tripspark.plans.registry import query
+from tripspark.plans.standin import SUM_ROUND
 from tripspark.session import scratch_path
 from tripspark.sources import catalog, files, sinks
 
@@ -83,22 +85,44 @@ def union_by_name_widen(t):
     return both.groupBy("service").agg(F.sum("fare").alias("fare"), F.sum("cbd").alias("cbd"), F.sum("n_x").alias("n_x"))
 
 
-@query("csv_roundtrip", "SELECT service, d, zone, n, n_cbd, fare FROM zone_day_pu", "fare:4")
-def csv_roundtrip(t):
-    """Gzip CSV with header, read back with a schema."""
+def _csv(t, **options):
+    """Every column of a table as CSV with header, read back with the table's own schema."""
+    table = t.gold("zone_day_pu")
     path = scratch_path(t.spark, "csv")
-    t.gold("zone_day_pu").select("service", "d", "zone", "n", "n_cbd", "fare").write.option("header", True).option("compression", "gzip").csv(path)
-    return t.spark.read.schema("service string, d date, zone int, n long, n_cbd long, fare double").csv(path, header=True)
+    table.write.options(header=True, **options).csv(path)
+    return t.spark.read.schema(table.schema).csv(path, header=True)
 
 
-@query("parquet_zstd_roundtrip", "SELECT service, ym, pu, dl, n, fare FROM od_month", "fare:4")
-def parquet_zstd_roundtrip(t):
-    """Parquet with Zstandard compression."""
-    path = scratch_path(t.spark, "zstd")
-    t.gold("od_month").select("service", "ym", "pu", "dl", "n", "fare").write.option("compression", "zstd").parquet(path)
+@query("csv_roundtrip", "SELECT * FROM zone_day_pu", SUM_ROUND)
+def csv_roundtrip(t):
+    """CSV compressed with gzip."""
+    return _csv(t, compression="gzip")
+
+
+@query("csv_plain_roundtrip", "SELECT * FROM zone_day_pu", SUM_ROUND)
+def csv_plain_roundtrip(t):
+    """CSV without compression."""
+    return _csv(t)
+
+
+def _parquet(t, codec):
+    path = scratch_path(t.spark, codec)
+    t.gold("od_month").write.option("compression", codec).parquet(path)
     return t.spark.read.parquet(path)
 
 
+@query("parquet_zstd_roundtrip", "SELECT * FROM od_month", SUM_ROUND)
+def parquet_zstd_roundtrip(t):
+    """Parquet with Zstandard compression, every column."""
+    return _parquet(t, "zstd")
+
+
+@query("parquet_snappy_roundtrip", "SELECT * FROM od_month", SUM_ROUND)
+def parquet_snappy_roundtrip(t):
+    """Parquet with Snappy compression, every column."""
+    return _parquet(t, "snappy")
+
+
 @query("silver_partitioned_write", f"{_BY_MONTH} GROUP BY ALL", "fare:4")
 def silver_partitioned_write(t):
     """Cleaned trips by service, year and month, two files per month, sorted by time."""
@@ -226,30 +250,59 @@ def slice_limit(t):
 
 
 def schema_months(t):
-    """Column lists of three monthly versions of each raw source."""
-    hail, taxi = t.raw_ridehail, t.raw_taxi
-    old = hail.drop("cbd_congestion_fee")
-    retyped = hail.withColumn("PULocationID", F.col("PULocationID").cast("long"))
-    tables = {
-        ("hvfhv", "2024-01"): old, ("hvfhv", "2024-02"): old, ("hvfhv", "2025-01"): hail, ("hvfhv", "2025-02"): retyped,
-        ("yellow", "2024-01"): taxi.drop("cbd_congestion_fee"), ("yellow", "2025-01"): taxi,
-    }
-    return files.columns_table(t.spark, tables)
-
-
-_DRIFT = [("hvfhv", "2025-01", "cbd_congestion_fee", "", ""), ("hvfhv", "2025-02", "cbd_congestion_fee", "", "PULocationID"), ("yellow", "2025-01", "cbd_congestion_fee", "", "")]
+    """Monthly files of each raw source, as written, with what their schemas and rows say.
+
+    In every file of an even month before the fee the fee column is missing; files of 2025 on have it, and from
+    February 2025 the ride-hail pick-up zone is a long.
+    """
+    listed = None
+    for source, raw in (("hvfhv", t.raw_ridehail), ("yellow", t.raw_taxi)):
+        month = F.date_format("src_month", "yyyy-MM")
+        for first, last, change in (("0000", "2024-13", "old"), ("2025-01", "2025-02", "new"), ("2025-02", "9999", "later")):
+            df = raw.where((month >= first) & (month < last)).withColumn("m", month)
+            if change == "old":
+                df = df.drop("cbd_congestion_fee")
+            if change == "later" and source == "hvfhv":
+                df = df.withColumn("PULocationID", F.col("PULocationID").cast("long"))
+            path = scratch_path(t.spark, f"schema-{source}-{change}")
+            df.repartition("m").write.partitionBy("m").parquet(path)
+            back = t.spark.read.parquet(path)  # schema from the files' own footers
+            fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(back.schema.fields) if f.name != "m"]
+            months = back.groupBy(F.col("m").alias("month")).agg(F.count(F.lit(1)).alias("n_rows"))
+            columns = F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), F.lit(k).alias("type")) for i, n, k in fields]))
+            part = months.select(F.lit(source).alias("source"), F.col("month").cast("string").alias("month"), "n_rows", columns)
+            listed = part if listed is None else listed.unionByName(part)
+    return listed
 
 
-@query("schema_drift", "SELECT * FROM (VALUES " + ", ".join(str(r) for r in _DRIFT) + ") AS v(source, month, added, removed, type_changed)")
+@query(
+    "schema_drift",
+    f"""SELECT source, month, {_COUNT} AS n_rows, 'cbd_congestion_fee' AS added, '' AS removed,
+          CASE WHEN source = 'hvfhv' AND month > '2025-01' THEN 'PULocationID' ELSE '' END AS type_changed
+        FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'hvfhv' ELSE 'yellow' END AS source, strftime(src_month, '%Y-%m') AS month FROM lines)
+        WHERE month >= '2025-01' GROUP BY source, month""",
+)
 def schema_drift(t):
-    """Columns added, removed or retyped against the first month."""
-    return quality.schema_drift(schema_months(t))
+    """Columns added, removed or retyped in each monthly file against the first month, with the rows concerned."""
+    months = schema_months(t)
+    rows = months.groupBy("source", "month").agg(F.max("n_rows").alias("n_rows"))
+    return quality.schema_drift(months).join(rows, ["source", "month"])
 
 
-@query("schema_fingerprints")
+@query(
+    "schema_fingerprints",
+    f"""SELECT source, kind, min(month) AS first_month, max(month) AS last_month, count(DISTINCT month)::BIGINT AS files, {_COUNT} AS n_rows FROM (
+          SELECT *, CASE WHEN month < '2025-01' THEN 1 WHEN source = 'yellow' OR month = '2025-01' THEN 2 ELSE 3 END AS kind FROM (
+            SELECT CASE WHEN l_linestatus = 'O' THEN 'hvfhv' ELSE 'yellow' END AS source, strftime(src_month, '%Y-%m') AS month FROM lines)) GROUP BY source, kind""",
+)
 def schema_fingerprints(t):
-    """Distinct schemas per source."""
-    return quality.schema_fingerprints(schema_months(t))
+    """Distinct schemas per source, numbered by their first month, with the files and rows that have each."""
+    months = schema_months(t)
+    per_month = quality.schema_table(months).join(months.groupBy("source", "month").agg(F.max("n_rows").alias("n_rows")), ["source", "month"])
+    rows = per_month.groupBy("source", "schema_fp").agg(F.sum("n_rows").alias("n_rows"))
+    kinds = quality.schema_fingerprints(months).join(rows, ["source", "schema_fp"])
+    order = Window.partitionBy("source").orderBy("first_month")
+    return kinds.select("source", F.row_number().over(order).alias("kind"), "first_month", "last_month", "files", "n_rows")
 
 
 @query("cached_reuse", f"SELECT 'zones' AS what, {_COUNT} AS n, sum(fare) AS fare FROM zone_day_pu UNION ALL SELECT 'hours', {_COUNT}, sum(fare) FROM grp_hour_day", "fare:4")

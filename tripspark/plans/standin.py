@@ -100,14 +100,18 @@ _COUNTED = {
 SUM_ROUND = " ".join(f"{name}:4" for name in _ADDED)
 
 
+def additive_columns(names) -> str:
+    """Measures and counters by name, in the order of the fixed values."""
+    sums = [f"sum({c}) AS {name}" for name, c in _ADDED.items() if name in names]
+    return ", ".join(sums + [f"count_if({c})::BIGINT AS {name}" for name, c in _COUNTED.items() if name in names])
+
+
 def _additive_sql(table: str) -> str:
     """An additive table from its keys and counters."""
     keys, extra = gold.TABLES[table]
     made = {"zone": "dl" if table == "zone_day_do" else "pu", "ym": "strftime(d, '%Y-%m')"}
-    columns = [f"{made.get(k, k)} AS {k}" for k in keys]
-    columns += [f"sum({c}) AS {name}" for name, c in _ADDED.items()]
-    columns += [f"count_if({c})::BIGINT AS {name}" for name, c in _COUNTED.items() if name in gold.MEASURE_NAMES or name in extra]
-    return f"SELECT {', '.join(columns)} FROM silver GROUP BY ALL"
+    groups = ", ".join(f"{made.get(k, k)} AS {k}" for k in keys)
+    return f"SELECT {groups}, {additive_columns([*gold.MEASURE_NAMES, *extra])} FROM silver GROUP BY ALL"
 
 
 CTES.update({table: _additive_sql(table) for table in gold.TABLES})
