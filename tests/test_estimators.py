@@ -174,7 +174,7 @@ def test_simplex_weights_satisfy_optimality():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 8))
     y = 0.6 * x[:, 0] + 0.4 * x[:, 3] + 0.01 * rng.normal(size=40)
-    w = scm.simplex_weights(x.T @ x, x.T @ y)
+    w = scm.simplex_weights(x, y)
     assert w.sum() == pytest.approx(1.0) and (w >= 0).all()
     grad = x.T @ (x @ w - y)
     assert grad[w > 1e-6].max() - grad.min() < 1e-5
@@ -190,8 +190,7 @@ def test_synthetic_control_on_exact_mix(spark):
     rows += [(1, t, 1, int(t >= 8), float(mix[t] * (1.2 if t >= 8 else 1.0))) for t in range(12)]
     panel = spark.createDataFrame(rows, "zone long, wk int, treat int, post int, n double")
     series = scm.index_series(panel)
-    units, gram = scm.gram_matrix(series, "wk", False)
-    w = scm.weights_for(series, series.where("u = -1"), units, gram)
+    w = scm.weights_for(series, series.where("u = -1"), "wk", False)
     out = scm.fit_summary(scm.synthetic_series(series, w, "wk", False)).first()
     assert out.rmspe_pre < 1e-4 and out.avg_pct_effect_post == pytest.approx(20.0, abs=0.1)
 

@@ -1,19 +1,19 @@
-"""Synthetic control: simplex weights from cross products that Spark sums.
+"""Synthetic control: simplex weights of donor series.
 
-A donor pool of J units needs a J × J matrix and nothing else, whatever the number of weeks behind
-it. Placebos are the same problem on sub-matrices and are solved in parallel by the tasks.
+Each target (the treated unit, and every placebo) is a task of its own that holds the series of its donors, units
+times periods, and solves by accelerated projected gradients on them; no matrix of units by units is formed and no
+series pass through the driver. A solve ends when its duality gap is small, and raises if it does not become so.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_UNITS = 3_000
+GAP = 1e-9  # of the objective at the start
+MAX_STEPS = 200_000
 
 
 def onto_simplex(v: np.ndarray) -> np.ndarray:
@@ -24,22 +24,25 @@ def onto_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - excess[last], 0.0)
 
 
-def simplex_weights(gram: np.ndarray, cross: np.ndarray, max_steps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
-    """Minimise w'Gw - 2c'w over the simplex by accelerated projected gradient with restarts."""
-    n = len(cross)
-    step = 1.0 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)
+def simplex_weights(x: np.ndarray, y: np.ndarray, gap: float = GAP, max_steps: int = MAX_STEPS) -> np.ndarray:
+    """Minimise |xw - y|² / 2 over the simplex (one column of ``x`` per donor), with restarts of the momentum."""
+    n = x.shape[1]
+    step = 1.0 / max(np.linalg.norm(x, 2) ** 2, 1e-300)
     w = ahead = np.full(n, 1.0 / n)
+    size = max(float((x @ w - y) @ (x @ w - y)), float(y @ y) * 1e-6, 1e-300)
     t = 1.0
-    for _ in range(max_steps):
-        new = onto_simplex(ahead - step * (gram @ ahead - cross))
-        if np.abs(new - w).max() < tol:
-            return new
+    for k in range(max_steps):
+        new = onto_simplex(ahead - step * (x.T @ (x @ ahead - y)))
         if (ahead - new) @ (new - w) > 0:
             t = 1.0
         t_new = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
         ahead = new + (t - 1.0) / t_new * (new - w)
         w, t = new, t_new
-    return w
+        if k % 10 == 9 or n == 1:
+            slope = x.T @ (x @ w - y)
+            if slope @ w - slope.min() <= gap * size:
+                return w
+    raise RuntimeError(f"donor weights have not converged after {max_steps} steps")
 
 
 def index_series(panel: DataFrame, unit: str = "zone", period: str = "wk", value: str = "n") -> DataFrame:
@@ -50,41 +53,31 @@ def index_series(panel: DataFrame, unit: str = "zone", period: str = "wk", value
     return sums.join(base, "u").select("u", period, "post", F.try_divide("v", "base").alias("y"))
 
 
-def gram_matrix(series: DataFrame, period: str, demean: bool) -> tuple[list[int], np.ndarray]:
-    """Pre-period cross products between all units, the treated one included."""
-    pre = series.where("post = 0")
-    if demean:
-        m = pre.groupBy("u").agg(F.avg("y").alias("m"))
-        pre = pre.join(m, "u").withColumn("y", F.col("y") - F.col("m"))
-    left = pre.select(F.col("u").alias("a"), period, F.col("y").alias("ya"))
-    right = pre.select(F.col("u").alias("b"), period, F.col("y").alias("yb"))
-    units = [r[0] for r in pre.select("u").distinct().orderBy("u").limit(MAX_UNITS + 1).collect()]
-    if len(units) > MAX_UNITS:
-        raise ValueError(f"more than {MAX_UNITS} units: choose donors first")
-    products = left.join(right, period).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("ya") * F.col("yb")).alias("s")).collect()
-    at = {u: i for i, u in enumerate(units)}
-    g = np.zeros((len(units), len(units)))
-    for a, b, s in products:
-        g[at[a], at[b]] = g[at[b], at[a]] = s
-    return units, g
-
-
-def weights_for(series: DataFrame, targets: DataFrame, units: list[int], gram: np.ndarray) -> DataFrame:
-    """Donor weights for each target unit: (target, u, weight). Treated (-1) is never a donor."""
-    shared = series.sparkSession.sparkContext.broadcast((units, gram))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, g = shared.value
-        for pdf in batches:
-            for target in pdf["target"]:
-                donors = [i for i, u in enumerate(names) if u not in (-1, target)]
-                if not donors or target not in names:
-                    continue
-                w = simplex_weights(g[np.ix_(donors, donors)], g[donors, names.index(target)])
-                yield pd.DataFrame({"target": target, "u": [names[i] for i in donors], "weight": w})
-
-    spread = targets.select(F.col("u").cast("long").alias("target")).distinct().repartition("target")
-    return spread.mapInPandas(solve, "target long, u long, weight double")
+def weights_for(series: DataFrame, targets: DataFrame, period: str, demean: bool) -> DataFrame:
+    """Donor weights for each target unit: (target, u, weight). Treated (-1) is never a donor.
+
+    Only units with a value in every period before the policy take part. The targets are the treated unit and a
+    chosen number of placebos, so their ids may be listed; a task holds the donors' series of one target.
+    """
+    pre = series.where("post = 0 AND y IS NOT NULL")
+    whole = pre.groupBy("u").agg(F.array_sort(F.collect_list(F.struct(period, "y"))).alias("s"))
+    length = whole.agg(F.max(F.size("s"))).scalar()
+    arrays = whole.where(F.size("s") == length).select(F.col("u").cast("long").alias("u"), F.transform("s", lambda e: e["y"]).alias("x"))
+    ids = sorted({int(r.u) for r in targets.select("u").collect()})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u")
+        target = int(pdf["target"].iloc[0])
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        if demean:
+            x = x - x.mean(axis=1, keepdims=True)
+        own, donors = (pdf["u"] == target).to_numpy(), (~pdf["u"].isin([-1, target])).to_numpy()
+        if not own.any() or not donors.any():
+            return pd.DataFrame({"target": [], "u": [], "weight": []})
+        return pd.DataFrame({"target": target, "u": pdf["u"].to_numpy()[donors], "weight": simplex_weights(x[donors].T, x[own][0])})
+
+    offered = arrays.withColumn("target", F.explode(F.array(*[F.lit(i).cast("long") for i in ids]).cast("array<bigint>")))
+    return offered.groupBy("target").applyInPandas(solve, "target long, u long, weight double")
 
 
 def synthetic_series(series: DataFrame, weights: DataFrame, period: str, demean: bool) -> DataFrame:
