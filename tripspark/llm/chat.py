@@ -46,8 +46,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     firsts = F.expr("filter(sequence(0, size(ts)), i -> i = 0 OR i = size(ts) OR get(ts, i).role <> get(ts, i - 1).role)")
     whole = whole.withColumn("__at", firsts)
     merged = F.expr(
-        "transform(slice(__at, 1, size(__at) - 1), (s, k) -> named_struct('role', get(ts, s).role, "
-        "'texts', transform(slice(ts, s + 1, __at[k + 1] - s), x -> x.text)))"
+        "transform(array(__at), p -> transform(slice(p, 1, size(p) - 1), (s, k) -> named_struct('role', get(ts, s).role, "
+        "'texts', transform(slice(ts, s + 1, p[k + 1] - s), x -> x.text))))[0]"
     )
     whole = whole.withColumn("__m", merged)
     runs = F.flatten(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import SPACES, join_sized, words
+from tripspark.llm.common import SPACES, join_sized
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50  # of the words, in repeated 3-word windows
@@ -19,39 +19,40 @@ LINE_SHARE = 0.1  # and in more than this share of them
 KEPT_SHARE = 0.5  # a document that keeps less than this share of its words is rejected
 
 # Windows are compared by the high bits of a 64-bit hash; the low bits, as many as the text needs, hold the place.
-_REPEATED = """
-CASE WHEN n_words < 3 THEN 0L ELSE
-transform(array(array_sort(transform(sequence(0, n_words - 3), i ->
-    (xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) & ~low) | CAST(i AS BIGINT)))),
-  s -> aggregate(
-    array_sort(transform(
-      filter(s, (x, j) -> ((x ^ get(s, j - 1)) & ~low) = 0 OR ((x ^ get(s, j + 1)) & ~low) = 0),
-      x -> x & low)),
-    named_struct('total', 0L, 'last', -3L),
-    (a, x) -> named_struct('total', a.total + least(3L, x - a.last), 'last', x),
-    a -> a.total))[0] END"""
+# The words are a lambda's argument, so no optimizer rule can put their splitting into the loop over windows.
+_MEASURED = """
+transform(array(words), w -> transform(array(CAST(pow(2, ceil(log2(greatest(size(w), 2)))) AS BIGINT) - 1L), low -> named_struct(
+  'n', CAST(size(w) AS BIGINT),
+  'chars', CAST(length(array_join(w, '')) AS BIGINT),
+  'repeated', CASE WHEN size(w) < 3 THEN 0L ELSE
+    transform(array(array_sort(transform(sequence(0, size(w) - 3), i ->
+        (xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) & ~low) | CAST(i AS BIGINT)))),
+      s -> aggregate(
+        array_sort(transform(
+          filter(s, (x, j) -> ((x ^ get(s, j - 1)) & ~low) = 0 OR ((x ^ get(s, j + 1)) & ~low) = 0),
+          x -> x & low)),
+        named_struct('total', 0L, 'last', -3L),
+        (a, x) -> named_struct('total', a.total + least(3L, x - a.last), 'last', x),
+        a -> a.total))[0] END))[0])[0]"""
 
 
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with __rule, a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    got = docs.withColumn("__w", words(F.col(text))).withColumn("__n", F.size("__w").cast("int"))
-    low = F.expr("CAST(pow(2, ceil(log2(greatest(__n, 2)))) AS BIGINT) - 1L")
-    got = got.withColumns({"__low": low, "__lines": lines})
-    repeated = F.expr(_REPEATED.replace("n_words", "__n").replace("(w,", "(__w,").replace("low", "__low"))
-    got = got.withColumn("__repeat", repeated.cast("long"))
-    n = F.col("__n").cast("long")
-    failed = (n < MIN_WORDS) | (100 * F.col("__repeat") > REPEAT_PERCENT * n)
+    repeats = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
+    cut = f"array_remove(split(coalesce(`{text}`, ''), '{SPACES}'), '')".replace("\\", "\\\\")
+    got = docs.withColumn("__m", F.expr(_MEASURED.replace("array(words)", f"array({cut})")))
+    n, repeated = F.col("__m.n"), F.col("__m.repeated")
     rule = F.struct(
         n.alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.col("__m.chars").alias("word_chars"),
         F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        failed.alias("base_failed"),
+        repeats.cast("long").alias("n_dup_lines"),
+        repeated.alias("n_repeat_words"),
+        ((n < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n)).alias("base_failed"),
     )
-    return got.withColumn("__rule", rule).drop("__w", "__n", "__low", "__lines", "__repeat")
+    return got.withColumn("__rule", rule).drop("__m")
 
 
 def line_table(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
@@ -92,7 +93,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host:
     joined = join_sized(based, gone, same, "left")
     removed = F.coalesce("__gone", F.lit(0).cast("long"))
     n = F.col("__rule.n_words")
-    kept = ~F.col("__rule.base_failed") & (n - removed >= KEPT_SHARE * n)
+    # one expression over both sides: a filter on it stays above the join, where the rules are columns already
+    kept = F.when(F.col("__rule.base_failed"), False).otherwise(n - removed >= KEPT_SHARE * n)
     return joined.withColumns({"__removed": removed, "__kept": kept}).drop("__id", "__sig", "__gone")
 
 
