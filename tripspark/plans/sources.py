@@ -125,9 +125,9 @@ def parquet_snappy_roundtrip(t):
 
 @query("silver_partitioned_write", f"{_BY_MONTH} GROUP BY ALL", "fare:4")
 def silver_partitioned_write(t):
-    """Cleaned trips by service, year and month, two files per month, sorted by time."""
+    """Cleaned trips by service, year and month, sorted by time in each file."""
     path = scratch_path(t.spark, "silver")
-    sinks.write_silver(t.silver, path, files_per_month=2)
+    sinks.write_silver(t.silver, path)
     return by_month(t.spark.read.parquet(path))
 
 

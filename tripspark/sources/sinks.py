@@ -20,18 +20,16 @@ def write_silver(
     path: str,
     mode: str = "overwrite",
     rows_per_file: int = ROWS_PER_FILE,
-    files_per_month: int = 1,
 ) -> None:
     """Cleaned trips as Parquet by service, year and month, sorted by time inside each file.
 
-    Rows are shuffled by month so that one task does not open every folder; ``files_per_month``
-    spreads each month over that many tasks (a month of a large source would overload one).
-    The sort makes row groups narrow in time, which lets later scans skip them.
+    Rows are rebalanced by month: adaptive execution merges small months and splits large ones into tasks of the
+    advisory size, so no task opens every folder and no month, however large, falls to one task. The sort makes row
+    groups narrow in time, which lets later scans skip them.
     """
     keyed = with_partition_keys(trips)
-    spread = F.pmod(F.xxhash64("pickup_ts", "pu", "dl", "fare"), F.lit(files_per_month))
     (
-        keyed.repartition(*PARTITION_KEYS, spread)
+        keyed.hint("rebalance", *PARTITION_KEYS)
         .sortWithinPartitions(*PARTITION_KEYS, "pickup_ts")
         .write.mode(mode)
         .option("compression", "zstd")
@@ -42,9 +40,9 @@ def write_silver(
 
 
 def write_day_files(df: DataFrame, path: str, ts: str) -> None:
-    """One folder per day, sorted by time: the landing layout of the stream job."""
+    """One folder per day, files sorted by time: the landing layout of the stream job. Large days are split."""
     dated = df.withColumn("day", F.col(ts).cast("date"))
-    dated.repartition("day").sortWithinPartitions("day", ts).write.mode("overwrite").partitionBy("day").parquet(path)
+    dated.hint("rebalance", "day").sortWithinPartitions("day", ts).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def pending_partitions(wanted: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
