@@ -306,7 +306,9 @@ def test_sample_has_the_target_shares(spark):
     got = raking.op2_mixing(docs).toPandas()
     assert len(got) == docs.count() and got.probability.between(0, 1).all() and abs(got.probability.max() - 1) < 1e-9
     expected = (got.tokens * got.probability).groupby(got.lang).sum()
-    want = got.groupby("lang").tokens.sum() ** raking.TEMPER["lang"]
+    held = got.groupby("lang").tokens.sum()
+    want = held * np.minimum((held / held.max()) ** (raking.TEMPER["lang"] - 1), raking.UPLIFT)
+    assert got.kept.mean() > 0.4
     assert (expected / expected.sum()).to_numpy() == pytest.approx((want / want.sum()).to_numpy(), abs=1e-6)
     kept = (got.tokens * got.kept).sum()
     assert kept == pytest.approx((got.tokens * got.probability).sum(), rel=0.1)

@@ -56,8 +56,13 @@ def plain_mix(spark, docs):
     tokens = np.zeros([len(a) for a in axes])
     for k, n in cells.items():
         tokens[tuple(a.index(x) for a, x in zip(axes, k, strict=True))] = n
-    share = lambda axis, power: (lambda v: v / v.sum())(tokens.sum(axis=tuple(i for i in range(3) if i != axis)) ** power)
-    w = plain_raking(tokens, share(0, 0.7), share(1, 0.7), share(2, 0.5))
+
+    def share(axis):
+        held = tokens.sum(axis=tuple(i for i in range(3) if i != axis))
+        raw = held * np.minimum((held / held.max()) ** -0.3, 1.5)
+        return raw / raw.sum()
+
+    w = plain_raking(tokens, share(0), share(1), share(2))
     ratio = np.divide(w, tokens, out=np.zeros_like(w), where=tokens > 0)
     ratio /= ratio.max()
     ids = spark.createDataFrame([(i,) for i in docs], "doc_id long")

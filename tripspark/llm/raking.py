@@ -22,7 +22,10 @@ from tripspark.session import checkpointed
 
 SEED = 11
 #: Default targets are the marginals of the corpus, tempered by these powers.
-TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.5}
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
+#: No category is weighted by default above so many times the largest one: else a nearly empty category would set the
+#: scale of all probabilities, and little of the corpus would be left.
+UPLIFT = 1.5
 TOLERANCE = 1e-9  # of a marginal share, relative
 SWEEPS = 500  # a fit that has not converged by then, or has not come closer for `STALLED` sweeps, says so in the log
 STALLED = 20  # and uses the closest factors
@@ -58,7 +61,9 @@ class Factors:
 
 
 def _tempered(sums: dict[str, float], power: float) -> dict[str, float]:
-    raw = {k: v**power for k, v in sums.items() if v > 0}
+    held = {k: v for k, v in sums.items() if v > 0}
+    top = max(held.values())
+    raw = {k: v * min((v / top) ** (power - 1), UPLIFT) for k, v in held.items()}
     whole = sum(raw.values())
     return {k: v / whole for k, v in raw.items()}
 
@@ -91,8 +96,10 @@ def rake(cells: DataFrame, source_targets: dict | None = None, lang_targets: dic
     base = F.array(*[F.coalesce(F.element_at("m", F.lit("\x1f".join(k))), F.lit(0.0)) for k in keys])
     rows = packed.select("source", "share", base.alias("base"))
     if source_targets is None:
-        total = rows.agg(F.sum(F.pow("share", F.lit(TEMPER["source"])))).first()[0]
-        rows = rows.withColumn("target", F.pow("share", F.lit(TEMPER["source"])) / total)
+        top = rows.agg(F.max("share")).first()[0]
+        raw = F.col("share") * F.least(F.pow(F.col("share") / top, F.lit(TEMPER["source"] - 1)), F.lit(UPLIFT))
+        total = rows.agg(F.sum(raw)).first()[0]
+        rows = rows.withColumn("target", raw / total)
     else:
         flat = [x for k, v in source_targets.items() for x in (F.lit(k), F.lit(float(v)))]
         rows = rows.withColumn("target", F.coalesce(F.element_at(F.create_map(*flat), F.col("source")), F.lit(0.0)) if flat else F.lit(0.0))
