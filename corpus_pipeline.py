@@ -27,18 +27,28 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id. Rows that repeat its id give one row."""
+    """One document of each group: the smallest id, with one of its texts if the id repeats.
+
+    Rows without an id stand only for groups in which no row has one; they stay once for each text.
+    """
     found = checkpointed(simhash.near_duplicates(docs))
-    # an id may head one group only, but its rows may repeat: those are few and are folded by themselves
-    ids = found.groupBy("id").agg(F.min("component_id").alias("head"), F.count(F.lit(1)).alias("n"))
-    ids = ids.filter("id IS NULL AND head IS NULL OR id = head").select(F.col("id").alias("__id"), "n")
-    kept = join_sized(docs, ids, docs.doc_id.eqNullSafe(F.col("__id")), "inner").drop("__id")
-    one = kept.filter("n = 1").select(*docs.columns)
-    several = kept.filter("n > 1").select(*docs.columns)
-    if ids.filter("n > 1").isEmpty():
-        return one
-    folded = several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return one.unionByName(folded.select("doc_id", "row.*"))
+    heads = found.filter("id = component_id").groupBy("id", "sig").agg(F.count(F.lit(1)).alias("n"))
+    heads = heads.groupBy(F.col("id").alias("__id")).agg(F.min(F.struct("sig", "n")).alias("__one"))
+    heads = heads.select("__id", F.col("__one.sig").alias("__sig"), F.col("__one.n").alias("__n"))
+    same = (docs.doc_id == F.col("__id")) & (F.xxhash64(docs.text) == F.col("__sig"))
+    kept = join_sized(docs, heads, same, "inner")
+    out = kept.filter("__n = 1").select(*docs.columns)
+    if not heads.filter("__n > 1").isEmpty():  # rows that repeat id and text: few, folded by themselves
+        several = kept.filter("__n > 1").select(*docs.columns)
+        folded = several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+        out = out.unionByName(folded.select("doc_id", "row.*"))
+    unnamed = found.filter("id IS NULL AND component_id IS NULL").select(F.col("sig").alias("__sig")).distinct()
+    if not unnamed.isEmpty():
+        rows = docs.filter("doc_id IS NULL")
+        alone = rows.join(unnamed, F.xxhash64(rows.text) == F.col("__sig"), "left_semi")
+        folded = alone.groupBy("text").agg(F.min(F.struct(*[c for c in docs.columns if c != "text"])).alias("row"))
+        out = out.unionByName(folded.select("text", "row.*"))
+    return out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

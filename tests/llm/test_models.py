@@ -241,6 +241,8 @@ MAIN = "Title First, with & and é, more bold text here, and it goes on for a wh
 @pytest.mark.parametrize("kind", ["post", "content body"])
 def test_main_text(kind):
     assert html_text.extract(PAGE % kind) == MAIN
+    more = '<ol class="commentlist"><li>So, true, I say, and so on and on.</ol><article class="comment"><p>Me, too, and more, and more.</article>'
+    assert html_text.extract((PAGE % kind).replace('<section class="comments">', f'{more}<section class="comments">')) == MAIN
     assert html_text.extract((PAGE % kind).replace(f'<div class="{kind}">', "<article>").replace("</form></div>", "</form></article>")) == MAIN
 
 

@@ -93,8 +93,10 @@ def test_pipeline_equals_a_plain_version(spark):
 
 def test_stages_on_awkward_rows(spark, tmp_path):
     good = " ".join(f"word{k} stands here" for k in range(40)) + "."
-    rows = [(1, good, "en", "s"), (1, good, "en", "s"), (2, good, "en", "s"), (3, None, "en", None), (4, "", None, "s"), (None, good + " more", "en", "s")]
+    rows = [(1, good, "en", "s"), (1, good, "en", "s"), (2, good, "en", "s"), (3, None, "en", None), (4, "", None, "s"), (None, good + " more", "en", "s"), (None, good + " more", "en", "s")]
     rows += [(5, "word " * 30_000, "en", "s"), (6, re.sub("word", "term", good), None, None)]
+    rows += [(2, re.sub("word", "other", good), "en", "s")]  # one id, another text, in a group of its own
+    rows += [(None, re.sub("word", "plain", good), "en", "s")] * 2  # no id in the group
     docs = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for folder, d in (("some", docs), ("none", docs.limit(0))):
@@ -109,6 +111,6 @@ def test_stages_on_awkward_rows(spark, tmp_path):
             out.write.parquet(f"{where}/stage{k}")
             now = spark.read.parquet(f"{where}/stage{k}")
             if folder == "some" and name == "SimHash near-dedup":
-                assert sorted(r.doc_id for r in now.collect() if r.doc_id is not None) == [1, 6]
+                assert sorted(r.doc_id or 0 for r in now.collect()) == [0, 1, 2, 6]
         assert {r.lossless for r in now.collect()} <= {True}
         assert corpus_pipeline.run(spark, where).count() == now.count()

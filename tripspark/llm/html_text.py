@@ -41,8 +41,11 @@ ASIDE = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb "
     "breadcrumbs footer header masthead comment comments disqus replies reply respond cookie cookies consent gdpr notice notification popup modal "
     "overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations toolbar pagination "
-    "pager widget alert hidden skip".split()
+    "pager widget alert hidden skip disclaimer copyright legal".split()
 )
+#: Beginnings of such words written together, and the words that an article or main element may not have.
+ASIDE_STEMS = ("commentlist", "commentform", "commentarea", "advert", "sidebar", "breadcrumb", "navbar", "navlink", "cookie", "newsletter", "sponsor")
+ASIDE_ARTICLES = set("comment reply ad advert advertisement sponsored promo related teaser".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SCORED = {"p", "pre", "td", "blockquote", "li", "dd"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -64,15 +67,17 @@ class Node:
 def _apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in SKIPPED:
         return True
-    if tag in CONTAINERS or tag in ("html", "body"):
+    if tag in ("html", "body"):
         return False
+    if tag in CONTAINERS:
+        return any(name in ("class", "id") and not ASIDE_ARTICLES.isdisjoint(_WORD.findall((value or "").lower())) for name, value in attrs)
     for name, value in attrs:
         value = (value or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and not ASIDE.isdisjoint(_WORD.findall(value)):
+        if name in ("class", "id") and any(w in ASIDE or w.startswith(ASIDE_STEMS) for w in _WORD.findall(value)):
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True

@@ -12,7 +12,7 @@ QUERIES = {
     "op4_main_text": lambda spark, d: html_text.op4_main_text(table(spark, d, "pages")),
     "op5_pieces": lambda spark, d: pieces.op5_pieces(table(spark, d, "documents")),
     "op6_licences": lambda spark, d: licences.op6_licences(table(spark, d, "documents")),
-    "op7_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")).withColumnRenamed("id", "doc_id"),
+    "op7_simhash": lambda spark, d: simhash.op7_simhash(table(spark, d, "documents")),
     "op8_chat_format": lambda spark, d: chat.op8_chat(table(spark, d, "conversations")),
     "op9_nearest": lambda spark, d: permutation_index.op9_nearest(table(spark, d, "embeddings")),
     "op10_language": lambda spark, d: langid.op10_language(table(spark, d, "documents")),

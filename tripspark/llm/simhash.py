@@ -48,15 +48,15 @@ def fingerprint_of(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row; ``fp`` holds the 64 bits as a signed long."""
+    """(id, fp, sig) for each row; ``fp`` holds the 64 bits as a signed long, ``sig`` is a hash of the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.fromiter((fingerprint_of(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), batch.column(2)], names=["id", "fp", "sig"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
-    return narrow.mapInArrow(run, "id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), F.xxhash64(text_col).alias("sig"))
+    return narrow.mapInArrow(run, "id long, fp long, sig long")
 
 
 def keys(distinct: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def dense_links(dense: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = RUN_BOUND) -> DataFrame:
-    """(id, fingerprint, component_id) for each row of ``docs``.
+    """(id, fingerprint, component_id, sig) for each row of ``docs``; ``sig`` is a hash of the text.
 
     component_id is the smallest id reachable over links of at most three differing bits. Null and empty texts
     have fingerprint zero and link like any other; repeated rows keep their rows; a null id is returned as null
@@ -164,4 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(classes, "fp").select("id", digits.alias("fingerprint"), "component_id")
+    return marked.join(classes, "fp").select("id", digits.alias("fingerprint"), "component_id", "sig")
+
+
+def op7_simhash(docs: DataFrame) -> DataFrame:
+    """Contract columns of the near-duplicates, one row per document."""
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
