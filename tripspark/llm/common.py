@@ -10,8 +10,8 @@ from tripspark.session import checkpointed
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A side of at most this many rows of one or two longs (about 24 MB as a hash table) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most this many rows of a few longs (about 60 MB as a hash table) may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ SEED = 7
 DROPOUT = 0.1
 VARIANTS = 8
 SHORT = 24  # letters of a chunk that is worked out in a batch; longer ones use a heap
-PART_CHARS = 3_000_000  # letters of a batch at once
+PART_CHARS = 1_200_000  # letters of a batch at once
 
 _SPACE = "▁"
 _CHUNK = re.compile(r" +[^ ]*|[^ ]+")
