@@ -108,6 +108,28 @@ def test_probabilities_follow_the_definition(spark):
     assert np.isnan(e[1:3]).all() and e[0, 0] == pytest.approx(-np.mean(plain_kneser_ney(texts, "the cat")), rel=1e-5)
 
 
+def test_unseen_grams_are_not_found_in_a_large_model(spark):
+    known = spark.range(600_000).select(F.lit("x").alias("lang"), F.lit(4).alias("kind"), F.xxhash64("id").alias("key"), F.lit(-1.0).alias("value"))
+    model = langid.collect_model(known)
+    keys = lambda a, b: np.array([r.k for r in spark.range(a, b).select(F.xxhash64("id").alias("k")).collect()]).view(np.uint64)
+    assert (model.lookup("x", 4, keys(0, 20_000)) == -1).all()
+    assert np.isnan(model.lookup("x", 4, keys(600_000, 640_000))).all()
+
+
+def test_models_beyond_the_broadcast_bound_are_joined(spark):
+    texts = [("en", "the cat sat on the mat"), ("en", "a cat and a hat"), ("es", "el gato y la casa"), ("es", "la casa del gato")]
+    estimates = langid.estimate(langid.count_grams(spark.createDataFrame(texts, "lang string, text string")))
+    small, large = langid.collect_model(estimates), langid.collect_model(estimates, most=10)
+    assert large.stored is not None and not large.tables
+    probes = [(1, "the casa"), (1, "the casa"), (2, None), (3, "12 !?"), (None, "zzz éa gato"), (4, "that hat"), (5, LONG)]
+    docs = spark.createDataFrame(probes, "doc_id long, text string")
+    want, got = ([(r.doc_id, *(-1.0 if x is None else x for x in r["__lang"])) for r in langid.scored(docs, m).collect()] for m in (small, large))
+    order = lambda rows: sorted(rows, key=lambda r: str(r[:2]))
+    assert len(got) == len(want)
+    for a, b in zip(order(got), order(want), strict=True):
+        assert a[:2] == b[:2] and a[4] == b[4] and a[2:4] == pytest.approx(b[2:4], rel=1e-9)
+
+
 def test_language_awkward_rows(spark):
     rows = [(i, "the cat sat on the mat", "en") for i in range(12)] + [(20 + i, "el gato y la casa", "es") for i in range(12)]
     rows += [(50, None, "en"), (51, "", "en"), (52, "12 34 !", None), (None, "the cat", "en"), (53, LONG, None), (50, None, "en")]

@@ -2,8 +2,9 @@
 
 Four-grams of all training texts are counted; lower orders use the number of distinct left neighbours, so they
 follow from the four-grams. Discounts, probabilities and back-off weights are Spark joins and aggregates. The
-models are kept as sorted arrays of hashed n-grams. A text gets the language of lowest cross-entropy per letter;
-thresholds calibrated on training texts tell which texts fit no learned language.
+n-grams themselves are kept, so the model grows with its texts: as sorted arrays up to `BROADCAST_GRAMS` entries, as
+a table that texts are joined with beyond. A text gets the language of lowest cross-entropy per letter; thresholds
+calibrated on training texts tell which texts fit no learned language.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import fold, hash_order
+from tripspark.llm.common import fold, hash_order, join_sized
 from tripspark.session import checkpointed
 
 ORDER = 4
-#: N-grams are hashed to so many bits, so a language has at most 2**HASH_BITS entries per order (32 MB), whatever
-#: the corpus; n-grams that fall together keep the larger value.
-HASH_BITS = 22
+#: A model of at most this many entries over all languages and orders (12 bytes each, 48 MB) is broadcast.
+BROADCAST_GRAMS = 4_000_000
 CALIBRATION = 4_000  # training texts, at most, whose cross-entropies set the rejection thresholds
 REJECTED = 0.005  # share of a language's own texts beyond its threshold
 SHARPNESS = 20.0  # letters' worth of evidence in a score
@@ -44,14 +44,6 @@ def grams(text: str | None) -> np.ndarray:
     return codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
 
 
-def slots(keys: np.ndarray, order: int) -> np.ndarray:
-    """The hash of each n-gram."""
-    x = keys + np.uint64((order * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
-
-
 def count_grams(texts: DataFrame) -> DataFrame:
     """(lang, g, c) over all rows of (lang, text); sums are formed in each task before the shuffle."""
 
@@ -127,17 +119,17 @@ def estimate(counts: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     langs: list[str]
-    tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]  # (language, kind) -> sorted hashes, values
+    tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]  # (language, kind) -> sorted n-grams, values
     limits: dict[str, float] = field(default_factory=dict)
+    stored: DataFrame | None = None  # the entries of a model too large for ``tables``
 
     def lookup(self, lang: str, kind: int, keys: np.ndarray) -> np.ndarray:
         """Values, not-a-number where the n-gram is not known."""
-        known, values = self.tables.get((lang, kind), (np.zeros(0, np.uint32), np.zeros(0)))
+        known, values = self.tables.get((lang, kind), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
         if not len(known):
             return np.full(len(keys), np.nan)
-        h = slots(keys, abs(kind))
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, values[at], np.nan)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at].astype(np.float64), np.nan)
 
     def log_probability(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """Of the last letter of each four-gram after the three before it."""
@@ -183,24 +175,23 @@ class Model:
             result[rows, j] = -np.add.reduceat(lp[at] * counts, starts) / lengths
 
 
-def collect_model(estimates: DataFrame) -> Model:
-    """Fold the n-grams into their hashes in Spark, then read the bounded arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds, keys = b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
-            h = np.zeros(len(keys), dtype=np.int32)
-            for k in np.unique(kinds):
-                h[kinds == k] = slots(keys[kinds == k], abs(int(k))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h), b.column(3)], names=["lang", "kind", "h", "value"])
-
-    hashed = estimates.mapInArrow(run, "lang string, kind int, h int, value double")
-    rows = hashed.groupBy("lang", "kind", "h").agg(F.max("value").cast("float").alias("value")).toArrow().to_pandas()
+def collect_model(estimates: DataFrame, most: int = BROADCAST_GRAMS) -> Model:
+    """Read the entries into arrays if they are at most ``most``, else leave them in their table."""
+    stored = checkpointed(estimates.select("lang", "kind", "key", F.col("value").cast("float").alias("value")))
+    langs = sorted(r.lang for r in stored.select("lang").distinct().collect())
+    if stored.count() > most:
+        return Model(langs, {}, stored=stored)
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) if langs else F.lit(0)
+    rows = stored.select(number.cast("short").alias("lang"), F.col("kind").cast("short").alias("kind"), "key", "value").toArrow()
+    number, kinds, keys, values = (c.to_numpy() for c in rows.columns)
+    keys = keys.view(np.uint64)
     tables = {}
-    for (lang, kind), part in rows.groupby(["lang", "kind"]):
-        part = part.sort_values("h")
-        tables[lang, int(kind)] = part.h.to_numpy().astype(np.uint32), part.value.to_numpy(dtype=np.float64)
-    return Model(sorted(rows.lang.unique()), tables)
+    for i, lang in enumerate(langs):
+        for kind in range(-ORDER, ORDER + 1):
+            at = np.flatnonzero((number == i + 1) & (kinds == kind))
+            at = at[np.argsort(keys[at])]
+            tables[lang, kind] = keys[at], values[at]
+    return Model(langs, tables)
 
 
 def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
@@ -223,32 +214,83 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are `UNKNOWN` with score 0; ties go to the first language by name; a
     model without a language answers `UNKNOWN` always. Other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by HASH_BITS for each language
+    if model.stored is not None:
+        return _scored_by_join(docs, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BROADCAST_GRAMS
     kind = "pred string, score double, entropy double, rejected boolean"
 
     @F.pandas_udf(kind)
     def judge(text: pd.Series) -> pd.DataFrame:
         m = shared.value
-        preds, scores, lows, outs = [], [], [], []
+        parts = []
         for s in range(0, len(text), 1024):
             texts = text.iloc[s : s + 1024].tolist()
-            e = m.entropies(texts) if m.langs else np.full((len(texts), 1), np.nan)
-            none = np.isnan(e).any(axis=1)
-            filled = np.where(none[:, None], 0.0, e)
-            best = filled.argmin(axis=1)
-            low = filled.min(axis=1)
-            score = 1 / np.exp(-SHARPNESS * (filled - low[:, None])).sum(axis=1)
-            named = [UNKNOWN if x else m.langs[j] for x, j in zip(none, best, strict=True)]
-            preds += named
-            scores.append(np.where(none, 0.0, score))
-            lows.append(np.where(none, np.nan, low))
-            outs += [bool(x) or bool(v > m.limits.get(n, np.inf)) for x, v, n in zip(none, low, named, strict=True)]
-        whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-        return pd.DataFrame({"pred": preds, "score": whole(scores), "entropy": whole(lows), "rejected": outs})
+            parts.append(_judged(m.entropies(texts) if m.langs else np.full((len(texts), 1), np.nan), m.langs, m.limits))
+        return pd.concat(parts) if parts else _judged(np.zeros((0, 1)), [], {})
 
     return docs.withColumn("__lang", judge(F.col("text")))
 
 
+def _judged(e: np.ndarray, langs: list[str], limits: dict[str, float]) -> pd.DataFrame:
+    """Verdicts of texts from their cross-entropies, not-a-number for texts without a letter."""
+    none = np.isnan(e).any(axis=1)
+    filled = np.where(none[:, None], 0.0, e)
+    best = filled.argmin(axis=1)
+    low = filled.min(axis=1)
+    score = 1 / np.exp(-SHARPNESS * (filled - low[:, None])).sum(axis=1)
+    preds = [UNKNOWN if x else langs[j] for x, j in zip(none, best, strict=True)]
+    outs = [bool(x) or bool(v > limits.get(n, np.inf)) for x, v, n in zip(none, low, preds, strict=True)]
+    return pd.DataFrame({"pred": preds, "score": np.where(none, 0.0, score), "entropy": np.where(none, np.nan, low), "rejected": outs})
+
+
+def joined_probabilities(wanted: DataFrame, model: Model) -> DataFrame:
+    """(g, lp): what `Model.log_probability` gives for each distinct four-gram ``g`` under every language, by joins."""
+    got = wanted
+    for k in range(ORDER, 0, -1):
+        for kind, key in ((k, _tail(k)), (-k, F.shiftrightunsigned(_tail(k), 16))):
+            entries = F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias(f"m{kind}")
+            side = model.stored.filter(F.col("kind") == kind).groupBy(F.col("key").alias("__key")).agg(entries)
+            if k - (kind < 0) < 2:
+                side = F.broadcast(side)  # at most 65,536 letters
+            got = got.join(side, key == F.col("__key"), "left").drop("__key")
+    last = {r.lang: r.value for r in model.stored.filter("kind = 0").collect()}  # one row per language
+
+    def lp(lang: str):
+        out = F.lit(last[lang]).cast("double")
+        for k in range(1, ORDER + 1):
+            known, gamma = (F.try_element_at(F.col(f"m{i}"), F.lit(lang)).cast("double") for i in (k, -k))
+            out = F.coalesce(known, F.coalesce(gamma, F.lit(0.0)) + out)
+        return out
+
+    return got.select("g", F.array(*map(lp, model.langs)).alias("lp"))
+
+
+def _scored_by_join(docs: DataFrame, model: Model) -> DataFrame:
+    """`scored` for a model beyond the broadcast bound: the n-grams of every text meet the model's in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sig, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g, c = np.unique(grams(text.as_py()), return_counts=True)
+                columns = [pa.array(np.full(len(g), sig, np.int64)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["sig", "g", "c"])
+
+    langs, limits = model.langs, model.limits
+    held = docs.select(F.xxhash64("text").alias("sig"), "text").mapInArrow(run, "sig long, g long, c long")
+    # the large side is on the left, so a frequent n-gram can be split; equal texts fall together, which leaves means as they are
+    met = held.join(joined_probabilities(held.select("g").distinct(), model), "g", "left")
+    sums = [F.sum(F.col("c") * F.col("lp")[i]) / F.sum("c") for i in range(len(langs))]
+    means = met.groupBy("sig").agg(F.array(*[-x for x in sums]).alias("__e")).select(F.col("sig").alias("__sig"), "__e")
+
+    @F.pandas_udf("pred string, score double, entropy double, rejected boolean")
+    def judge(e: pd.Series) -> pd.DataFrame:
+        rows = [x if x is not None else [np.nan] * len(langs) for x in e]
+        return _judged(np.array(rows, dtype=np.float64).reshape(len(rows), len(langs)), langs, limits)
+
+    joined = join_sized(docs, means, F.xxhash64(docs["text"]) == F.col("__sig"), "left")
+    return joined.withColumn("__lang", judge(F.col("__e"))).drop("__sig", "__e")
+
+
 def op10_language(docs: DataFrame) -> DataFrame:
     """Contract columns of language identification; ``rejected`` marks texts that fit no learned language."""
     model = train(docs.select("doc_id", "text", "lang"))
