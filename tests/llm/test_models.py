@@ -130,6 +130,21 @@ def test_models_beyond_the_broadcast_bound_are_joined(spark):
         assert a[:2] == b[:2] and a[4] == b[4] and a[2:4] == pytest.approx(b[2:4], rel=1e-9)
 
 
+def test_thresholds_cover_every_training_text(spark):
+    rng = np.random.default_rng(8)
+    names = ["".join(rng.choice(list("abcdefgh"), 12)) for _ in range(6000)]
+    rows = [(4 * i, t, "en") for i, t in enumerate(names)] + [(40_000 + 4 * i, "el niño y la casa " + "ñ" * i, "es") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    model = langid.train(docs)
+    got = langid.scored(docs, model).select("lang", "__lang.*").toPandas()
+    own = {k: e.to_numpy() for k, e in got[got.lang == got.pred].groupby("lang").entropy}
+    assert len(own["en"]) > 4000 and len(own["es"]) < 20
+    assert abs((own["en"] > model.limits["en"]).mean() - langid.REJECTED) < 2e-4 + 1 / len(own["en"])
+    shared = np.quantile(np.concatenate(list(own.values())), 1 - langid.REJECTED)
+    assert own["es"].max() <= model.limits["es"] < math.inf
+    assert model.limits["es"] == pytest.approx(max(own["es"].max(), shared), rel=0.01)
+
+
 def test_language_awkward_rows(spark):
     rows = [(i, "the cat sat on the mat", "en") for i in range(12)] + [(20 + i, "el gato y la casa", "es") for i in range(12)]
     rows += [(50, None, "en"), (51, "", "en"), (52, "12 34 !", None), (None, "the cat", "en"), (53, LONG, None), (50, None, "en")]

@@ -16,17 +16,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import fold, hash_order, join_sized
+from tripspark.llm.common import fold, join_sized
 from tripspark.session import checkpointed
 
 ORDER = 4
 #: A model of at most this many entries over all languages and orders (12 bytes each, 48 MB) is broadcast.
 BROADCAST_GRAMS = 4_000_000
-CALIBRATION = 4_000  # training texts, at most, whose cross-entropies set the rejection thresholds
-REJECTED = 0.005  # share of a language's own texts beyond its threshold
+REJECTED = 0.005  # share of a language's own training texts beyond its threshold
+FEW = 200  # texts, below which that point is just the largest of them
+RANKS = 10_000  # a threshold's rank is right to one part in so many of a language's texts
 SHARPNESS = 20.0  # letters' worth of evidence in a score
 PIECE = 2_000_000  # letters handled at once
 UNKNOWN = "und"
@@ -194,17 +195,40 @@ def collect_model(estimates: DataFrame, most: int = BROADCAST_GRAMS) -> Model:
     return Model(langs, tables)
 
 
-def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
-    """Learn from every training document: text and a language that is not null, outside the held-out fold."""
-    usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.coalesce(fold(F.col("doc_id"), 4), F.lit(0)) != 2)
-    texts = usable.select("doc_id", "lang", "text")
-    model = collect_model(estimate(count_grams(texts)))
-    ids = usable.select("doc_id").orderBy(hash_order(F.col("doc_id"), "lang"), "doc_id").limit(calibration)
-    own = F.broadcast(ids.distinct())  # at most `calibration` rows
-    told = scored(texts.join(own, "doc_id", "left_semi"), model).select("lang", "__lang.entropy", "__lang.pred").toPandas()
-    for lang in model.langs:
-        e = told[(told.lang == lang) & (told.pred == lang)].entropy
-        model.limits[lang] = float(np.quantile(e, 1 - REJECTED)) if len(e) >= 20 else float("inf")
+def _for_training() -> Column:
+    """Rows with text and a language that is not null, outside the held-out fold."""
+    return F.expr("lang IS NOT NULL AND text IS NOT NULL") & (F.coalesce(fold(F.col("doc_id"), 4), F.lit(0)) != 2)
+
+
+def learn(docs: DataFrame) -> Model:
+    """Count every training document; the model has no rejection thresholds yet."""
+    return collect_model(estimate(count_grams(docs.filter(_for_training()).select("lang", "text"))))
+
+
+def thresholds(told: DataFrame, langs: list[str]) -> dict[str, float]:
+    """Rejection threshold of each language from (lang, pred, entropy) of all training texts.
+
+    It is the 99.5 % point of the texts of the language that are taken for it. A language with fewer than `FEW` of
+    them gets the larger of their largest and the point over the texts of all languages.
+    """
+    own = told.filter("lang = pred AND entropy IS NOT NULL AND NOT isnan(entropy)")
+    point = F.percentile_approx("entropy", 1 - REJECTED, RANKS)  # a mergeable sketch: one row per language reaches the driver
+    rows = own.rollup("lang").agg(point.alias("point"), F.max("entropy").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    by = {r.lang: r for r in rows}
+    if None not in by or by[None].n == 0:
+        return {}
+    shared, out = by[None].point, {}
+    for lang in langs:
+        r = by.get(lang)
+        out[lang] = shared if r is None else r.point if r.n >= FEW else max(r.most, shared)
+    return out
+
+
+def train(docs: DataFrame) -> Model:
+    """Learn from every training document and set the thresholds from all of them."""
+    model = learn(docs)
+    told = scored(docs.filter(_for_training()).select("lang", "text"), model)
+    model.limits = thresholds(told.select("lang", "__lang.pred", "__lang.entropy"), model.langs)
     return model
 
 
@@ -293,13 +317,21 @@ def _scored_by_join(docs: DataFrame, model: Model) -> DataFrame:
 
 def op10_language(docs: DataFrame) -> DataFrame:
     """Contract columns of language identification; ``rejected`` marks texts that fit no learned language."""
-    model = train(docs.select("doc_id", "text", "lang"))
-    got = scored(docs.select("doc_id", "text"), model)
+    rows = docs.select("doc_id", "text", "lang")
+    model = learn(rows)
+    # every text is scored once, for the thresholds and for the result
+    told = scored(rows, model).select("doc_id", "lang", _for_training().alias("learned"), "__lang.pred", "__lang.score", "__lang.entropy")
+    told = checkpointed(told)
+    limits = thresholds(told.filter("learned"), model.langs)
+    beyond = F.lit(False)
+    if limits:
+        limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+        beyond = F.coalesce(F.col("entropy") > F.try_element_at(limit, F.col("pred")), F.lit(False))
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
-    return got.select(
+    return told.select(
         "doc_id",
         held.alias("held_out"),
-        F.col("__lang.pred").alias("lang_pred"),
-        F.col("__lang.score").alias("score"),
-        F.col("__lang.rejected").alias("rejected"),
+        F.col("pred").alias("lang_pred"),
+        "score",
+        ((F.col("score") == 0) | beyond).alias("rejected"),  # score 0: no letter, or no language learned
     )
