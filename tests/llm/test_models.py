@@ -201,6 +201,19 @@ def test_batches_and_heap_agree():
             assert flat[starts[i] : starts[i + 1]].tolist() == want
 
 
+@needs_pieces
+def test_every_occurrence_is_drawn_for_by_itself():
+    v = pieces.load()
+    n = 4000
+    got = [tuple(g.tolist()) for g in pieces.encode(v, ["internationalisation"] * n, list(range(n)))]
+    assert len(set(got)) > 8
+    (plain,) = {tuple(g.tolist()) for g in pieces.encode(v, ["internationalisation"], [0], dropout=0.0)}
+    assert 0.1 < np.mean([g == plain for g in got]) < 0.9
+    (one,) = pieces.encode(v, [" ".join(["internationalisation"] * n)], [1])  # inside one document as well
+    cuts = np.flatnonzero([v.spelled[i].startswith(b" ") for i in one])
+    assert len(cuts) == n and len({tuple(x.tolist()) for x in np.split(one, cuts[1:])}) > 8
+
+
 @needs_pieces
 def test_pieces_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, LONG), (3, LONG), (None, "no id"), (4, "x" * 50_000)]

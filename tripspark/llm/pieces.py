@@ -3,9 +3,9 @@
 A text is one leading space and the text itself, cut before every run of spaces; no piece reaches over such a cut.
 In each chunk the agenda holds every adjacent pair whose union is a piece; the best pair (score, then leftmost) is
 taken; a keyed hash decides whether it is skipped, else it is merged and its new neighbours enter. The hash is keyed
-by seed, variant, chunk, place and piece; the variant is a keyed hash of document and place in the document, so one
-word is segmented in up to `VARIANTS` ways, the same ones in every run. Equal (variant, chunk) pairs of a batch are
-worked out once, many at a time. Letters without a piece, and the letter that stands for a space in pieces, become
+by seed, document, place of the chunk in the document, place in the chunk and piece, so every occurrence of a word is
+drawn for by itself, the same way in every run. What follows from a word and the steps at which it was skipped so far
+is worked out once for a batch, many at a time; occurrences only draw. Letters without a piece, and the letter that stands for a space in pieces, become
 byte pieces, so decoding gives every text back.
 """
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 7
 DROPOUT = 0.1
-VARIANTS = 8
 SHORT = 24  # letters of a chunk that is worked out in a batch; longer ones use a heap
 PART_CHARS = 1_200_000  # letters of a batch at once
 
@@ -48,6 +47,17 @@ def _draw(key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return (_mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+_WRAP = (1 << 64) - 1
+
+
+def _draw_one(key: int, place: int, piece: int) -> float:
+    """`_draw` of one candidate."""
+    x = key ^ ((place * 0x9E3779B97F4A7C15 + piece * 0xD6E8FEB86659FD93) & _WRAP)
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _WRAP
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WRAP
+    return ((x ^ (x >> 31)) >> 11) * 2.0**-53
+
+
 @dataclass
 class Vocabulary:
     """Arrays of a BPE model: letters, merges as sorted pair keys, and the bytes of every piece."""
@@ -95,29 +105,33 @@ def _codes(chunks: list[str]) -> np.ndarray:
     return np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def _block(v: Vocabulary, symbols: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Work out chunks of one length: rows of pieces, the places where they start, and their numbers."""
+def _block(v: Vocabulary, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Work out chunks of one length, ``skips`` telling the steps at which the candidate is skipped.
+
+    Rows of pieces, the places where they start, and their numbers; place and piece of the candidate of each step, the
+    place -1 after the last.
+    """
     n, width = symbols.shape
     places = np.tile(np.arange(width, dtype=np.int32), (n, 1))
     sizes = np.full(n, width)
+    tried_at, tried = np.full(skips.shape, -1, dtype=np.int8), np.zeros(skips.shape, dtype=np.int32)
     if width == 1:
-        return symbols, places, sizes
+        return symbols, places, sizes, tried_at, tried
     ranks, unions = v.pairs(symbols[:, :-1], symbols[:, 1:])
     column = np.arange(width)
-    live = np.arange(n)
+    live, step = np.arange(n), -1
     while len(live):
+        step += 1
         best = ranks[live].argmin(axis=1)
         rank = ranks[live, best]
         live, best = live[rank != _NONE], best[rank != _NONE]
         if not len(live):
             break
         union = unions[live, best]
-        if dropout > 0:
-            skipped = _draw(keys[live], places[live, best], union) < dropout
-            ranks[live[skipped], best[skipped]] = _NONE
-            rows, at, union = live[~skipped], best[~skipped], union[~skipped]
-        else:
-            rows, at = live, best
+        tried_at[live, step], tried[live, step] = places[live, best], union
+        skipped = skips[live, step]
+        ranks[live[skipped], best[skipped]] = _NONE
+        rows, at, union = live[~skipped], best[~skipped], union[~skipped]
         if not len(rows):
             continue
         # close the gap to the right of the merged piece
@@ -133,7 +147,44 @@ def _block(v: Vocabulary, symbols: np.ndarray, keys: np.ndarray, dropout: float)
             r, h = rows[ok], here[ok]
             moved[ok, h], pieces[ok, h] = v.pairs(symbols[r, h], symbols[r, h + 1])
         ranks[rows], unions[rows] = moved, pieces
-    return symbols, places, sizes
+    return symbols, places, sizes, tried_at, tried
+
+
+def _ways(v: Vocabulary, words: np.ndarray, word_of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segment occurrences of words of one length: the ways that occur, as in `_block`, and the way of each occurrence.
+
+    A way is a word with the steps skipped in it. Occurrences start with the undropped way of their word; those that
+    draw a skip go on to the way with that step skipped as well, until the rest of a way is drawn without one.
+    """
+    width = words.shape[1]
+    steps = 3 * width  # each merge offers two candidates at most, and each candidate is merged or skipped
+    rows, skips = np.arange(len(words)), np.zeros((len(words), steps), dtype=bool)
+    way_of, at, since = np.zeros(len(word_of), dtype=np.int64), np.arange(len(word_of)), np.zeros(len(word_of), dtype=np.int64)
+    way = word_of  # of the occurrences ``at``, counted in this round
+    found, before = [], 0
+    while len(at):
+        got = _block(v, words[rows], skips)
+        found.append(got[:3])
+        way_of[at] = before + way
+        before += len(rows)
+        if dropout <= 0 or width == 1:
+            break
+        tried_at, tried = got[3:]
+        used = int((tried_at >= 0).any(axis=0).sum())
+        hit = np.full(len(at), -1, dtype=np.int64)
+        for step in range(used):
+            open_ = np.flatnonzero((hit < 0) & (since <= step) & (tried_at[way, step] >= 0))
+            w = way[open_]
+            drawn = _draw(keys[at[open_]], tried_at[w, step], tried[w, step])
+            hit[open_[drawn < dropout]] = step
+        more = np.flatnonzero(hit >= 0)
+        at, since = at[more], hit[more] + 1
+        after, way = np.unique(way[more] * steps + hit[more], return_inverse=True)
+        parents = after // steps
+        rows, skips = rows[parents], skips[parents]
+        skips[np.arange(len(after)), after % steps] = True
+    whole = [np.concatenate(x) for x in zip(*found, strict=True)]
+    return whole[0], whole[1], whole[2], way_of
 
 
 def _heap(v: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float) -> tuple[list[int], list[int]]:
@@ -146,7 +197,7 @@ def _heap(v: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float) ->
         ranks, unions = v.pairs(symbols[:-1], symbols[1:])
         agenda = [(r, i, u, 0, i + 1, 0) for i, (r, u) in enumerate(zip(ranks.tolist(), unions.tolist(), strict=True)) if r != _NONE]
         heapq.heapify(agenda)
-    one = np.array([key], dtype=np.uint64)
+    one = int(key)
     keys_of = {}
 
     def offer(i):
@@ -164,7 +215,7 @@ def _heap(v: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float) ->
         _, i, union, si, j, sj = heapq.heappop(agenda)
         if stamp[i] != si or stamp[j] != sj:
             continue
-        if dropout > 0 and _draw(one, np.array([i]), np.array([union]))[0] < dropout:
+        if dropout > 0 and _draw_one(one, i, union) < dropout:
             continue
         piece[i] = union
         stamp[i] += 1
@@ -182,31 +233,42 @@ def _heap(v: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float) ->
     return [piece[i] for i in out], out
 
 
-def _segment(v: Vocabulary, chunks: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all chunks, one after the other, and where each chunk starts (one more at the end)."""
+def _segment(v: Vocabulary, chunks: list[str], keys: np.ndarray, dropout: float, chunk_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all occurrences, one after the other, and where each starts (one more at the end).
+
+    ``keys`` has one key for each occurrence; ``chunk_of`` tells its chunk, each chunk occurring once if not given.
+    """
+    chunk_of = np.arange(len(chunks)) if chunk_of is None else chunk_of
     lengths = np.array([len(c) for c in chunks], dtype=np.int64)
-    codes = _codes(chunks)
+    letters = _codes(chunks)
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    symbols = v.letters[codes]
+    symbols = v.letters[letters]
+    sizes_of = lengths[chunk_of]
+    offsets = np.concatenate([[0], np.cumsum(sizes_of)])  # places of the occurrences, one after the other
     parts_of, owner_of, place_of = [], [], []
+    rank = np.zeros(len(chunks), dtype=np.int64)  # of a chunk among those of its length
     for width in np.unique(lengths[lengths <= SHORT]):
-        rows = np.flatnonzero(lengths == width)
-        s, p, k = _block(v, symbols[starts[rows][:, None] + np.arange(width)], keys[rows], dropout)
+        rows, found = np.flatnonzero(lengths == width), np.flatnonzero(sizes_of == width)
+        rank[rows] = np.arange(len(rows))
+        s, p, k, way = _ways(v, symbols[starts[rows][:, None] + np.arange(width)], rank[chunk_of[found]], keys[found], dropout)
+        k = k[way]
         used = np.arange(width)[None, :] < k[:, None]
-        parts_of.append(s[used])
-        owner_of.append(np.repeat(rows, k))
-        place_of.append(p[used] + np.repeat(starts[rows], k))
-    for row in np.flatnonzero(lengths > SHORT):
-        got, at = _heap(v, symbols[starts[row] : starts[row + 1]], keys[row], dropout)
+        parts_of.append(s[way][used])
+        owner_of.append(np.repeat(found, k))
+        place_of.append(p[way][used] + np.repeat(offsets[found], k))
+    for row in np.flatnonzero(sizes_of > SHORT):
+        c = chunk_of[row]
+        got, at = _heap(v, symbols[starts[c] : starts[c + 1]], keys[row], dropout)
         parts_of.append(np.array(got, dtype=np.int32))
         owner_of.append(np.full(len(got), row))
-        place_of.append(np.array(at) + starts[row])
+        place_of.append(np.array(at) + offsets[row])
     pieces, owners, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts_of, owner_of, place_of))
     order = np.argsort(places, kind="stable")  # places rise with the owner and inside it
     pieces, owners, places = pieces[order], owners[order], places[order]
     bare = np.flatnonzero(pieces == 0)
     if len(bare):  # letters without a piece: one piece for each byte
-        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in codes[places[bare]].tolist()]
+        codes = letters[starts[chunk_of[owners[bare]]] + places[bare] - offsets[owners[bare]]]
+        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in codes.tolist()]
         width = np.ones(len(pieces), dtype=np.int64)
         width[bare] = [len(b) for b in spelled]
         into = np.repeat(pieces, width)
@@ -214,33 +276,24 @@ def _segment(v: Vocabulary, chunks: list[str], keys: np.ndarray, dropout: float)
         for k, b in zip(first[bare].tolist(), spelled, strict=True):
             into[k : k + len(b)] = [v.first_byte + x for x in b]
         pieces, owners = into, np.repeat(owners, width)
-    counts = np.bincount(owners, minlength=len(chunks)) if len(owners) else np.zeros(len(chunks), np.int64)
+    counts = np.bincount(owners, minlength=len(chunk_of)) if len(owners) else np.zeros(len(chunk_of), np.int64)
     return pieces.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
 def encode(v: Vocabulary, texts: list[str | None], names: list[int], dropout: float = DROPOUT, seed: int = SEED) -> list[np.ndarray]:
-    """Piece numbers of each text; ``names`` key the variants of a text, e.g. document numbers. None is empty."""
-    distinct: dict[tuple[str, int], int] = {}
-    rows = []
+    """Piece numbers of each text; ``names`` key the draws of a text, e.g. document numbers. None is empty."""
+    distinct: dict[str, int] = {}
+    found_in, keys = [], []
     for text, name in zip(texts, names, strict=True):
         found = _CHUNK.findall(" " + text) if text else []
-        if dropout > 0:
-            base = xxhash.xxh64_intdigest(str(name).encode(), seed)
-            drawn = _mix(np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(base))
-            variant = (drawn % np.uint64(VARIANTS)).tolist()
-        else:
-            variant = [0] * len(found)
-        rows.append(np.array([distinct.setdefault(c, len(distinct)) for c in zip(found, variant, strict=True)], dtype=np.int64))
-    chunks = [c for c, _ in distinct]
-    keys = np.array([xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), seed + 1 + k) for c, k in distinct], dtype=np.uint64)
-    pieces, starts = _segment(v, chunks, keys, dropout)
-    out = []
-    for row in rows:
-        sizes = starts[row + 1] - starts[row]
-        ends = np.cumsum(sizes)
-        at = np.repeat(starts[row] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        out.append(pieces[at])
-    return out
+        base = np.uint64(xxhash.xxh64_intdigest(str(name).encode(), seed))
+        keys.append(_mix(np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base))
+        found_in.append(np.array([distinct.setdefault(c, len(distinct)) for c in found], dtype=np.int64))
+    if not found_in:
+        return []
+    pieces, starts = _segment(v, list(distinct), np.concatenate(keys), dropout, np.concatenate(found_in))
+    ends = starts[np.concatenate([[0], np.cumsum([len(x) for x in found_in])])]
+    return [pieces[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def decode(v: Vocabulary, pieces: np.ndarray) -> str:
