@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripspark.llm import chat, gam, html_text, langid, licences, line_rules, permutation_index, pieces, raking, simhash
+from tripspark.llm import alignment, chat, gam, html_text, langid, licences, line_rules, permutation_index, pieces, raking, simhash
 from tripspark.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_chat_format": lambda spark, d: chat.op8_chat(table(spark, d, "conversations")),
     "op9_nearest": lambda spark, d: permutation_index.op9_nearest(table(spark, d, "embeddings")),
     "op10_language": lambda spark, d: langid.op10_language(table(spark, d, "documents")),
+    "op12_alignment": lambda spark, d: alignment.op12_alignment(table(spark, d, "documents")),
 }
 
 ORACLE = {"op3_line_rules": line_rules.SQL, "op6_licences": licences.oracle_sql(), "op8_chat_format": chat.SQL}
