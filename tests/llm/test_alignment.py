@@ -84,8 +84,8 @@ def test_equals_overlaps_of_byte_ranges(spark, libraries):
 def test_whole_table_equals_overlaps(spark, libraries):
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    short = [(i, t) for i, t in rows if len(t or "") < 8000]
-    assert told(alignment.op12_alignment(docs.filter("coalesce(length(text), 0) < 8000"))) == plain(short, libraries)
+    short = [(i, t) for i, t in rows if len(t or "") < 2500]
+    assert told(alignment.op12_alignment(docs.filter("coalesce(length(text), 0) < 2500"))) == plain(short, libraries)
 
 
 def test_counts_in_parts_are_the_same(spark):
