@@ -69,12 +69,39 @@ class Vocabulary:
     spelled: list[bytes]
     first_byte: int
 
+    def __post_init__(self):
+        # an open hash table of the pair keys, four slots or more to a key
+        self._bits = max(4, (4 * len(self.pair_keys)).bit_length())
+        self._slots = np.full(1 << self._bits, -1, dtype=np.int32)
+        todo, slot = np.arange(len(self.pair_keys), dtype=np.int32), self._slot(self.pair_keys)
+        while len(todo):
+            free = self._slots[slot] < 0
+            self._slots[slot[free]] = todo[free]
+            left = self._slots[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self._bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair; rank `_NONE` if the union is no piece."""
-        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        hit = self.pair_keys[at] == keys
-        return np.where(hit, self.pair_ranks[at], _NONE), np.where(hit, self.pair_pieces[at], 0)
+        keys = (left.astype(np.int64) << 32 | right.astype(np.int64)).ravel()
+        slot = self._slot(keys)
+        at = self._slots[slot]
+        hit = (at >= 0) & (self.pair_keys[at] == keys)
+        todo = np.flatnonzero((at >= 0) & ~hit)
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self._bits) - 1)
+            at[todo] = self._slots[slot[todo]]
+            found = self.pair_keys[at[todo]] == keys[todo]
+            hit[todo] = (at[todo] >= 0) & found
+            todo = todo[(at[todo] >= 0) & ~found]
+        ranks, unions = np.where(hit, self.pair_ranks[at], _NONE), np.where(hit, self.pair_pieces[at], 0)
+        return ranks.reshape(left.shape), unions.reshape(left.shape)
+
+    def plain(self) -> tuple:
+        """The fields, for a broadcast that workers can read without this package."""
+        return self.letters, self.pair_keys, self.pair_ranks, self.pair_pieces, self.spelled, self.first_byte
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -105,52 +132,53 @@ def _codes(chunks: list[str]) -> np.ndarray:
     return np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def _block(v: Vocabulary, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _block(v: Vocabulary, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Work out chunks of one length, ``skips`` telling the steps at which the candidate is skipped.
 
-    Rows of pieces, the places where they start, and their numbers; place and piece of the candidate of each step, the
-    place -1 after the last.
+    Pieces at the places where they start, whether one starts there; place and piece of the candidate of each step,
+    the place -1 after the last. Rows are linked lists, so a merge moves nothing.
     """
     n, width = symbols.shape
-    places = np.tile(np.arange(width, dtype=np.int32), (n, 1))
-    sizes = np.full(n, width)
+    alive = np.ones((n, width), dtype=bool)
     tried_at, tried = np.full(skips.shape, -1, dtype=np.int8), np.zeros(skips.shape, dtype=np.int32)
     if width == 1:
-        return symbols, places, sizes, tried_at, tried
-    ranks, unions = v.pairs(symbols[:, :-1], symbols[:, 1:])
-    column = np.arange(width)
+        return symbols, alive, tried_at, tried
+    ranks, unions = (np.pad(x, ((0, 0), (0, 1)), constant_values=_NONE) for x in v.pairs(symbols[:, :-1], symbols[:, 1:]))
+    after = np.tile(np.arange(1, width + 1), (n, 1)).ravel()
+    before = np.tile(np.arange(-1, width - 1), (n, 1)).ravel()
+    piece, rank_at, union_at, starts = symbols.ravel(), ranks.ravel(), unions.ravel(), alive.ravel()
     live, step = np.arange(n), -1
     while len(live):
         step += 1
-        best = ranks[live].argmin(axis=1)
-        rank = ranks[live, best]
-        live, best = live[rank != _NONE], best[rank != _NONE]
+        now = ranks[live]
+        best = now.argmin(axis=1)
+        go = now[np.arange(len(live)), best] != _NONE
+        live, best = live[go], best[go]
         if not len(live):
             break
-        union = unions[live, best]
-        tried_at[live, step], tried[live, step] = places[live, best], union
+        base = live * width
+        at = base + best
+        union = union_at[at]
+        tried_at[live, step], tried[live, step] = best, union
         skipped = skips[live, step]
-        ranks[live[skipped], best[skipped]] = _NONE
-        rows, at, union = live[~skipped], best[~skipped], union[~skipped]
-        if not len(rows):
-            continue
-        # close the gap to the right of the merged piece
-        later = np.minimum(column[None, :] + (column[None, :] > at[:, None]), width - 1)
-        symbols[rows] = np.take_along_axis(symbols[rows], later, 1)
-        places[rows] = np.take_along_axis(places[rows], later, 1)
-        narrow = np.minimum(later[:, :-1], width - 2)
-        moved, pieces = np.take_along_axis(ranks[rows], narrow, 1), np.take_along_axis(unions[rows], narrow, 1)
-        sizes[rows] -= 1
-        symbols[rows, at] = union
-        moved[column[None, :-1] >= (sizes[rows] - 1)[:, None]] = _NONE
-        for here, ok in ((at - 1, at > 0), (at, at < sizes[rows] - 1)):
-            r, h = rows[ok], here[ok]
-            moved[ok, h], pieces[ok, h] = v.pairs(symbols[r, h], symbols[r, h + 1])
-        ranks[rows], unions[rows] = moved, pieces
-    return symbols, places, sizes, tried_at, tried
-
-
-def _ways(v: Vocabulary, words: np.ndarray, word_of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if skipped.any():
+            rank_at[at[skipped]] = _NONE
+            base, at, union, best = base[~skipped], at[~skipped], union[~skipped], best[~skipped]
+            if not len(at):
+                continue
+        gone = base + after[at]
+        far = after[gone]
+        piece[at], starts[gone], rank_at[gone], after[at], rank_at[at] = union, False, _NONE, far, _NONE
+        right, left = far < width, best > 0
+        before[(base + far)[right]] = best[right]
+        nearer = (base + before[at])[left]
+        where = np.concatenate([at[right], nearer])
+        one, two = np.concatenate([union[right], piece[nearer]]), np.concatenate([piece[(base + far)[right]], union[left]])
+        rank_at[where], union_at[where] = v.pairs(one, two)
+    return symbols, alive, tried_at, tried
+
+
+def _ways(v: Vocabulary, words: np.ndarray, word_of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment occurrences of words of one length: the ways that occur, as in `_block`, and the way of each occurrence.
 
     A way is a word with the steps skipped in it. Occurrences start with the undropped way of their word; those that
@@ -163,28 +191,28 @@ def _ways(v: Vocabulary, words: np.ndarray, word_of: np.ndarray, keys: np.ndarra
     way = word_of  # of the occurrences ``at``, counted in this round
     found, before = [], 0
     while len(at):
-        got = _block(v, words[rows], skips)
-        found.append(got[:3])
+        symbols, alive, tried_at, tried = _block(v, words[rows], skips)
+        found.append((symbols, alive))
         way_of[at] = before + way
         before += len(rows)
         if dropout <= 0 or width == 1:
             break
-        tried_at, tried = got[3:]
-        used = int((tried_at >= 0).any(axis=0).sum())
-        hit = np.full(len(at), -1, dtype=np.int64)
-        for step in range(used):
-            open_ = np.flatnonzero((hit < 0) & (since <= step) & (tried_at[way, step] >= 0))
-            w = way[open_]
-            drawn = _draw(keys[at[open_]], tried_at[w, step], tried[w, step])
-            hit[open_[drawn < dropout]] = step
-        more = np.flatnonzero(hit >= 0)
-        at, since = at[more], hit[more] + 1
-        after, way = np.unique(way[more] * steps + hit[more], return_inverse=True)
+        # every candidate of every occurrence after its last skip, one after the other
+        counts = np.maximum((tried_at >= 0).sum(axis=1)[way] - since, 0)
+        owner = np.repeat(np.arange(len(at)), counts)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - since, counts)
+        w = way[owner]
+        drawn = np.flatnonzero(_draw(keys[at[owner]], tried_at[w, step], tried[w, step]) < dropout)
+        more = owner[drawn]
+        first = np.diff(more, prepend=-1) > 0
+        more, step = more[first], step[drawn[first]]
+        at, since = at[more], step + 1
+        after, way = np.unique(way[more] * steps + step, return_inverse=True)
         parents = after // steps
         rows, skips = rows[parents], skips[parents]
         skips[np.arange(len(after)), after % steps] = True
-    whole = [np.concatenate(x) for x in zip(*found, strict=True)]
-    return whole[0], whole[1], whole[2], way_of
+    symbols, alive = (np.concatenate(x) for x in zip(*found, strict=True))
+    return symbols, alive, way_of
 
 
 def _heap(v: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float) -> tuple[list[int], list[int]]:
@@ -250,12 +278,11 @@ def _segment(v: Vocabulary, chunks: list[str], keys: np.ndarray, dropout: float,
     for width in np.unique(lengths[lengths <= SHORT]):
         rows, found = np.flatnonzero(lengths == width), np.flatnonzero(sizes_of == width)
         rank[rows] = np.arange(len(rows))
-        s, p, k, way = _ways(v, symbols[starts[rows][:, None] + np.arange(width)], rank[chunk_of[found]], keys[found], dropout)
-        k = k[way]
-        used = np.arange(width)[None, :] < k[:, None]
-        parts_of.append(s[way][used])
-        owner_of.append(np.repeat(found, k))
-        place_of.append(p[way][used] + np.repeat(offsets[found], k))
+        s, alive, way = _ways(v, symbols[starts[rows][:, None] + np.arange(width)], rank[chunk_of[found]], keys[found], dropout)
+        at, place = np.nonzero(alive[way])
+        parts_of.append(s[way[at], place])
+        owner_of.append(found[at])
+        place_of.append(place + offsets[found[at]])
     for row in np.flatnonzero(sizes_of > SHORT):
         c = chunk_of[row]
         got, at = _heap(v, symbols[starts[c] : starts[c + 1]], keys[row], dropout)
@@ -319,11 +346,11 @@ def encoded(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed:
     ``lossless`` tells whether decoding gave back the whole text. A null text is encoded as an empty one, which has
     no pieces; rows with equal id and text get equal pieces; a null id is an id. Other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))  # the arrays of one vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(load(path).plain())  # the arrays of one vocabulary
     kind = "struct<token_ids: array<int>, n_pieces: bigint, ids_sha256: string, lossless: boolean>"
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        v = shared.value
+        v = Vocabulary(*shared.value)
         for names, body in batches:
             texts, ids = body.to_pylist(), names.to_pylist()
             lists, digests, whole = [], [], []
@@ -345,13 +372,14 @@ def encoded(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed:
 
 
 def decoded(tokens: DataFrame, path: str = MODEL, column: str = "token_ids", out: str = "text") -> DataFrame:
-    """``tokens`` with the texts of a column of piece numbers."""
-    shared = tokens.sparkSession.sparkContext.broadcast(load(path))
+    """``tokens`` with the texts of a column of piece numbers; a null array gives an empty text."""
+    shared = tokens.sparkSession.sparkContext.broadcast(load(path).plain())
 
     @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        v = shared.value
-        return pd.Series([decode(v, np.asarray(x if x is not None else [], dtype=np.int32)) for x in ids], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        v = Vocabulary(*shared.value)
+        for ids in batches:
+            yield pd.Series([decode(v, np.asarray(x if x is not None else [], dtype=np.int32)) for x in ids], dtype=object)
 
     return tokens.withColumn(out, run(F.col(column)))
 
