@@ -28,8 +28,9 @@ WIDTH = 5  # words of a shingle
 PERCENT = 80  # 100 * intersection >= PERCENT * union is a link
 SUBSET = 2  # shingles of a light set's key
 CANDIDATE = 4  # cost of a candidate pair, in postings
-FREQUENT = 16  # sets of a list from which a shingle may count as frequent
-MOST_FREQUENT = 500_000  # frequent shingles that the order knows (8 MB)
+FREQUENT = 2  # sets of a list from which a shingle may count as frequent
+MOST_FREQUENT = 1_000_000  # frequent shingles that the order knows (16 MB)
+PARITIES = 1024  # bits in which the parities of a set's shingles are kept
 CROWDED = 8  # sets of a list from which it is linked to hubs first
 STARS = 4  # rounds with hubs before pairs are compared
 EACH = 20  # pairs, for each row of the open lists, that are compared without another round of hubs
@@ -105,13 +106,13 @@ def _sets_of(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, node, n, bits) of each row: hash of the text, number of the set, its size, and 256 parities of it."""
+    """(id, sig, node, n, bits) of each row: hash of the text, number of the set, its size, and `PARITIES` parities of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _sets_of(batch.column(2)):
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                bits = [np.packbits(np.bincount((s & _U(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes() for s in sets]
+                bits = [np.packbits(np.bincount((s % _U(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes() for s in sets]
                 columns = [c[at : at + len(sets)] for c in (batch.column(0), batch.column(1))]
                 columns += [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "node", "n", "bits"])
@@ -325,8 +326,34 @@ def candidates(posted: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return dealt.mapInArrow(run, "kind byte, x long, y long, z long")
 
 
+def _possible(total: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of ``total`` shingles together can be linked, by their parities.
+
+    Sets with d shingles not in common differ in at most d parities, so no link is lost.
+    """
+    apart = np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
+    return apart <= total - 2 * (-(-PERCENT * total // (100 + PERCENT)))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+
+
+def _pairs_left(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs (u, v) that their parities do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = _possible(batch.column(2).to_numpy(), _words(batch.column(3)), _words(batch.column(4)))
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    one, two = (wanted.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "uv")
+    told = pairs.join(one, "u").join(two, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("total"), "bu", "bv")
+    return told.mapInArrow(run, "u long, v long")
+
+
 def verified(pairs: DataFrame, narrow: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Links (u, v) among candidate pairs (u, v), by their whole sets."""
+    """Links (u, v) among candidate pairs (u, v): by their parities, then by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +362,7 @@ def verified(pairs: DataFrame, narrow: DataFrame, wanted: DataFrame) -> DataFram
                 arrays = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], arrays], names=["node", "set"])
 
-    pairs = checkpointed(pairs.distinct())
+    pairs = checkpointed(_pairs_left(pairs.distinct(), wanted))
     named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = checkpointed(_bodies(narrow, wanted.join(named, "node", "left_semi")).mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("t")), "v")
@@ -361,10 +388,7 @@ def _more_stars(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _every_pair(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """All eligible pairs of different components in the lists, behind the parity test.
-
-    Sets with d shingles not in common differ in at most d of the 256 parities, so no link is lost.
-    """
+    """All eligible pairs of different components in the lists, behind the parity test."""
 
     def of(node, m, root, b):
         for i in range(len(node) - 1):
@@ -374,8 +398,7 @@ def _every_pair(rows: DataFrame, bits: DataFrame) -> DataFrame:
             if good.any():
                 at = np.flatnonzero(good) + i + 1
                 total = (m[at] >> 2) + (m[i] >> 2)
-                apart = np.bitwise_count(b[at] ^ b[i]).sum(axis=1, dtype=np.int64)
-                at = at[apart <= total - 2 * (-(-PERCENT * total // (100 + PERCENT)))]
+                at = at[_possible(total, b[at], b[i])]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))], names=["u", "v"])
 
@@ -389,8 +412,7 @@ def _every_pair(rows: DataFrame, bits: DataFrame) -> DataFrame:
                     yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
                 now = keys[s]
-                bits_ = np.frombuffer(b"".join(batch.column(4)[s:e].to_pylist()), dtype=np.uint64).reshape(-1, 4)
-                held.append((*(batch.column(i)[s:e].to_numpy() for i in (1, 2, 3)), bits_))
+                held.append((*(batch.column(i)[s:e].to_numpy() for i in (1, 2, 3)), _words(batch.column(4)[s:e])))
         if held:
             yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 

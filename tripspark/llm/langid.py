@@ -240,12 +240,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
     if model.stored is not None:
         return _scored_by_join(docs, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BROADCAST_GRAMS
+    # plain values, so that workers need no copy of this package; bounded by BROADCAST_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.limits))
     kind = "pred string, score double, entropy double, rejected boolean"
 
     @F.pandas_udf(kind)
     def judge(text: pd.Series) -> pd.DataFrame:
-        m = shared.value
+        m = Model(*shared.value)
         parts = []
         for s in range(0, len(text), 1024):
             texts = text.iloc[s : s + 1024].tolist()
