@@ -73,14 +73,22 @@ def zone_week(
     end=LAST_DAY,
     policy=POLICY_DATE,
     names: Groups = GROUPS,
+    balanced: bool = True,
 ) -> DataFrame:
-    """Balanced zone × Sunday-week panel with treatment, relative week, position week and ratios."""
+    """Zone × Sunday-week panel with treatment, relative week, position week and ratios.
+
+    Without ``balanced``, zones with missing weeks stay in, as long as they pass the volume floor.
+    """
     rows = table if service is None else table.where(F.col("service") == service)
     rows = rows.where(F.col("d").between(_day(start), _day(end)))
     cells = rows.groupBy("zone", sunday_week("d").alias("wk")).agg(*[F.sum(c).alias(c) for c in [*MEASURE_NAMES, *extra]])
     cells = cells.join(zones.where(F.col("grp").isin(*groups)).select("zone", "grp", "borough"), "zone")
     is_pre = F.col("wk") < _day(policy)
-    keep = balanced_units(cells, ["zone"], "wk", min_daily, is_pre, float((policy - start).days))
+    days = float((policy - start).days)
+    if balanced:
+        keep = balanced_units(cells, ["zone"], "wk", min_daily, is_pre, days)
+    else:
+        keep = cells.groupBy("zone").agg((F.sum(F.when(is_pre, F.col("n"))) / days).alias("w_pre")).where(F.col("w_pre") >= min_daily)
     out = _treatment(cells.join(keep, "zone"), F.col("wk") >= _day(policy), names)
     return add_ratios(relative_periods(out, "wk").drop("iso_week").withColumn("month", year_month("wk")))
 

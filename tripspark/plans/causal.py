@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tripspark.functions.exprs import ratio, safe_ln
-from tripspark.operators import clean, contrasts, fixed_effects
+from tripspark.operators import clean, contrasts, fe_batch, fixed_effects
 from tripspark.operators.panel import RATIOS
 from tripspark.plans.registry import query
 from tripspark.plans.standin import SUM_ROUND
@@ -190,19 +190,67 @@ def did_specs(t):
     return out
 
 
+# the same four specifications for each service, every outcome, with gaps: alternating projections, then partial regression
+_GAP_CTES = {
+    "gap_long": long_sql("panel_service", list(RATIOS), "service, zone, wk, treat, post, tp, k, woy, w_pre"),
+    "gap_rows": """SELECT service, outcome, spec, zone, wk, CASE WHEN spec = 'seasonal' THEN treat * 100 + woy ELSE 0 END AS tw,
+        CASE WHEN spec = 'weighted' THEN w_pre ELSE 1.0e0 END AS w, y, CAST(tp AS DOUBLE) AS tp,
+        CASE WHEN spec = 'trend' THEN treat * k / 52.0e0 ELSE 0.0e0 END AS tr
+        FROM gap_long CROSS JOIN (VALUES ('twfe'), ('weighted'), ('trend'), ('seasonal')) AS s(spec) WHERE y IS NOT NULL""",
+}
+
+
+def _projection(columns: list[str], keys: list[str], source: str) -> str:
+    """Subtract weighted means by each key, one after the other."""
+    out = source
+    for key in keys:
+        window = f"OVER (PARTITION BY service, outcome, spec, {key})"
+        parts = ", ".join(f"{c} - sum(w * {c}) {window} / sum(w) {window} AS {c}" for c in columns)
+        out = f"(SELECT i, service, outcome, spec, zone, wk, tw, w, {parts} FROM {out})"
+    return out
+
+
+_GAP_SQL = f"""SELECT service, outcome, spec, 'tp' AS term, coef, sqrt(adj * meat) / stt AS se, CAST(n AS BIGINT) AS n_obs, CAST(g AS BIGINT) AS n_clusters FROM (
+  WITH RECURSIVE gap_p AS (SELECT 0 AS i, * FROM gap_rows UNION ALL
+    SELECT i + 1 AS i, service, outcome, spec, zone, wk, tw, w, y, tp, tr FROM {_projection(["y", "tp", "tr"], ["zone", "wk", "tw"], "gap_p")} WHERE i < 24),
+  gap_done AS (SELECT * FROM gap_p WHERE i = 24),
+  gap_tr AS (SELECT service, outcome, spec, coalesce(sum(w * tp * tr) / nullif(sum(w * tr * tr), 0), 0) AS c FROM gap_done GROUP BY ALL),
+  gap_t AS (SELECT *, tp - c * tr AS tt FROM gap_done JOIN gap_tr USING (service, outcome, spec)),
+  gap_y AS (SELECT service, outcome, spec, coalesce(sum(w * y * tr) / nullif(sum(w * tr * tr), 0), 0) AS cy FROM gap_done GROUP BY ALL),
+  gap_b AS (SELECT service, outcome, spec, sum(w * tt * y) / sum(w * tt * tt) AS coef, sum(w * tt * tt) AS stt FROM gap_t GROUP BY ALL),
+  gap_s AS (SELECT service, outcome, spec, zone, sum(w * tt * (y - cy * tr - coef * tt)) AS s
+            FROM gap_t JOIN gap_y USING (service, outcome, spec) JOIN gap_b USING (service, outcome, spec) GROUP BY ALL),
+  gap_m AS (SELECT service, outcome, spec, sum(s * s) AS meat, count(*) AS g FROM gap_s GROUP BY ALL),
+  gap_n AS (SELECT service, outcome, spec, count(*) AS n, count(DISTINCT zone) + count(DISTINCT wk) - 1
+            + CASE WHEN spec = 'seasonal' THEN count(DISTINCT tw) - 1 ELSE 0 END AS levels FROM gap_done GROUP BY service, outcome, spec)
+  SELECT *, g / (g - 1.0e0) * (n - 1) / greatest(n - CASE WHEN spec = 'trend' THEN 2 ELSE 1 END - levels, 1) AS adj
+  FROM gap_b JOIN gap_m USING (service, outcome, spec) JOIN gap_n USING (service, outcome, spec))
+WHERE stt > 1e-9"""
+
+SPECS = (
+    fe_batch.Spec("twfe", ("tp",), ("zone", "wk"), "zone"),
+    fe_batch.Spec("weighted", ("tp",), ("zone", "wk"), "zone", "w_pre"),
+    fe_batch.Spec("trend", ("tp", "trend"), ("zone", "wk"), "zone"),
+    fe_batch.Spec("seasonal", ("tp",), ("zone", "wk", "tw"), "zone"),
+)
+
+
+@query("did_services", _GAP_SQL, "coef se:5", _GAP_CTES)
+def did_services(t):
+    """Four specifications of every outcome for each service; zones with gaps stay in, missing values drop out singly."""
+    rows = t.panel_service.withColumns({"trend": F.col("treat") * F.col("k") / 52.0, "tw": F.concat_ws("_", "treat", "woy")})
+    fits = fe_batch.fe_ols_batch(rows, RATIOS, SPECS, by=("service",))
+    return fits.where("term = 'tp' AND coef IS NOT NULL").select("service", "outcome", "spec", "term", "coef", "se", "n_obs", "n_clusters")
+
+
 @query("fe_ols_multi")
 def fe_ols_multi(t):
     """General regression: seasonal effects, a group trend, and a day panel with holes."""
-    week = t.panel_week.withColumn("trend", F.col("treat") * F.col("k") / 52.0).withColumn("tw", F.concat_ws("_", "treat", "woy"))
+    week = t.panel_week.withColumns({"trend": F.col("treat") * F.col("k") / 52.0, "tw": F.concat_ws("_", "treat", "woy")})
     day = t.panel_day.withColumn("tp_we", F.col("tp") * F.col("weekend"))
-    fits = {
-        "twfe": fixed_effects.fe_ols(week, "ln_n", ["tp"], ["zone", "wk"], "zone"),
-        "trend": fixed_effects.fe_ols(week, "ln_n", ["tp", "trend"], ["zone", "wk"], "zone"),
-        "seasonal": fixed_effects.fe_ols(week, "ln_n", ["tp"], ["zone", "wk", "tw"], "zone"),
-        "weighted": fixed_effects.fe_ols(week, "ln_n", ["tp"], ["zone", "wk"], "zone", "w_pre"),
-        "weekend": fixed_effects.fe_ols(day, "ln_n", ["tp", "tp_we"], ["d", "zone"], "zone"),
-    }
-    return fixed_effects.fits_frame(t.spark, fits)
+    out = fe_batch.fe_ols_batch(week, ["ln_n"], SPECS)
+    daily = fe_batch.fe_ols_batch(day, ["ln_n"], [fe_batch.Spec("weekend", ("tp", "tp_we"), ("d", "zone"), "zone")])
+    return out.unionByName(daily).withColumnRenamed("spec", "model").drop("outcome")
 
 
 @query("fe_ols_balanced", f"SELECT spec AS model, coef, se, n_obs, n_clusters FROM ({_spec_final}) WHERE outcome = 'ln_n'", "coef se", {**_SPECS, **_spec_ctes})

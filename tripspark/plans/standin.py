@@ -139,6 +139,14 @@ def _week_ctes(prefix: str, groups: str, extra: str) -> None:
 
 _week_ctes("panel_week", "'CRZ', 'MN_NORTH', 'OUTER'", "sum(n_to_crz) AS n_to_crz, sum(n_uber) AS n_uber, sum(n_lyft) AS n_lyft")
 _week_ctes("panel_week_all", "'CRZ', 'CRZ_PARTIAL', 'MN_NORTH', 'OUTER'", "sum(n_to_crz) AS n_to_crz")
+# one panel for each service, zones with missing weeks kept
+CTES["panel_service_cells"] = f"""SELECT * FROM (SELECT service, zone, d - CAST(dayofweek(d) AS INTEGER) AS wk, {_SUM_LIST} FROM zone_day_pu
+  WHERE d BETWEEN DATE '2024-01-07' AND DATE '2025-12-27' GROUP BY ALL) JOIN (SELECT zone, grp FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (zone)"""
+CTES["panel_service_keep"] = """SELECT service, zone, sum(n) FILTER (WHERE wk < DATE '2025-01-05') / 364.0e0 AS w_pre FROM panel_service_cells GROUP BY ALL
+  HAVING sum(n) FILTER (WHERE wk < DATE '2025-01-05') / 364.0e0 >= 0.5"""
+CTES["panel_service"] = f"""SELECT *, treat * post AS tp, {RATIO_SQL} FROM (SELECT *, CAST(grp = 'CRZ' AS INTEGER) AS treat,
+  CAST(wk >= DATE '2025-01-05' AS INTEGER) AS post, CAST(floor(date_diff('day', DATE '2025-01-05', wk) / 7.0) AS INTEGER) AS k,
+  CAST((date_diff('day', DATE '2024-01-07', wk) // 7) % 52 AS INTEGER) AS woy FROM panel_service_cells JOIN panel_service_keep USING (service, zone))"""
 CTES["panel_day_cells"] = f"""SELECT * FROM (SELECT zone, d, {_SUM_LIST} FROM zone_day_pu WHERE d BETWEEN DATE '2024-01-01' AND DATE '2025-12-31' GROUP BY ALL)
   JOIN (SELECT zone, grp, borough FROM dim_zone WHERE grp IN ('CRZ', 'MN_NORTH', 'OUTER')) USING (zone)"""
 CTES["panel_day"] = f"""SELECT *, treat * post AS tp, {RATIO_SQL} FROM (SELECT *, CAST(grp = 'CRZ' AS INTEGER) AS treat,
@@ -327,6 +335,19 @@ class StandIn:
             lambda: panel.zone_week(self.gold("zone_day_pu"), self.dim_zone, None, groups=groups, min_daily=MIN_DAILY, extra=extra),
         )
 
+    @property
+    def panel_service(self) -> DataFrame:
+        """The week panel of each service by itself; zones with missing weeks stay in."""
+
+        def build() -> DataFrame:
+            one = [
+                panel.zone_week(self.gold("zone_day_pu"), self.dim_zone, s, min_daily=MIN_DAILY, balanced=False).withColumn("service", F.lit(s))
+                for s in ("hvfhv", "yellow")
+            ]
+            return one[0].unionByName(one[1])
+
+        return self._stored("panel_service", build)
+
     @property
     def panel_day(self) -> DataFrame:
         return self._stored("panel_day", lambda: panel.zone_day(self.gold("zone_day_pu"), self.dim_zone, None, min_daily=MIN_DAILY))
