@@ -122,8 +122,21 @@ def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str], key: Seq
     return df.select(*keys, *names).mapInPandas(run, schema)
 
 
+def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Missing and infinite feature values replaced by the feature's exact median over the rows that have one."""
+    usable = {f: F.when(~F.isnan(f) & (F.abs(f) < float("inf")), F.col(f)) for f in features}
+    clean = df.withColumns({f: e for f, e in usable.items()})
+    gaps = clean.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    for f in features:
+        if gaps[f]:
+            middle = exact_quantiles(clean.select(f), [], f, [0.5]).select("value").scalar()
+            clean = clean.withColumn(f, F.coalesce(F.col(f), middle))
+    return clean
+
+
 def flag_anomalies(df: DataFrame, features: Sequence[str], key: Sequence[str], contamination: float = 0.005, trees: int = 200, seed: int = 0) -> DataFrame:
-    """Scores and a 0/1 flag for the ``contamination`` share with the highest scores."""
+    """Scores and a 0/1 flag for the ``contamination`` share with the highest scores; ``key`` columns are carried along."""
+    df = checkpointed(filled(df, features))
     forest = fit(df, features, key, trees=trees, seed=seed)
     scores = checkpointed(score(df, forest, features, key))
     limit = exact_quantiles(scores, [], "score", [1.0 - contamination]).select("value").scalar()

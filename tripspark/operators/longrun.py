@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.exprs import uniform01, webb_weight
@@ -165,3 +165,69 @@ def bootstrap_bounds(effect_draws: DataFrame, theta_draws: DataFrame, grid: Sequ
 def breakdown(sets: DataFrame, by: str = "outcome") -> DataFrame:
     """The smallest grid value at which the confidence set reaches zero, NULL if none does."""
     return sets.groupBy(by, "theta").agg(F.min(F.when(F.col("covers_zero"), F.col("m"))).alias("breakdown_m"))
+
+
+def bias_weights(months: Sequence[str], spec: TrendSpec, post: int = 2025) -> tuple[float, float]:
+    """The mean bias after the policy, in units of the bound: if its monthly change is bounded, and if its curvature is.
+
+    A change of at most 1 a month adds up to k after k months; a curvature of at most 1 adds the changes up once more.
+    """
+    n = sum(year_of(m) == post for m in event_months(months, spec))
+    change = np.cumsum(np.ones(n))
+    return float(change.mean()), float(np.cumsum(change).mean())
+
+
+def restriction_terms(months: Sequence[str], spec: TrendSpec, post: int = 2025) -> dict[str, dict[str, float]]:
+    """What both restrictions need: each effect before the policy, the effect against the last of them (``theta_rm``),
+    and the effect less the foretold drift (``theta_sd``)."""
+    ev = event_months(months, spec)
+    before = [m for m in ev if year_of(m) < post]
+    last = np.array([m == before[-1] for m in ev], dtype=float)
+    out = {m: on_calendar({m: 1.0}, spec) for m in before}
+    out["theta_rm"] = on_calendar(dict(zip(ev, map(float, year_mean(ev, post) - last), strict=True)), spec)
+    out["theta_sd"] = on_calendar(dict(zip(ev, map(float, drift_adjusted(ev, spec, post)), strict=True)), spec)
+    return out
+
+
+def largest_change(effects: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, dmax): the largest change between neighbouring months of (by, ym, value)."""
+    order = Window.partitionBy(*by).orderBy("ym")
+    return effects.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(order))).groupBy(*by).agg(F.max("_d").alias("dmax"))
+
+
+def _grid(values: Sequence[float]) -> Column:
+    return F.explode(F.array(*[F.lit(float(m)) for m in values])).alias("m")
+
+
+def restricted_sets(draws: DataFrame, weights: dict[str, tuple[float, float]], changes: Sequence[float], curvatures: Sequence[float]) -> DataFrame:
+    """Confidence sets under both restrictions: (spec, outcome, restriction, m, theta, ci_low, ci_high, covers_zero).
+
+    ``draws`` has (spec, outcome, part, draw, coef, b) with the parts of `restriction_terms`; ``weights`` the
+    `bias_weights` of each specification. ``changes`` are multiples of the largest change before the policy, which each
+    draw estimates again; ``curvatures`` are maximal biases in standard errors of the drift-adjusted effect.
+    """
+    by = ["spec", "outcome"]
+    w_rm = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, w[0])])
+    pre = draws.where(~F.col("part").isin("theta_rm", "theta_sd")).withColumnRenamed("part", "ym")
+    worst = largest_change(pre, [*by, "draw"], "b")
+    moved = draws.where("part = 'theta_rm'").join(worst, [*by, "draw"]).select(*by, "coef", "b", (F.col("dmax") * w_rm[F.col("spec")]).alias("unit"), _grid(changes))
+    curved = draws.where("part = 'theta_sd'")
+    spread = curved.groupBy(*by).agg(F.stddev_samp("b").alias("unit"))
+    curved = curved.join(spread, by).select(*by, "coef", "b", "unit", _grid(curvatures))
+    rows = moved.withColumn("restriction", F.lit("RM")).unionByName(curved.withColumn("restriction", F.lit("SD")))
+    sets = rows.groupBy(*by, "restriction", "m", F.col("coef").alias("theta")).agg(
+        F.percentile(F.col("b") - F.col("m") * F.col("unit"), F.lit(0.025)).alias("ci_low"),
+        F.percentile(F.col("b") + F.col("m") * F.col("unit"), F.lit(0.975)).alias("ci_high"),
+    )
+    return sets.withColumn("covers_zero", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))
+
+
+def curvature_breakdown(draws: DataFrame, weights: dict[str, tuple[float, float]]) -> DataFrame:
+    """The curvature at which the set of the drift-adjusted effect reaches zero, 0 if it holds zero anyway."""
+    w_sd = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, w[1])])
+    q = draws.where("part = 'theta_sd'").groupBy("spec", "outcome", F.col("coef").alias("theta_sd")).agg(
+        F.stddev_samp("b").alias("se_sd"), F.percentile("b", F.lit(0.025)).alias("lo"), F.percentile("b", F.lit(0.975)).alias("hi")
+    )
+    inside = (F.col("lo") <= 0) & (F.col("hi") >= 0)
+    bias = F.when(inside, 0.0).otherwise(F.least(F.abs("lo"), F.abs("hi")))
+    return q.select("spec", "outcome", "theta_sd", "se_sd", (bias / w_sd[F.col("spec")]).alias("breakdown_sd"), F.try_divide(bias, "se_sd").alias("breakdown_sd_rel_se"))

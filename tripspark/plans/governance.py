@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tripspark.config import SEED
 from tripspark.functions.exprs import flag, ratio
 from tripspark.operators import clean, contrasts, forest, gold, privacy, quality
+from tripspark.operators.reshape import exact_quantiles
 from tripspark.plans.causal import difference_sql
 from tripspark.plans.inference import u_sql
 from tripspark.plans.registry import query
@@ -269,6 +270,10 @@ def anomaly_rates(t):
 FOREST_FEATURES = ["l_miles", "l_time", "l_fare", "l_pay", "mph", "l_fpm", "pay_ratio", "tip_ratio"]
 
 
+#: Columns of a trip that the tables below need next to its flag.
+FOREST_TRIP = "company_code pu dl touch_crz d miles time_s fare driver_pay tips wait_min".split()
+
+
 def forest_input(t):
     s = t.stored_silver.where("service = 'hvfhv'").dropna(subset=["miles", "time_s", "fare", "driver_pay"])
 
@@ -277,7 +282,7 @@ def forest_input(t):
 
     return s.select(
         F.xxhash64("pickup_ts", "pu", "dl", "fare", "miles", "driver_pay", "time_s").alias("trip"),
-        "company_code",
+        *FOREST_TRIP,
         ln(F.col("miles")).alias("l_miles"),
         ln(F.col("time_s")).alias("l_time"),
         ln(F.col("fare")).alias("l_fare"),
@@ -289,16 +294,70 @@ def forest_input(t):
     )
 
 
+def trip_scores(t):
+    """Every ride-hail trip with its forest score and flag, scored once and stored."""
+    own = ["trip", *FOREST_TRIP, *FOREST_FEATURES]
+    return t._stored("trip_scores", lambda: forest.flag_anomalies(forest_input(t), FOREST_FEATURES, own, trees=200, seed=SEED))
+
+
 @query("isolation_forest")
 def isolation_forest(t):
     """Isolation-forest scores of all trips, summarised by company."""
-    x = forest_input(t)
-    scored = forest.flag_anomalies(x, FOREST_FEATURES, ["trip", "company_code"], trees=200, seed=SEED)
-    return scored.groupBy("company_code").agg(
+    return trip_scores(t).groupBy("company_code").agg(
         F.count(F.lit(1)).alias("n"), F.sum("iso_flag").alias("flagged"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score")
     )
 
 
+def rule_overlap(scores):
+    """(rule, n, pct, overlap_iso_pct): trips that break each rule and the share of those that the forest flags."""
+    rules = {**_RULES, "forest": "iso_flag = 1"}
+    aggs = []
+    for k, c in rules.items():
+        hit = F.coalesce(F.expr(c), F.lit(False))
+        aggs += [F.count_if(hit).alias(f"n_{k}"), F.count_if(hit & (F.col("iso_flag") == 1)).alias(f"f_{k}")]
+    one = scores.agg(F.count(F.lit(1)).alias("all_rows"), *aggs)
+    long = one.select("all_rows", F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"n_{k}").alias("n"), F.col(f"f_{k}").alias("f")) for k in rules])))
+    return long.select("rule", "n", (100.0 * ratio("n", "all_rows")).alias("pct"), (100.0 * F.col("f") / F.greatest(F.col("n"), F.lit(1))).alias("overlap_iso_pct"))
+
+
+PROFILE = ["miles", "time_s", "fare", "driver_pay", "mph", "fare_pm", "pay_ratio", "tip_ratio", "wait_min"]
+
+
+def flag_profile(scores):
+    """(measure, normal, anomalous): exact medians by flag."""
+    rows = scores.withColumns({"fare_pm": ratio("fare", "miles"), "pay_ratio": ratio("driver_pay", "fare"), "tip_ratio": ratio("tips", "fare")})
+    long = rows.select("iso_flag", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in PROFILE])))
+    middle = exact_quantiles(long, ["measure", "iso_flag"], "x", [0.5])
+    side = {name: F.max(F.when(F.col("iso_flag") == k, F.col("value"))).alias(name) for k, name in enumerate(("normal", "anomalous"))}
+    return middle.groupBy("measure").agg(*side.values())
+
+
+def flag_rates(scores):
+    """(company_code, crz, post, n, flagged_pct), with a NULL company for the rates over all of them."""
+    post = flag(F.col("d") >= F.lit("2025-01-05").cast("date"))
+    rows = scores.select("company_code", F.col("touch_crz").alias("crz"), post.alias("post"), "iso_flag")
+    whole = rows.groupingSets([["company_code"], ["crz", "post"]], "company_code", "crz", "post")
+    return whole.agg(F.count(F.lit(1)).alias("n"), (100.0 * F.avg("iso_flag")).alias("flagged_pct"))
+
+
+@query("forest_rules")
+def forest_rules(t):
+    """The five rules against the forest's flag."""
+    return rule_overlap(trip_scores(t))
+
+
+@query("forest_profile")
+def forest_profile(t):
+    """Median trip of either flag."""
+    return flag_profile(trip_scores(t))
+
+
+@query("forest_rates")
+def forest_rates(t):
+    """Flagged share by company, and by area and period."""
+    return flag_rates(trip_scores(t))
+
+
 # ------------------------------------------------------------------ privacy
 # The ten sets of quasi-identifiers that are compared.
 _QI = {
@@ -341,11 +400,13 @@ def k_anonymity(t):
     """Class sizes for ten sets of quasi-identifiers over all ride-hail trips."""
     z = t.dim_zone
     s = t.stored_silver.where("service = 'hvfhv'")
-    s = s.join(z.select(F.col("zone").alias("pu"), F.col("borough").alias("pb")), "pu", "left")
-    s = s.join(z.select(F.col("zone").alias("dl"), F.col("borough").alias("db")), "dl", "left")
-    s = s.withColumns({"ym": F.date_format("d", "yyyy-MM"), "minute": F.date_trunc("minute", "pickup_ts")})
-    base = ["pb", "db", "pu", "dl", "ym", "d", "dow", "hr", "company_code"]
-    return privacy.k_anonymity_sets(s, _QI, base)
+
+    def derived(cells):
+        cells = cells.join(z.select(F.col("zone").alias("pu"), F.col("borough").alias("pb")), "pu", "left")
+        cells = cells.join(z.select(F.col("zone").alias("dl"), F.col("borough").alias("db")), "dl", "left")
+        return cells.withColumns({"ym": F.date_format("d", "yyyy-MM"), "minute": F.date_trunc("minute", "pickup_ts")})
+
+    return privacy.k_anonymity_sets(s, _QI, ["pu", "dl", "pickup_ts", "d", "hr", "dow", "company_code"], derived)
 
 
 @query(
@@ -386,11 +447,12 @@ def dp_replications(t):
     cells = t.gold("zone_day_pu").where("d BETWEEN DATE'2024-01-07' AND DATE'2025-12-27'").groupBy("zone", "d").agg(F.sum("n").cast("double").alias("n"))
     from tripspark.functions.exprs import sunday_week
 
-    noisy = privacy.laplace_replicates(cells.join(units, "zone"), ["zone", "d"], "n", EPS, REPS, SEED)
-    week = noisy.groupBy("eps", "rep", "zone", "treat", sunday_week("d").alias("wk")).agg(F.ln(F.greatest(F.sum("n"), F.lit(1.0))).alias("ln_n"))
     periods = contrasts.periods_of(panel, ["wk", "post"])
     weights = contrasts.weights_frame(t.spark, "wk", panel.schema["wk"].dataType, contrasts.post_weights(periods))
-    c = week.join(weights, "wk").groupBy("eps", "rep", "zone", "treat").agg(F.sum(F.col("a") * F.col("ln_n")).alias("c"))
+    # the days of a week stand in one row, so the copies are made after the last shuffle but one, and summed before it
+    week = cells.join(units, "zone").groupBy("zone", "treat", sunday_week("d").alias("wk")).agg(F.collect_list(F.struct("d", "n")).alias("days"))
+    noisy = privacy.laplace_sums(week.join(weights, "wk"), ["zone"], "days", ["d"], "n", EPS, REPS, SEED)
+    c = noisy.groupBy("eps", "rep", "zone", "treat").agg(F.sum(F.col("a") * F.ln(F.greatest(F.col("n"), F.lit(1.0)))).alias("c"))
     return contrasts.estimate(c, ["eps", "rep"], len(periods))
 
 

@@ -9,6 +9,7 @@ from tripspark.operators import contrasts, longrun
 from tripspark.plans.causal import difference_sql, long_sql
 from tripspark.plans.inference import _WEBB, u_sql
 from tripspark.plans.registry import query
+from tripspark.session import checkpointed
 
 OUT = ["ln_n", "mph", "rider_ex_pt"]
 MONTHS = longrun.months_between(2022, 2025)
@@ -203,3 +204,114 @@ def long_index(t):
     return index_to_base(m.withColumn("per_day", F.col("n") / days), "per_day", ["treat"], F.col("ym") < "2023").select("ym", "treat", "idx")
 
 
+
+
+# ------------------------------------------------------------------ both restrictions
+# The multiples and curvatures of the published tables.
+BOOT_CHANGES = (0.0, 0.25, 0.5, 1.0, 1.5, 2.0)
+BOOT_CURVATURES = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
+CURVATURES = (0.0, 0.0025, 0.005, 0.01, 0.02, 0.05)
+
+_TWO = {f"{s}|{part}": w for s in ("S1", "S2") for part, w in longrun.restriction_terms(MONTHS, longrun.SPECS[s]).items()}
+_BIAS = {s: longrun.bias_weights(MONTHS, longrun.SPECS[s]) for s in ("S1", "S2")}
+_two1, _ = difference_sql("tw_c", "outcome term", "48", _K, "23", prefix="t1")
+_TWO_CTES = {
+    **_contrast_ctes("tw", _TWO),
+    **_two1,
+    **_DRAW_CTES,
+    "tw_draw": """SELECT split_part(s.term, '|', 1) AS spec, split_part(s.term, '|', 2) AS part, s.outcome, draw, any_value(coef) AS coef, any_value(coef) + sum(v * s) AS b
+        FROM t1_s AS s JOIN dr_v USING (cluster) JOIN t1_c USING (outcome, term) GROUP BY s.term, s.outcome, draw""",
+    "tw_worst": """SELECT spec, outcome, draw, max(delta) AS dmax FROM (SELECT *, abs(b - lag(b) OVER (PARTITION BY spec, outcome, draw ORDER BY part)) AS delta
+        FROM tw_draw WHERE part NOT LIKE 'theta%') GROUP BY ALL""",
+    "tw_spread": "SELECT spec, outcome, stddev_samp(b) AS se_sd, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi, any_value(coef) AS theta_sd FROM tw_draw WHERE part = 'theta_sd' GROUP BY ALL",
+}
+
+
+def _list_sql(values) -> str:
+    return "unnest([" + ", ".join(f"{v}e0" for v in values) + "])"
+
+
+def _rm_sql(grid) -> str:
+    return f"""SELECT spec, outcome, 'RM' AS restriction, m, any_value(coef) AS theta, quantile_cont(b - m * dmax * w, 0.025) AS ci_low, quantile_cont(b + m * dmax * w, 0.975) AS ci_high
+        FROM tw_draw JOIN tw_worst USING (spec, outcome, draw) JOIN (VALUES {", ".join(f"('{s}', {w[0]}e0)" for s, w in _BIAS.items())}) AS bias(spec, w) USING (spec)
+        CROSS JOIN (SELECT {_list_sql(grid)} AS m) WHERE part = 'theta_rm' GROUP BY spec, outcome, m"""
+
+
+def two_draws(t):
+    c = term_contrasts(t, _TWO)
+    draws = longrun.bootstrap_draws(c, ["outcome", "term"], DRAWS, SEED + 7)
+    return draws.withColumns({"spec": F.split_part("term", F.lit("|"), F.lit(1)), "part": F.split_part("term", F.lit("|"), F.lit(2))}).drop("term")
+
+
+@query(
+    "restricted_sets",
+    f"""SELECT *, ci_low <= 0 AND ci_high >= 0 AS covers_zero FROM ({_rm_sql(BOOT_CHANGES)} UNION ALL
+        SELECT spec, outcome, 'SD', m, theta_sd, lo - m * se_sd, hi + m * se_sd FROM tw_spread CROSS JOIN (SELECT {_list_sql(BOOT_CURVATURES)} AS m))""",
+    "theta ci_low ci_high",
+    _TWO_CTES,
+)
+def restricted_sets(t):
+    """Bootstrap sets under bounded changes and under bounded curvature, for two specifications."""
+    return longrun.restricted_sets(two_draws(t), _BIAS, BOOT_CHANGES, BOOT_CURVATURES)
+
+
+@query(
+    "restricted_breakdown",
+    f"""SELECT spec, outcome, breakdown_rm, theta_sd, se_sd, bias / w AS breakdown_sd, bias / se_sd AS breakdown_sd_rel_se FROM (
+          SELECT *, CASE WHEN lo <= 0 AND hi >= 0 THEN 0.0e0 ELSE least(abs(lo), abs(hi)) END AS bias FROM tw_spread)
+        JOIN (VALUES {", ".join(f"('{s}', {w[1]}e0)" for s, w in _BIAS.items())}) AS bias(spec, w) USING (spec)
+        JOIN (SELECT spec, outcome, min(m) FILTER (WHERE ci_low <= 0 AND ci_high >= 0) AS breakdown_rm FROM ({_rm_sql(FINE)}) GROUP BY ALL) USING (spec, outcome)""",
+    "breakdown_rm theta_sd se_sd breakdown_sd breakdown_sd_rel_se",
+    _TWO_CTES,
+)
+def restricted_breakdown(t):
+    """The multiple and the curvature at which either set reaches zero."""
+    draws = checkpointed(two_draws(t))
+    sets = longrun.restricted_sets(draws, _BIAS, FINE, (0.0,)).where("restriction = 'RM'")
+    least = sets.groupBy("spec", "outcome").agg(F.min(F.when(F.col("covers_zero"), F.col("m"))).alias("breakdown_rm"))
+    return least.join(longrun.curvature_breakdown(draws, _BIAS), ["spec", "outcome"])
+
+
+_S1 = longrun.restriction_terms(MONTHS, longrun.SPECS["S1"])
+_cr1, _crf1 = difference_sql("cr_c", "outcome term", "48", _K, "23", prefix="c1")
+# the critical value of Student's t by bisection of its distribution, which Simpson's rule integrates from its middle
+_CRITICAL = {
+    **_contrast_ctes("cr", _S1),
+    **_cr1,
+    "cr_est": _crf1,
+    "t_crit": """WITH RECURSIVE b(g, i, lo, hi) AS (SELECT DISTINCT n_clusters, 0, 0.0e0, 20.0e0 FROM cr_est UNION ALL
+          SELECT g, i + 1, CASE WHEN area > 0.475 THEN lo ELSE mid END, CASE WHEN area > 0.475 THEN mid ELSE hi END FROM (
+            SELECT *, (lo + hi) / 2 AS mid, exp(lgamma(g / 2.0e0) - lgamma((g - 1) / 2.0e0)) / sqrt((g - 1) * pi()) * (lo + hi) / 2400 *
+              list_sum(list_transform(range(0, 401), lambda j: (CASE WHEN j IN (0, 400) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END)
+                * pow(1 + pow(j * (lo + hi) / 800, 2) / (g - 1), -g / 2.0e0))) AS area FROM b) WHERE i < 50)
+        SELECT g, (lo + hi) / 2 AS crit FROM b WHERE i = 50""",
+    "cr_worst": """SELECT outcome, max(delta) AS dmax FROM (SELECT outcome, abs(coef - lag(coef) OVER (PARTITION BY outcome ORDER BY term)) AS delta
+        FROM cr_est WHERE term NOT LIKE 'theta%') GROUP BY outcome""",
+    "cr_unit": f"""SELECT outcome, 'RM' AS restriction, coef AS theta, se, crit, dmax * {_BIAS["S1"][0]}e0 AS unit FROM cr_est JOIN cr_worst USING (outcome) JOIN t_crit ON g = n_clusters WHERE term = 'theta_rm'
+        UNION ALL SELECT outcome, 'SD', coef, se, crit, {_BIAS["S1"][1]}e0 FROM cr_est JOIN t_crit ON g = n_clusters WHERE term = 'theta_sd'""",
+}
+
+
+@query(
+    "restricted_critical",
+    f"""SELECT outcome, restriction, m, theta, se, m * unit AS bound, theta - m * unit - crit * se AS ci_low, theta + m * unit + crit * se AS ci_high,
+          greatest((abs(theta) - crit * se) / unit, 0) AS breakdown FROM cr_unit
+        JOIN (SELECT 'RM' AS restriction, {_list_sql(GRID)} AS m UNION ALL SELECT 'SD', {_list_sql(CURVATURES)}) USING (restriction)""",
+    "theta se bound ci_low ci_high breakdown",
+    _CRITICAL,
+)
+def restricted_critical(t):
+    """Sets of both restrictions widened by the critical value of the clustered error, and where they reach zero."""
+    est = contrasts.estimate(term_contrasts(t, _S1), ["outcome", "term"], 48, k=len(_EFFECTS), extra_levels=23)
+    est = checkpointed(contrasts.with_p_values(est).withColumn("half", F.col("coef") - F.col("ci_low")))
+    worst = longrun.largest_change(est.where("NOT startswith(term, 'theta')").withColumnRenamed("term", "ym"), ["outcome"], "coef")
+    rm = est.where("term = 'theta_rm'").join(worst, "outcome").withColumns({"restriction": F.lit("RM"), "unit": F.col("dmax") * _BIAS["S1"][0]}).drop("dmax")
+    sd = est.where("term = 'theta_sd'").withColumns({"restriction": F.lit("SD"), "unit": F.lit(_BIAS["S1"][1])})
+    grid = F.when(F.col("restriction") == "RM", F.array(*map(F.lit, GRID))).otherwise(F.array(*map(F.lit, CURVATURES)))
+    rows = rm.unionByName(sd).withColumn("m", F.explode(grid))
+    bound = F.col("m") * F.col("unit")
+    return rows.select(
+        "outcome", "restriction", "m", F.col("coef").alias("theta"), "se", bound.alias("bound"),
+        (F.col("coef") - bound - F.col("half")).alias("ci_low"), (F.col("coef") + bound + F.col("half")).alias("ci_high"),
+        F.greatest((F.abs("coef") - F.col("half")) / F.col("unit"), F.lit(0.0)).alias("breakdown"),
+    )
