@@ -31,9 +31,9 @@ CANDIDATE = 4  # cost of a candidate pair, in postings
 FREQUENT = 2  # sets of a list from which a shingle may count as frequent
 MOST_FREQUENT = 1_000_000  # frequent shingles that the order knows (16 MB)
 PARITIES = 1024  # bits in which the parities of a set's shingles are kept
-CROWDED = 8  # sets of a list from which it is linked to hubs first
+CROWDED = 32  # sets of a list from which it is linked to hubs first
 STARS = 4  # rounds with hubs before pairs are compared
-EACH = 20  # pairs, for each row of the open lists, that are compared without another round of hubs
+EACH = 2000  # pairs, for each row of the open lists, whose parities are compared without another round of hubs
 PART_BYTES = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
