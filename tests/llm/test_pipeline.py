@@ -27,7 +27,7 @@ def plain_rules(docs):
         texts[source].add(t)
         for x in lines[i]:
             held[source, x].add(t)
-    template = {k for k, v in held.items() if len(v) >= line_rules.LINE_MIN_DOCS and len(v) > line_rules.LINE_SHARE * len(texts[k[0]])}
+    template = {k for k, v in held.items() if len(v) >= line_rules.LINE_MIN_DOCS}
     kept = {}
     for i, (t, lang, source) in docs.items():
         n, _, _, _, repeated = plain_measures(t)

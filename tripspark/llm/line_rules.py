@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in Spark expressions only.
 
 Normalised lines are hashed; for each host the distinct texts that hold a line are counted over all documents;
-lines above both limits are template text and are removed; documents that keep too little are rejected. Copies of
+lines at the limit, which does not grow with the host, are template text and are removed; documents that keep too little are rejected. Copies of
 one text count once, so a group of copies is left to the duplicate stage and not taken for a template.
 """
 
@@ -14,9 +14,8 @@ from tripspark.llm.common import SPACES, join_sized
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50  # of the words, in repeated 3-word windows
-LINE_MIN_DOCS = 10  # a template line stands in at least so many distinct texts of its host
-LINE_SHARE = 0.1  # and in more than this share of them
-KEPT_SHARE = 0.5  # a document that keeps less than this share of its words is rejected
+LINE_MIN_DOCS = 10  # a template line stands in at least so many distinct texts of its host, however large the host
+KEPT_SHARE = 0.7  # a document that keeps less than this share of its words is rejected
 
 # Windows are compared by the high bits of a 64-bit hash; the low bits, as many as the text needs, hold the place.
 # The words are a lambda's argument, so no optimizer rule can put their splitting into the loop over windows.
@@ -71,11 +70,9 @@ def line_table(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
 
 
 def template_lines(lines: DataFrame) -> DataFrame:
-    """(host, line, n_texts) of lines over both limits; counts cover every document."""
+    """(host, line, n_texts) of lines at the limit; counts cover every document."""
     held = lines.select("host", "line", "sig").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_texts"))
-    hosts = lines.select("host", "sig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
-    above = held.filter(F.col("n_texts") >= LINE_MIN_DOCS).join(hosts, "host")
-    return above.filter(F.col("n_texts") > LINE_SHARE * F.col("host_texts")).select("host", "line", "n_texts")
+    return held.filter(F.col("n_texts") >= LINE_MIN_DOCS)
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -131,9 +128,7 @@ lw AS (SELECT rid, source, text, raw,
        FROM ln WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 dl AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM lw GROUP BY rid),
 held AS (SELECT source, line, count(DISTINCT text) AS n FROM lw GROUP BY source, line),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM lw GROUP BY source),
-tpl AS (SELECT h.source, h.line FROM held h JOIN hosts s ON h.source = s.source
-        WHERE h.n >= {LINE_MIN_DOCS} AND h.n > {LINE_SHARE}::DOUBLE * s.n),
+tpl AS (SELECT source, line FROM held WHERE n >= {LINE_MIN_DOCS}),
 gone AS (SELECT lw.rid, sum(length(lw.line) - length(replace(lw.line, ' ', '')) + 1)::BIGINT AS n
          FROM lw JOIN tpl ON lw.source = tpl.source AND lw.line = tpl.line GROUP BY lw.rid),
 m AS (
