@@ -46,25 +46,36 @@ ASIDE = set(
 #: Beginnings of such words written together, and the words that an article or main element may not have.
 ASIDE_STEMS = ("commentlist", "commentform", "commentarea", "advert", "sidebar", "breadcrumb", "navbar", "navlink", "cookie", "newsletter", "sponsor")
 ASIDE_ARTICLES = set("comment reply ad advert advertisement sponsored promo related teaser".split())
+#: Words of the list that also name subjects: such a container stays if it holds most of the page's paragraph points.
+WEAK = set("side menu header masthead notice notification alert social share sharing search login signup hidden skip legal copyright disclaimer widget".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SCORED = {"p", "pre", "td", "blockquote", "li", "dd"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"article", "main"}
+CONTAINER_BONUS = 2.5  # factor on the points of such an element: more than one block inside it, less than what holds several
+LENGTH_POINTS = 3  # most points of a paragraph for its length, one for every 100 characters
+SHARES = (1, 2, 6, 9, 12)  # what a paragraph's points are divided by for its parent, the parent's parent and so on
+SIBLING = 0.2  # share of the best container's worth that a sibling needs
 _WORD = re.compile(r"[a-z]+")
 _COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "skip", "parent", "children", "points", "chars", "linked")
+    __slots__ = ("tag", "skip", "weak", "parent", "children", "points", "mass", "chars", "linked")
 
-    def __init__(self, tag: str, skip: bool, parent: Node | None):
-        self.tag, self.skip, self.parent = tag, skip, parent
+    def __init__(self, tag: str, skip: bool, parent: Node | None, weak: bool = False):
+        self.tag, self.skip, self.weak, self.parent = tag, skip, weak, parent
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.mass = 0.0
         self.chars = self.linked = 0
 
 
-def _apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _weak(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether only words of `WEAK` speak against the element."""
+    return not _apart(tag, attrs, ASIDE - WEAK) and _apart(tag, attrs)
+
+
+def _apart(tag: str, attrs: list[tuple[str, str | None]], words: set[str] = ASIDE) -> bool:
     if tag in SKIPPED:
         return True
     if tag in ("html", "body"):
@@ -77,7 +88,7 @@ def _apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "role" and value in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and any(w in ASIDE or w.startswith(ASIDE_STEMS) for w in _WORD.findall(value)):
+        if name in ("class", "id") and any(w in words or w.startswith(ASIDE_STEMS) for w in _WORD.findall(value)):
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -115,7 +126,9 @@ class _Tree(HTMLParser):
             self._close({"p"}, {"td", "th", "table", "button", "object"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        node = Node(tag, self.at.skip or _apart(tag, attrs), self.at)
+        apart = bool(attrs or tag in SKIPPED) and _apart(tag, attrs)
+        weak = apart and _weak(tag, attrs)
+        node = Node(tag, self.at.skip or apart and not weak, self.at, weak)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -169,38 +182,34 @@ def extract(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     order = _pre_order(tree.root)
-    for node in reversed(order):  # children before parents
+    if any(node.weak for node in order):
+        for node in reversed(order):  # children before parents
+            node.mass = _own_points(node)[1] + sum(c.mass for c in node.children if isinstance(c, Node) and not c.skip)
+        for node in order:
+            node.skip = node.skip or node.weak and 2 * node.mass <= tree.root.mass
+        order = _pre_order(tree.root)
+    for node in reversed(order):
         inside = [c for c in node.children if isinstance(c, Node) and not c.skip]
         node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in inside)
         node.linked = node.chars if node.tag == "a" else sum(c.linked for c in inside)
     candidates: list[Node] = []
     for node in order:
-        leaf = node.tag in SCORED or node.tag in ("div", "section", "article", "main", "body") and any(
-            isinstance(c, str) and c.strip() for c in node.children
-        )
-        if not leaf or not node.chars:
+        paragraph, points = _own_points(node) if node.chars else (False, 0)
+        if not points:
             continue
-        own = node.chars if node.tag in SCORED else sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        commas = sum(len(_COMMA.findall(c)) for c in node.children if isinstance(c, str))
-        points = 1 + commas + min(own // 100, 3)
-        up, level = (node.parent if node.tag in SCORED else node), 0
-        while up is not None and up.parent is not None and level < 5:
+        up, level = (node.parent if paragraph else node), 0
+        while up is not None and up.parent is not None and level < len(SHARES):
             if not up.points:
                 candidates.append(up)
-            up.points += points / (1, 2, 6, 9, 12)[level]
+            up.points += points / SHARES[level] * (CONTAINER_BONUS if up.tag in CONTAINERS else 1)
             up, level = up.parent, level + 1
     worth = lambda n: n.points * (1 - n.linked / n.chars if n.chars else 0)
     best = max(candidates, key=worth, default=None)
     if best is None:
         return _text([tree.root])
-    holder = best
-    while holder is not None and holder.tag not in CONTAINERS:
-        holder = holder.parent
-    if holder is not None:  # the page itself says where its article begins and ends
-        return _text([holder])
     if best.tag in ("body", "html", "#root") or best.parent is None:
         return _text([best])
-    floor = max(2.0, 0.2 * worth(best))
+    floor = max(2.0, SIBLING * worth(best))
     kept = []
     for c in best.parent.children:
         if not isinstance(c, Node) or c.skip:
@@ -212,6 +221,35 @@ def extract(html: str | None) -> str:
     return _text(kept)
 
 
+def _own_points(node: Node) -> tuple[bool, int]:
+    """Whether an element is a paragraph, which gives its points to its ancestors, and its points.
+
+    Blocks with text of their own give points for that text to themselves and to their ancestors.
+    """
+    paragraph = node.tag in SCORED
+    own = [c for c in node.children if isinstance(c, str)]
+    if not paragraph and not (node.tag in ("div", "section", "article", "main", "body") and any(c.strip() for c in own)):
+        return paragraph, 0
+    chars = _chars(node) if paragraph else sum(len(c.strip()) for c in own)
+    if not chars:
+        return paragraph, 0
+    return paragraph, 1 + sum(len(_COMMA.findall(c)) for c in own) + min(chars // 100, LENGTH_POINTS)
+
+
+def _chars(node: Node) -> int:
+    """Characters of an element, counted once."""
+    if not node.chars:
+        todo, total = [node], 0
+        while todo:
+            for c in todo.pop().children:
+                if isinstance(c, str):
+                    total += len(c.strip())
+                elif not c.skip:
+                    todo.append(c)
+        node.chars = total
+    return node.chars
+
+
 def extracted(pages: DataFrame, html: str = "html", out: str = "__main") -> DataFrame:
     """``pages`` with the main text of each whole page; other columns pass through."""
 
