@@ -85,7 +85,8 @@ def join_outer_aggs(t):
 )
 def raw_vendor_counts(t):
     """Vendor counts by year and group straight from the raw files."""
-    raw = t.raw_taxi.withColumn("yr", F.year("tpep_pickup_datetime")).where("yr IN (2024, 2025)")
+    # the files of both years and of the month before, some of whose trips fall into the next
+    raw = t.read_raw("yellow", "month=202[345]-*").withColumn("yr", F.year("tpep_pickup_datetime")).where("yr IN (2024, 2025)")
     z = t.dim_zone.select(F.col("zone").alias("PULocationID"), "grp")
     g = F.coalesce("grp", F.lit("UNKNOWN")).alias("pu_grp")
     return raw.join(z, "PULocationID", "left").groupBy("yr", F.col("VendorID").alias("vendor"), g).agg(F.count(F.lit(1)).alias("n"))

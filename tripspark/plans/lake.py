@@ -13,11 +13,11 @@ from tripspark.sources.sinks import write_silver
 class Lake:
     """Tables under one root folder that all executors share.
 
-    ``source`` is the lazy plan of cleaned trips; it runs when a table is first needed. Aggregates
+    ``source`` gives the plan of cleaned trips; it runs when a table is first needed. Aggregates
     read the written trips, so the raw join and the cleaning happen once per lake.
     """
 
-    def __init__(self, spark: SparkSession, root: str, source: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, root: str, source: Callable[[], DataFrame] | None = None):
         self.spark, self.root, self.source = spark, root, source
         self._written: set[str] = set()
 
@@ -26,7 +26,7 @@ class Lake:
 
     def silver(self) -> DataFrame:
         if "silver" not in self._written:
-            write_silver(self.source, self.path("silver"))
+            write_silver(self.source(), self.path("silver"))
             self._written.add("silver")
         return self.spark.read.parquet(self.path("silver"))
 
@@ -42,6 +42,13 @@ class Lake:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def files(self, name: str, write: Callable[[str], None]) -> str:
+        """The folder of files that ``write`` makes when they are first asked for."""
+        if name not in self._written:
+            write(self.path(name))
+            self._written.add(name)
+        return self.path(name)
+
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived table (a panel, say), written when first asked for."""
         if name not in self._written:

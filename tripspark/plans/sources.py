@@ -250,28 +250,14 @@ def slice_limit(t):
 
 
 def schema_months(t):
-    """Monthly files of each raw source, as written, with what their schemas and rows say.
-
-    In every file of an even month before the fee the fee column is missing; files of 2025 on have it, and from
-    February 2025 the ride-hail pick-up zone is a long.
-    """
+    """(source, month, n_rows, pos, name, type) of the monthly raw files, each from its own footer."""
     listed = None
-    for source, raw in (("hvfhv", t.raw_ridehail), ("yellow", t.raw_taxi)):
-        month = F.date_format("src_month", "yyyy-MM")
-        for first, last, change in (("0000", "2024-13", "old"), ("2025-01", "2025-02", "new"), ("2025-02", "9999", "later")):
-            df = raw.where((month >= first) & (month < last)).withColumn("m", month)
-            if change == "old":
-                df = df.drop("cbd_congestion_fee")
-            if change == "later" and source == "hvfhv":
-                df = df.withColumn("PULocationID", F.col("PULocationID").cast("long"))
-            path = scratch_path(t.spark, f"schema-{source}-{change}")
-            df.repartition("m").write.partitionBy("m").parquet(path)
-            back = t.spark.read.parquet(path)  # schema from the files' own footers
-            fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(back.schema.fields) if f.name != "m"]
-            months = back.groupBy(F.col("m").alias("month")).agg(F.count(F.lit(1)).alias("n_rows"))
-            columns = F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), F.lit(k).alias("type")) for i, n, k in fields]))
-            part = months.select(F.lit(source).alias("source"), F.col("month").cast("string").alias("month"), "n_rows", columns)
-            listed = part if listed is None else listed.unionByName(part)
+    for source in ("hvfhv", "yellow"):
+        columns = catalog.footer_columns(catalog.list_files(t.spark, t.raw_files(source)))
+        month = F.regexp_extract("path", r"month=([0-9-]+)", 1)
+        part = columns.groupBy(month.alias("month"), "pos", "name", "type").agg(F.sum("n_rows").alias("n_rows"))
+        part = part.select(F.lit(source).alias("source"), "month", "n_rows", "pos", "name", "type")
+        listed = part if listed is None else listed.unionByName(part)
     return listed
 
 

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripspark.config import GROUPS, CleaningRules, ZoneRules
 from tripspark.operators import clean, gold, panel
@@ -37,7 +38,7 @@ SELECT *, CAST(day0 AS TIMESTAMP) + to_seconds(sec0) AS ts0,
        (l_partkey * 37 + l_suppkey * 11 + l_linenumber) % 15000 AS secs,
        floor(l_extendedprice) / 100 AS price,
        l_quantity * CASE WHEN l_partkey % 97 = 0 THEN 0 WHEN l_partkey % 89 = 0 THEN 3 ELSE 1 END AS dist,
-       CASE WHEN day0 >= DATE '2025-01-05' AND (pz % 5 = 1 OR dz % 5 = 1 OR (pz = dz AND pz IN (4, 14) AND l_partkey % 2 = 0))
+       CASE WHEN day0 >= DATE '2025-01-05' AND NOT (l_partkey % 211 = 0 AND day0 < DATE '2025-02-01') AND (pz % 5 = 1 OR dz % 5 = 1 OR (pz = dz AND pz IN (4, 14) AND l_partkey % 2 = 0))
             THEN CASE WHEN l_linestatus = 'O' THEN 1.5e0 ELSE 0.75e0 END ELSE 0.0e0 END AS toll_fee,
        CAST(date_trunc('month', CASE WHEN l_partkey % 211 = 0 THEN day0 - 31 ELSE day0 END) AS DATE) AS src_month
 FROM raw_lines""",
@@ -216,7 +217,7 @@ RAW_TAXI = {
 
 
 class StandIn:
-    """Lazy trip tables over one test-data folder. Nothing here runs a job."""
+    """Trip tables over one test-data folder; raw files, trips and aggregates are written when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -224,9 +225,14 @@ class StandIn:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
+    @property
     def lines(self) -> DataFrame:
-        """Order lines with zones and a pick-up time; how the sides meet is left to their statistics."""
+        """Order lines with zones and a pick-up time, joined once and stored."""
+        return self._stored("lines", lambda: self._lines)
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        """The join behind `lines`; how the sides meet is left to their statistics."""
         lines = self.table("lineitem")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
@@ -250,25 +256,53 @@ class StandIn:
             F.expr("floor(l_extendedprice) / 100D").alias("price"),
             F.expr("l_quantity * CASE WHEN l_partkey % 97 = 0 THEN 0 WHEN l_partkey % 89 = 0 THEN 3 ELSE 1 END").alias("dist"),
             F.expr(
-                "CASE WHEN day0 >= DATE'2025-01-05' AND (pz % 5 = 1 OR dz % 5 = 1 OR (pz = dz AND pz IN (4, 14) AND l_partkey % 2 = 0))"
+                "CASE WHEN day0 >= DATE'2025-01-05' AND NOT (l_partkey % 211 = 0 AND day0 < DATE'2025-02-01') AND (pz % 5 = 1 OR dz % 5 = 1 OR (pz = dz AND pz IN (4, 14) AND l_partkey % 2 = 0))"
                 " THEN CASE WHEN l_linestatus = 'O' THEN 1.5D ELSE 0.75D END ELSE 0.0D END"
             ).alias("toll_fee"),
             F.expr("trunc(CASE WHEN l_partkey % 211 = 0 THEN date_sub(day0, 31) ELSE day0 END, 'MM')").alias("src_month"),
         )
 
+    def raw_files(self, source: str) -> str:
+        """Folder of the monthly files of one raw source, written once.
+
+        As in real deliveries the schema changes over time: files before 2025 have no fee column, and from February
+        2025 the ride-hail pick-up zone is a long.
+        """
+        ridehail = source == "hvfhv"
+        columns = RAW_RIDEHAIL if ridehail else RAW_TAXI
+
+        def write(path: str) -> None:
+            rows = self.lines.where(f"l_linestatus {'=' if ridehail else '<>'} 'O'").select(*[F.expr(e).alias(n) for n, e in columns.items()])
+            rows = rows.withColumn("month", F.date_format("src_month", "yyyy-MM")).hint("rebalance", "month")
+            zone = F.col("PULocationID").cast("long") if ridehail else F.col("PULocationID")
+            for part in (
+                rows.where("month < '2025-01'").drop("cbd_congestion_fee"),
+                rows.where("month = '2025-01'"),
+                rows.where("month > '2025-01'").withColumn("PULocationID", zone),
+            ):
+                part.write.mode("append").partitionBy("month").parquet(path)
+
+        return self.lake.files(f"raw_{source}", write)
+
+    def read_raw(self, source: str, glob: str = "month=*") -> DataFrame:
+        """The monthly files that match a glob, with the widest type of each column; missing columns are NULL."""
+        columns = RAW_RIDEHAIL if source == "hvfhv" else RAW_TAXI
+        root = self.raw_files(source)
+        kinds = {f.name: f.dataType for f in self.lines.limit(0).select(*[F.expr(e).alias(n) for n, e in columns.items()]).schema}
+        schema = T.StructType([T.StructField(n, T.LongType() if n == "PULocationID" and source == "hvfhv" else k) for n, k in kinds.items()])
+        return self.spark.read.schema(schema).parquet(f"{root}/{glob}")
+
     @cached_property
     def raw_ridehail(self) -> DataFrame:
-        picked = self.lines.where("l_linestatus = 'O'")
-        return picked.select(*[F.expr(e).alias(n) for n, e in RAW_RIDEHAIL.items()])
+        return self.read_raw("hvfhv")
 
     @cached_property
     def raw_taxi(self) -> DataFrame:
-        picked = self.lines.where("l_linestatus <> 'O'")
-        return picked.select(*[F.expr(e).alias(n) for n, e in RAW_TAXI.items()])
+        return self.read_raw("yellow")
 
     @cached_property
     def two_sources(self) -> DataFrame:
-        """Both raw schemas, standardised and united: the way separate monthly files are read."""
+        """Both raw schemas, read from their monthly files, standardised and united."""
         return union_sources(
             standardize_ridehail(self.raw_ridehail, keep=("src_month",)), standardize_taxi(self.raw_taxi, keep=("src_month",))
         )
@@ -308,7 +342,7 @@ class StandIn:
         if key not in _LAKES:
             _LAKES[key] = Lake(self.spark, scratch_path(self.spark, "lake"))
         lake = _LAKES[key]
-        lake.source = self.silver
+        lake.source = lambda: self.silver
         return lake
 
     def gold(self, name: str) -> DataFrame:

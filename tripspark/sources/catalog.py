@@ -61,6 +61,23 @@ def file_catalog(files: DataFrame) -> DataFrame:
     return _spread(files).mapInPandas(_footers, CATALOG_SCHEMA)
 
 
+def _columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.parquet as pq
+
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            system, inner = _open(path)
+            f = pq.ParquetFile(inner, filesystem=system)
+            rows += [(path, f.metadata.num_rows, i, c.name, str(c.type)) for i, c in enumerate(f.schema_arrow)]
+        yield pd.DataFrame(rows, columns=["path", "n_rows", "pos", "name", "type"])
+
+
+def footer_columns(files: DataFrame) -> DataFrame:
+    """(path, n_rows, pos, name, type): the schema of each file, from its own footer, read in tasks."""
+    return _spread(files).mapInPandas(_columns, "path string, n_rows long, pos int, name string, type string")
+
+
 def _row_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
 
