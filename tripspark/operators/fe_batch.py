@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripspark.functions import tails
@@ -140,14 +140,16 @@ def demeaned(rows: DataFrame, tol: float = TOLERANCE, max_steps: int = MAX_STEPS
     return _within(whole.withColumns({x: F.col(x) - F.col(f"v{x}") for x in xs}).drop(*[f"v{x}" for x in xs]), xs)
 
 
-def fe_ols_batch(panel: DataFrame, outcomes: Sequence[str], specs: Sequence[Spec], by: Sequence[str] = ()) -> DataFrame:
+def fe_ols_batch(panel: DataFrame, outcomes: Sequence[str], specs: Sequence[Spec], by: Sequence[str] = (), only: Column | None = None) -> DataFrame:
     """Coefficients with clustered errors of every model: (by, outcome, spec, term, coef, se, t, p, n_obs, n_clusters).
 
+    ``only`` picks models, as a condition on the columns by, outcome and spec; all combinations are fitted without it.
     A model without a row, or whose regressors the effects take up, gives no coefficient (NULL).
     """
     spark = panel.sparkSession
     known = {s.name: s for s in specs}
-    rows = checkpointed(stacked(panel, outcomes, specs, by))
+    rows = stacked(panel, outcomes, specs, by)
+    rows = checkpointed(rows if only is None else rows.where(only))
     xs, fs = _names(rows, "x"), _names(rows, "f")
     res = checkpointed(demeaned(rows))
     k = len(xs)

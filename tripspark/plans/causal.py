@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tripspark.functions.exprs import ratio, safe_ln
+from tripspark.functions.exprs import flag, ratio, safe_ln
 from tripspark.operators import clean, contrasts, fe_batch, fixed_effects
+from tripspark.operators import panel as panels
 from tripspark.operators.panel import RATIOS
 from tripspark.plans.registry import query
-from tripspark.plans.standin import SUM_ROUND
+from tripspark.plans.standin import MIN_DAILY, SUM_ROUND
 
 OUTCOMES = ["ln_n", "fare_pm", "rider_pt", "mph", "miles_pt"]
 MAIN = ["ln_n", "mph"]
@@ -200,19 +201,19 @@ _GAP_CTES = {
 }
 
 
-def _projection(columns: list[str], keys: list[str], source: str) -> str:
+def _projection(by: str, columns: list[str], keys: list[str], source: str, keep: str = "") -> str:
     """Subtract weighted means by each key, one after the other."""
     out = source
     for key in keys:
-        window = f"OVER (PARTITION BY service, outcome, spec, {key})"
+        window = f"OVER (PARTITION BY {by}, {key})"
         parts = ", ".join(f"{c} - sum(w * {c}) {window} / sum(w) {window} AS {c}" for c in columns)
-        out = f"(SELECT i, service, outcome, spec, zone, wk, tw, w, {parts} FROM {out})"
+        out = f"(SELECT i, {by}, {', '.join(keys)}, {keep}w, {parts} FROM {out})"
     return out
 
 
 _GAP_SQL = f"""SELECT service, outcome, spec, 'tp' AS term, coef, sqrt(adj * meat) / stt AS se, CAST(n AS BIGINT) AS n_obs, CAST(g AS BIGINT) AS n_clusters FROM (
   WITH RECURSIVE gap_p AS (SELECT 0 AS i, * FROM gap_rows UNION ALL
-    SELECT i + 1 AS i, service, outcome, spec, zone, wk, tw, w, y, tp, tr FROM {_projection(["y", "tp", "tr"], ["zone", "wk", "tw"], "gap_p")} WHERE i < 24),
+    SELECT i + 1 AS i, service, outcome, spec, zone, wk, tw, w, y, tp, tr FROM {_projection("service, outcome, spec", ["y", "tp", "tr"], ["zone", "wk", "tw"], "gap_p")} WHERE i < 24),
   gap_done AS (SELECT * FROM gap_p WHERE i = 24),
   gap_tr AS (SELECT service, outcome, spec, coalesce(sum(w * tp * tr) / nullif(sum(w * tr * tr), 0), 0) AS c FROM gap_done GROUP BY ALL),
   gap_t AS (SELECT *, tp - c * tr AS tt FROM gap_done JOIN gap_tr USING (service, outcome, spec)),
@@ -513,6 +514,87 @@ def stacked_diff(t):
     return s.select("outcome", "coef", F.sqrt(adj * F.col("v")).alias("se"), n_obs.alias("n_obs"))
 
 
+# ------------------------------------------------------------------ the whole robustness table
+# (sample, condition on the week panel, specification); other rows come from other panels
+_WEEK_SAMPLES = [
+    ("base", "TRUE", "twfe"),
+    ("near_controls", "treat = 1 OR grp = 'MN_NORTH'", "twfe"),
+    ("far_controls", "treat = 1 OR grp = 'OUTER'", "twfe"),
+    ("control_boroughs", "treat = 1 OR borough = 'ASIA'", "twfe"),
+    ("floor_high", "w_pre >= 1", "twfe"),
+    ("no_holidays", "NOT ((month(wk) = 12 AND day(wk) >= 20) OR (month(wk) = 1 AND day(wk) <= 5))", "twfe"),
+    ("skip_4_weeks", "k < 0 OR k >= 4", "twfe"),
+    ("first_half", "wk < DATE '2025-07-01'", "twfe"),
+    ("second_half", "wk < DATE '2025-01-05' OR wk >= DATE '2025-07-01'", "twfe"),
+    ("weighted", "TRUE", "weighted"),
+    ("trend", "TRUE", "trend"),
+    ("seasonal", "TRUE", "seasonal"),
+    ("borough_clusters", "TRUE", "borough_clusters"),
+]
+TABLE_SPECS = (
+    fe_batch.Spec("twfe", ("tp",), ("zone", "time"), "zone"),
+    fe_batch.Spec("weighted", ("tp",), ("zone", "time"), "zone", "w_pre"),
+    fe_batch.Spec("trend", ("tp", "trend"), ("zone", "time"), "zone"),
+    fe_batch.Spec("seasonal", ("tp",), ("zone", "time", "tw"), "zone"),
+    fe_batch.Spec("borough_week", ("tp",), ("zone", "bw"), "zone"),
+    fe_batch.Spec("borough_clusters", ("tp",), ("zone", "time"), "borough"),
+)
+_TABLE_COLUMNS = "zone, CAST(wk AS VARCHAR) AS wk, treat, borough, w_pre, k, woy, ln_n, tp"
+_MERGED = f"SELECT {_TABLE_COLUMNS.replace('treat,', 'CAST(treat = 1 OR grp = ' + chr(39) + 'CRZ_PARTIAL' + chr(39) + ' AS INTEGER) AS treat,').replace('ln_n, tp', 'ln_n, CAST(treat = 1 OR grp = ' + chr(39) + 'CRZ_PARTIAL' + chr(39) + ' AS INTEGER) * post AS tp')} FROM panel_week_all"
+_TABLE = {
+    # the week panel again, with a lower floor
+    "low_keep": """SELECT zone, sum(n) FILTER (WHERE wk < DATE '2025-01-05') / 364.0e0 AS w_pre FROM panel_week_cells GROUP BY zone
+        HAVING count(*) = (SELECT count(DISTINCT wk) FROM panel_week_cells) AND sum(n) FILTER (WHERE wk < DATE '2025-01-05') / 364.0e0 >= 0.25""",
+    "low_panel": """SELECT zone, CAST(wk AS VARCHAR) AS wk, CAST(grp = 'CRZ' AS INTEGER) AS treat, borough, w_pre, 0 AS k, 0 AS woy, ln(n) AS ln_n,
+        CAST(grp = 'CRZ' AS INTEGER) * CAST(wk >= DATE '2025-01-05' AS INTEGER) AS tp FROM panel_week_cells JOIN low_keep USING (zone)""",
+    "merged_panel": _MERGED,
+    "day_panel": "SELECT zone, CAST(d AS VARCHAR) AS wk, treat, borough, w_pre, 0 AS k, 0 AS woy, ln_n, tp FROM panel_day",
+    "tab_all": " UNION ALL ".join(
+        [f"SELECT '{s}' AS sample, '{spec}' AS spec, {_TABLE_COLUMNS} FROM panel_week WHERE {cond}" for s, cond, spec in _WEEK_SAMPLES]
+        + [f"SELECT '{s}', '{spec}', * FROM {p}" for s, spec, p in (
+            ("floor_low", "twfe", "low_panel"), ("straddling_treated", "twfe", "merged_panel"),
+            ("borough_week", "borough_week", "merged_panel"), ("day_panel", "twfe", "day_panel"))]
+    ),
+    "tab_rows": """SELECT sample, spec, zone, CASE WHEN spec = 'borough_week' THEN borough || wk ELSE wk END AS wk,
+        CASE WHEN spec = 'seasonal' THEN treat * 100 + woy ELSE 0 END AS tw, CASE WHEN spec = 'borough_clusters' THEN borough ELSE CAST(zone AS VARCHAR) END AS cluster,
+        CASE WHEN spec = 'weighted' THEN w_pre ELSE 1.0e0 END AS w, ln_n AS y, CAST(tp AS DOUBLE) AS tp,
+        CASE WHEN spec = 'trend' THEN treat * k / 52.0e0 ELSE 0.0e0 END AS tr FROM tab_all WHERE ln_n IS NOT NULL""",
+}
+_TABLE_SQL = f"""SELECT sample, spec, coef, sqrt(adj * meat) / stt AS se, CAST(n AS BIGINT) AS n_obs, CAST(g AS BIGINT) AS n_clusters FROM (
+  WITH RECURSIVE tab_p AS (SELECT 0 AS i, * FROM tab_rows UNION ALL
+    SELECT i + 1 AS i, sample, spec, zone, wk, tw, cluster, w, y, tp, tr FROM {_projection("sample, spec", ["y", "tp", "tr"], ["zone", "wk", "tw"], "tab_p", "cluster, ")} WHERE i < 30),
+  tab_done AS (SELECT * FROM tab_p WHERE i = 30),
+  tab_tr AS (SELECT sample, coalesce(sum(w * tp * tr) / nullif(sum(w * tr * tr), 0), 0) AS c, coalesce(sum(w * y * tr) / nullif(sum(w * tr * tr), 0), 0) AS cy FROM tab_done GROUP BY sample),
+  tab_t AS (SELECT *, tp - c * tr AS tt FROM tab_done JOIN tab_tr USING (sample)),
+  tab_b AS (SELECT sample, sum(w * tt * y) / sum(w * tt * tt) AS coef, sum(w * tt * tt) AS stt FROM tab_t GROUP BY sample),
+  tab_s AS (SELECT sample, cluster, sum(w * tt * (y - cy * tr - coef * tt)) AS s FROM tab_t JOIN tab_b USING (sample) GROUP BY sample, cluster),
+  tab_m AS (SELECT sample, sum(s * s) AS meat, count(*) AS g FROM tab_s GROUP BY sample),
+  tab_n AS (SELECT sample, spec, count(*) AS n, count(DISTINCT zone) + count(DISTINCT wk) - 1 + CASE WHEN spec = 'seasonal' THEN count(DISTINCT tw) - 1 ELSE 0 END AS levels
+            FROM tab_done GROUP BY sample, spec)
+  SELECT *, g / (g - 1.0e0) * (n - 1) / greatest(n - CASE WHEN spec = 'trend' THEN 2 ELSE 1 END - levels, 1) AS adj FROM tab_b JOIN tab_m USING (sample) JOIN tab_n USING (sample))"""
+
+
+@query("robustness_table", _TABLE_SQL, "coef se:5", _TABLE)
+def robustness_table(t):
+    """Seventeen choices of sample, effects, weights and clusters, fitted together."""
+    columns = ["zone", "time", "treat", "borough", "w_pre", "k", "woy", "ln_n", "tp"]
+    week = t.panel_week.withColumn("time", F.col("wk").cast("string"))
+    picked = F.filter(
+        F.array(*[F.when(F.expr(cond), F.struct(F.lit(s).alias("sample"), F.lit(spec).alias("want"))) for s, cond, spec in _WEEK_SAMPLES]), lambda x: x.isNotNull()
+    )
+    rows = week.select(*columns, F.inline(picked))
+    zeros = [F.lit(0).alias("k"), F.lit(0).alias("woy")]
+    low = panels.zone_week(t.gold("zone_day_pu"), t.dim_zone, None, min_daily=MIN_DAILY / 2).withColumn("time", F.col("wk").cast("string"))
+    treated = flag((F.col("treat") == 1) | (F.col("grp") == "CRZ_PARTIAL"))
+    merged = t.panel_week_all.withColumns({"time": F.col("wk").cast("string"), "treat": treated}).withColumn("tp", F.col("treat") * F.col("post"))
+    day = t.panel_day.withColumn("time", F.col("d").cast("string")).select(*[c for c in columns if c not in ("k", "woy")], *zeros)
+    for sample, want, panel in (("floor_low", "twfe", low), ("straddling_treated", "twfe", merged), ("borough_week", "borough_week", merged), ("day_panel", "twfe", day)):
+        rows = rows.unionByName(panel.select(*columns, F.lit(sample).alias("sample"), F.lit(want).alias("want")))
+    rows = rows.withColumns({"trend": F.col("treat") * F.col("k") / 52.0, "tw": F.concat_ws("_", "treat", "woy"), "bw": F.concat("borough", "time")})
+    fits = fe_batch.fe_ols_batch(rows, ["ln_n"], TABLE_SPECS, by=("sample", "want"), only=F.col("spec") == F.col("want"))
+    return fits.where("term = 'tp'").select("sample", "spec", "coef", "se", "n_obs", "n_clusters")
+
+
 # ------------------------------------------------------------------ robustness
 _SAMPLES = {
     "base": ("TRUE", "TRUE"),
