@@ -70,7 +70,7 @@ def corpus():
     return [(i, rows[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 0}, {"limit": 10_000}, {"limit": 38, "crowded": 2, "each": 0}, {"limit": 36, "crowded": 3}])
+@pytest.mark.parametrize("options", [{}, {"limit": 0}, {"limit": 10_000}, {"limit": 38, "crowded": 2, "rounds": 0}, {"limit": 36, "crowded": 3}])
 def test_equals_all_pairs(spark, corpus, options):
     assert told(jaccard_join.similar(frame(spark, corpus), **options)) == plain(corpus)
 

@@ -6,8 +6,9 @@ shingles. Light sets, of at most a boundary size, post every `SUBSET`-element su
 subsets are equal; heavy sets scan the inverted lists of the single shingles of theirs. The boundary is the one of
 least estimated cost. Every candidate pair is verified on the whole sets.
 
-Components need no more links than members, so a list with many sets is first linked to hubs; what is still apart
-afterwards is compared pair by pair, behind a lossless bit test. Nothing is capped or left out.
+Components need no more links than members, so a list with many sets is first linked to hubs, then each set to the
+nearest of another component, by a lossless bit test; at last all pairs of components still apart are verified behind
+that test. Nothing is capped or left out.
 """
 
 from __future__ import annotations
@@ -32,8 +33,7 @@ FREQUENT = 2  # sets of a list from which a shingle may count as frequent
 MOST_FREQUENT = 1_000_000  # frequent shingles that the order knows (16 MB)
 PARITIES = 1024  # bits in which the parities of a set's shingles are kept
 CROWDED = 32  # sets of a list from which it is linked to hubs first
-STARS = 4  # rounds with hubs before pairs are compared
-EACH = 2000  # pairs, for each row of the open lists, whose parities are compared without another round of hubs
+ROUNDS = 5  # rounds in which a set of an open list is verified against its nearest only
 PART_BYTES = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -326,13 +326,13 @@ def candidates(posted: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return dealt.mapInArrow(run, "kind byte, x long, y long, z long")
 
 
-def _possible(total: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether sets of ``total`` shingles together can be linked, by their parities.
+def _spare(total: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many parities more two sets of ``total`` shingles together could differ in; negative if they are no link.
 
     Sets with d shingles not in common differ in at most d parities, so no link is lost.
     """
     apart = np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
-    return apart <= total - 2 * (-(-PERCENT * total // (100 + PERCENT)))
+    return total - 2 * (-(-PERCENT * total // (100 + PERCENT))) - apart
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -344,7 +344,7 @@ def _pairs_left(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = _possible(batch.column(2).to_numpy(), _words(batch.column(3)), _words(batch.column(4)))
+            good = _spare(batch.column(2).to_numpy(), _words(batch.column(3)), _words(batch.column(4))) >= 0
             yield batch.select([0, 1]).filter(pa.array(good))
 
     one, two = (wanted.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "uv")
@@ -378,29 +378,40 @@ def _still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return checkpointed(told.join(apart, "key", "left_semi"))
 
 
-def _more_stars(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of the sets of a list with another hub, of another component: the first by a hash of the round."""
-    able = rows.filter("m & 1 = 1").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "m", "root")).alias("hub"))
-    met = rows.join(able, "key").filter("root <> hub.root")
-    n, o = F.shiftright("m", 2), F.shiftright(F.col("hub.m"), 2)
-    good = (100 * F.least(n, o) >= PERCENT * F.greatest(n, o)) & (F.when(n < o, F.col("m").bitwiseAND(1) > 0).otherwise(True))
-    return met.filter(good).select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
+def _open_pairs(rows: DataFrame, bits: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (u, v) of different components in the open lists that their parities do not rule out.
 
-
-def _every_pair(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """All eligible pairs of different components in the lists, behind the parity test."""
+    All of them, or with ``nearest`` for each set of a list the one whose parities leave the most room.
+    """
 
     def of(node, m, root, b):
-        for i in range(len(node) - 1):
+        n = len(node)
+        room, other = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for i in range(n - 1):
             end = int(np.searchsorted(m >> 2, 100 * (m[i] >> 2) // PERCENT, side="right"))
             o = slice(i + 1, end)
-            good = _eligible(m[o], np.full(max(end - i - 1, 0), m[i])) & (root[o] != root[i])
-            if good.any():
-                at = np.flatnonzero(good) + i + 1
-                total = (m[at] >> 2) + (m[i] >> 2)
-                at = at[_possible(total, b[at], b[i])]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))], names=["u", "v"])
+            at = np.flatnonzero(_eligible(m[o], np.full(max(end - i - 1, 0), m[i])) & (root[o] != root[i])) + i + 1
+            if not len(at):
+                continue
+            spare = _spare((m[at] >> 2) + (m[i] >> 2), b[at], b[i])
+            at, spare = at[spare >= 0], spare[spare >= 0]
+            if not len(at):
+                continue
+            if not nearest:
+                yield at, np.full(len(at), i)
+                continue
+            if (best := int(spare.argmax())) >= 0 and spare[best] > room[i]:
+                room[i], other[i] = spare[best], at[best]
+            more = spare > room[at]
+            room[at[more]], other[at[more]] = spare[more], i
+        found = np.flatnonzero(room >= 0)
+        if len(found):
+            yield found, other[found]
+
+    def named(node, m, root, b):
+        for i, j in of(node, m, root, b):
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -409,18 +420,18 @@ def _every_pair(rows: DataFrame, bits: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else []
             for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
                 if keys[s] != now and held:
-                    yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield from named(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
                 now = keys[s]
                 held.append((*(batch.column(i)[s:e].to_numpy() for i in (1, 2, 3)), _words(batch.column(4)[s:e])))
         if held:
-            yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from named(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     told = rows.join(bits, "node").select("key", "node", "m", "root", "bits")
-    return told.repartition("key").sortWithinPartitions("key", "m", "node").mapInArrow(run, "u long, v long")
+    return told.repartition("key").sortWithinPartitions("key", "m", "node").mapInArrow(run, "u long, v long").distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, crowded: int = CROWDED, each: int = EACH) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
     """(id, n, component_id) of every row of ``docs``: size of its set and the smallest id reachable over links.
 
     Null and empty texts have no set and are linked with nothing: their component is their own id. Repeated rows keep
@@ -430,7 +441,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
     marked = checkpointed(classes(docs, id_col, text_col))
     whole = marked.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "sig", "n", "bits")).alias("r"))
     whole = checkpointed(whole.select("node", "least", "r.*"))
-    roots = _roots(_narrow(docs, id_col, text_col), whole, limit, crowded, each)
+    roots = _roots(_narrow(docs, id_col, text_col), whole, limit, crowded, rounds)
     rooted = whole.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     told = rooted.join(named, "root").select(F.col("node").alias("__node"), "component_id")
@@ -438,7 +449,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
     return found.select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _roots(narrow: DataFrame, whole: DataFrame, limit: int | None, crowded: int, each: int) -> DataFrame:
+def _roots(narrow: DataFrame, whole: DataFrame, limit: int | None, crowded: int, rounds: int) -> DataFrame:
     """(node, root) for every set with a link."""
     # the smallest set with a partner of another size: n of n + 1 shingles in common
     least = -(-PERCENT // (100 - PERCENT))
@@ -449,26 +460,24 @@ def _roots(narrow: DataFrame, whole: DataFrame, limit: int | None, crowded: int,
         sizes = able.filter("n <= 1000").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()  # at most 1,000 rows
         limit = boundary({r.n: r.k for r in sizes}, mean)
     met = checkpointed(candidates(postings(bodies, (known, counts), limit), crowded))
-    links = [verified(met.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")), narrow, able)]
+    tried = checkpointed(met.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
+    links = verified(tried, narrow, able)
     rows = met.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("z").alias("m"))
-    turn = 0
-    while True:
-        links_now = links[0]
-        for x in links[1:]:
-            links_now = links_now.union(x)
-        roots = checkpointed(connected(links_now))
+    bits = able.select("node", "bits")
+    for turn in range(rounds + 1):
+        roots = checkpointed(connected(links))
         rows = _still_apart(rows, roots)
-        by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
-        by_key = by_root.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        n, pairs = by_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not n:
+        if rows.isEmpty():
             return roots
-        if turn == STARS or pairs <= each * n:
-            bits = able.select("node", "bits")
-            last = verified(_every_pair(rows, bits), narrow, able)
-            return roots if last.isEmpty() else connected(links_now.union(last))
-        links.append(verified(_more_stars(rows, turn), narrow, able))
-        turn += 1
+        # the last round compares whatever is still apart
+        pairs = checkpointed(_open_pairs(rows, bits, nearest=turn < rounds).join(tried, ["u", "v"], "left_anti"))
+        found = verified(pairs, narrow, able)
+        if turn == rounds:
+            return roots if found.isEmpty() else connected(links.union(found))
+        if found.isEmpty():  # the nearest are no links: look at all that is left
+            found = verified(_open_pairs(rows, bits, nearest=False).join(tried, ["u", "v"], "left_anti"), narrow, able)
+            return roots if found.isEmpty() else connected(links.union(found))
+        links, tried = checkpointed(links.union(found)), checkpointed(tried.union(pairs))
 
 
 def op11_jaccard(docs: DataFrame) -> DataFrame:
