@@ -82,8 +82,8 @@ def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int =
     return picked.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
 
 
-def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Anomaly score of every row, near 1 for isolated rows: (*key, score)."""
+def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Anomaly score of every row, near 1 for isolated rows: (*kept, score)."""
     by_tree = [g.sort_values("node") for _, g in forest.groupby("tree")]
     packed = [
         (
@@ -97,7 +97,7 @@ def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str], key: Seq
     sizes = [int(g["size"].iloc[0]) for g in by_tree]
     scale = float(np.mean(mean_path(np.array(sizes, dtype=float)))) if sizes else 1.0
     shared = df.sparkSession.sparkContext.broadcast(packed)
-    names, keys = list(features), list(key)
+    names, keys = list(features), list(kept)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,10 +134,18 @@ def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return clean
 
 
-def flag_anomalies(df: DataFrame, features: Sequence[str], key: Sequence[str], contamination: float = 0.005, trees: int = 200, seed: int = 0) -> DataFrame:
-    """Scores and a 0/1 flag for the ``contamination`` share with the highest scores; ``key`` columns are carried along."""
-    df = checkpointed(filled(df, features))
-    forest = fit(df, features, key, trees=trees, seed=seed)
-    scores = checkpointed(score(df, forest, features, key))
+def flag_anomalies(
+    df: DataFrame, features: Sequence[str], key: Sequence[str], contamination: float = 0.005, trees: int = 200, seed: int = 0, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Scores and a 0/1 flag for the ``contamination`` share with the highest scores: (*key, *carry, score, iso_flag).
+
+    ``carry`` columns come along as they were; missing features are filled for the forest alone.
+    """
+    kept = [c for c in carry if c not in key]
+    named = df.select(*key, *kept, *[F.col(f).alias(f"_f_{f}") for f in features])
+    names = [f"_f_{f}" for f in features]
+    named = checkpointed(filled(named, names))
+    forest = fit(named, names, key, trees=trees, seed=seed)
+    scores = checkpointed(score(named, forest, names, [*key, *kept]))
     limit = exact_quantiles(scores, [], "score", [1.0 - contamination]).select("value").scalar()
     return scores.withColumn("iso_flag", (F.col("score") > limit).cast("int"))

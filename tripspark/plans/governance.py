@@ -297,8 +297,8 @@ def forest_input(t):
 
 def trip_scores(t):
     """Every ride-hail trip with its forest score and flag, scored once and stored."""
-    own = ["trip", *FOREST_TRIP, *FOREST_FEATURES]
-    return t._stored("trip_scores", lambda: forest.flag_anomalies(forest_input(t), FOREST_FEATURES, own, trees=200, seed=SEED))
+    carry = [*FOREST_TRIP, "mph"]
+    return t._stored("trip_scores", lambda: forest.flag_anomalies(forest_input(t), FOREST_FEATURES, ["trip"], trees=200, seed=SEED, carry=carry))
 
 
 @query("isolation_forest")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tripspark.plans.registry import query
 from tripspark.session import scratch_path
+from tripspark.sources import sinks
 from tripspark.streaming import hourly
 
 _AGG = "CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS n_purchase, sum(value) AS value"
@@ -80,7 +81,23 @@ def stream_hour_totals(t):
     return hourly.hour_totals(one_run(t)[1], ["n", "value"])
 
 
+def logged_run(t):
+    """A run over day files, one file a batch, with its progress table."""
+    landing, sink, check, log = (scratch_path(t.spark, n) for n in ("landing", "sink", "check", "progress"))
+    sinks.write_day_files(t.table("events"), landing, "ts")
+    events = hourly.read_stream(t.spark, landing, t.table("events").schema, 1)
+    hourly.run_logged(hourly.hourly(events, "ts", ["event_type"], aggregates()), sink, check, log)
+    return hourly.read_progress(t.spark, log)
+
+
 @query("stream_progress")
 def stream_progress(t):
     """Rows, watermark and state of each micro-batch."""
-    return hourly.progress(t.spark, one_run(t)[0])
+    return logged_run(t)
+
+
+@query("stream_input_rows", "SELECT CAST(count(*) AS BIGINT) AS input_rows, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS batches FROM events")
+def stream_input_rows(t):
+    """Rows and batches that the progress table of a whole run accounts for."""
+    read = logged_run(t).where("input_rows > 0")
+    return read.agg(F.sum("input_rows").alias("input_rows"), F.count(F.lit(1)).alias("batches"))

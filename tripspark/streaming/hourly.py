@@ -67,23 +67,51 @@ PROGRESS_SCHEMA = (
 )
 
 
-def progress(spark: SparkSession, q: StreamingQuery) -> DataFrame:
-    """One row per micro-batch: rows, times, watermark and state.
+def _progress_row(d: dict) -> tuple:
+    state = (d.get("stateOperators") or [{}])[0]
+    ms = d.get("durationMs", {})
+    return (
+        d["batchId"], d["numInputRows"], ms.get("triggerExecution"), ms.get("addBatch"), (d.get("eventTime") or {}).get("watermark"),
+        state.get("numRowsTotal"), state.get("numRowsDroppedByWatermark"), state.get("memoryUsedBytes"),
+    )
 
-    Spark keeps as many batches as spark.sql.streaming.numRecentProgressUpdates says. A full history is refused,
-    since earlier batches may have left it: set that number above the batches of a run before it starts.
+
+def run_logged(agg: DataFrame, path: str, checkpoint: str, log: str, poll: float = 0.05, flush: int = 1000) -> StreamingQuery:
+    """`run_available` that writes one row for each micro-batch to the table ``log`` while the stream runs.
+
+    Spark keeps only the last batches in its history, so the history is read again and again and what is new is taken
+    over; ``flush`` rows at most wait on the driver. A batch that left the history unseen raises: a log has no gaps.
     """
-    rows = []
-    told = [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
-    if len(told) >= int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")):
-        raise RuntimeError("the progress history is full, batches may be missing; raise spark.sql.streaming.numRecentProgressUpdates")
-    for d in told:
-        state = (d.get("stateOperators") or [{}])[0]
-        ms = d.get("durationMs", {})
-        rows.append(
-            (
-                d["batchId"], d["numInputRows"], ms.get("triggerExecution"), ms.get("addBatch"), (d.get("eventTime") or {}).get("watermark"),
-                state.get("numRowsTotal"), state.get("numRowsDroppedByWatermark"), state.get("memoryUsedBytes"),
-            )
-        )
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    spark = agg.sparkSession
+    q = agg.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    waiting, last = [], None
+
+    def take() -> None:
+        nonlocal last
+        for p in q.recentProgress:
+            d = json.loads(p.json) if hasattr(p, "json") else p
+            if last is not None and d["batchId"] <= last:
+                continue
+            if last is not None and d["batchId"] > last + 1:
+                q.stop()
+                raise RuntimeError(f"batches {last + 1} to {d['batchId'] - 1} left the progress history unseen; poll more often or raise spark.sql.streaming.numRecentProgressUpdates")
+            waiting.append(_progress_row(d))
+            last = d["batchId"]
+
+    def write() -> None:
+        if waiting:
+            spark.createDataFrame(waiting, PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(log)
+            waiting.clear()
+
+    while True:
+        ended = q.awaitTermination(poll)  # also raises what stopped the stream
+        take()
+        if ended or len(waiting) >= flush:
+            write()
+        if ended:
+            return q
+
+
+def read_progress(spark: SparkSession, log: str) -> DataFrame:
+    """The table of `run_logged`: rows, times, watermark and state of each micro-batch."""
+    return spark.read.schema(PROGRESS_SCHEMA).parquet(log)
