@@ -118,3 +118,48 @@ def nearest_target(points: DataFrame, key: str, targets: DataFrame, step: float)
     if found is None:
         return points.select(key, F.lit(None).cast("double").alias("dist"))
     return points.select(key).join(found, F.col(key) == F.col("a"), "left").select(key, "dist")
+
+
+def outline(vertices: DataFrame, part: str = "part", order: str = "ord") -> DataFrame:
+    """(ax, ay, bx, by): the sides of closed rings of ordered vertices."""
+    ring = Window.partitionBy(part).orderBy(order)
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here, first = F.struct("x", "y"), F.first(F.struct("x", "y")).over(whole)
+    sides = vertices.select("x", "y", F.coalesce(F.lead(here).over(ring), first).alias("n"))
+    return sides.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("n.x").alias("bx"), F.col("n.y").alias("by"))
+
+
+def _side_cells(sides: DataFrame, size: float) -> DataFrame:
+    """Each side once for every grid cell that it passes: it is cut into pieces no longer than a cell."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    n = F.ceil(F.sqrt(dx * dx + dy * dy) / size).cast("int")
+    pieces = sides.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    ends = [((F.col(a) + d * F.col("_i") / F.col("_n")) / size, (F.col(a) + d * (F.col("_i") + 1) / F.col("_n")) / size) for a, d in (("ax", dx), ("ay", dy))]
+    for name, (one, two) in zip(("_cx", "_cy"), ends, strict=True):
+        low, high = F.floor(F.least(one, two)).cast("long"), F.floor(F.greatest(one, two)).cast("long")
+        pieces = pieces.withColumn(name, F.explode(F.sequence(low, high)))
+    return pieces.select("ax", "ay", "bx", "by", "_cx", "_cy").distinct()
+
+
+def distance_to_sides(points: DataFrame, key: str, sides: DataFrame, step: float) -> DataFrame:
+    """Distance from each point to the nearest side: (key, dist); inside an outline this is the depth.
+
+    As in `nearest_target`, points that find a side within a cell are done and the others try cells twice as wide; a
+    side meets only points near the cells that it passes. NULL without sides and for points with a missing coordinate.
+    """
+    usable = (F.greatest(F.abs("x"), F.abs("y")) < float("inf")) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    todo = points.select(F.col(key).alias("a"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(usable)
+    sides = checkpointed(sides.select(*[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]))
+    found, size = None, step
+    while not sides.isEmpty():
+        near = _spread(_side_cells(sides, size)).distinct()
+        d = point_segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+        hit = checkpointed(_cells(todo, size).join(near, ["_cx", "_cy"]).groupBy("a").agg(F.min(d).alias("dist")).where(F.col("dist") <= size))
+        found = hit if found is None else found.unionByName(hit)
+        todo = checkpointed(todo.join(hit, "a", "left_anti"))
+        if todo.isEmpty():
+            break
+        size *= 2
+    if found is None:
+        return points.select(key, F.lit(None).cast("double").alias("dist"))
+    return points.select(key).join(found, F.col(key) == F.col("a"), "left").select(key, "dist")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripspark.operators import clean, spatial
@@ -109,11 +110,27 @@ _POLY = {
 )
 def polygon_area_centroid(t):
     """Area and centroid of the polygons spanned by each label's points, ordered by angle."""
-    from pyspark.sql import Window
+    return spatial.polygon_measures(label_polygons(t))
 
+
+def label_polygons(t):
+    """The points of each label as a ring, ordered by angle around their mean."""
     p = points(t).withColumn("zone", F.col("label"))
     mid = p.groupBy("zone").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    p = p.join(mid, "zone")
     order = Window.partitionBy("zone").orderBy(F.atan2(F.col("y") - F.col("my"), F.col("x") - F.col("mx")), "vec_id")
-    ordered = p.withColumn("ord", F.row_number().over(order)).withColumn("part", F.lit(0))
-    return spatial.polygon_measures(ordered)
+    return p.join(mid, "zone").withColumn("ord", F.row_number().over(order)).withColumn("part", F.lit(0))
+
+
+@query(
+    "outline_depth",
+    """SELECT vec_id, min(sqrt(pow(px - ax - along * dx, 2) + pow(py - ay - along * dy, 2))) AS dist FROM (
+         SELECT vec_id, p.x AS px, p.y AS py, s.x AS ax, s.y AS ay, nx - s.x AS dx, ny - s.y AS dy,
+           least(greatest(coalesce(((p.x - s.x) * (nx - s.x) + (p.y - s.y) * (ny - s.y)) / nullif(pow(nx - s.x, 2) + pow(ny - s.y, 2), 0), 0), 0), 1) AS along
+         FROM pts AS p CROSS JOIN (SELECT * FROM poly_next WHERE zone = 0) AS s WHERE p.label <> 0) GROUP BY vec_id""",
+    "dist",
+    {**_POINTS, **_POLY},
+)
+def outline_depth(t):
+    """Distance of every point of the other labels to the outline of the treated one."""
+    ring = label_polygons(t).where("zone = 0")
+    return spatial.distance_to_sides(points(t).where("label <> 0"), "vec_id", spatial.outline(ring), LIMIT)
