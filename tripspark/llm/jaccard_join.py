@@ -33,7 +33,7 @@ FREQUENT = 2  # sets of a list from which a shingle may count as frequent
 MOST_FREQUENT = 1_000_000  # frequent shingles that the order knows (16 MB)
 PARITIES = 1024  # bits in which the parities of a set's shingles are kept
 CROWDED = 32  # sets of a list from which it is linked to hubs first
-ROUNDS = 5  # rounds in which a set of an open list is verified against its nearest only
+ROUNDS = 1  # rounds in which a set of an open list is verified against its nearest only
 PART_BYTES = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
