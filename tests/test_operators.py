@@ -168,14 +168,14 @@ def test_stream_drops_late_rows_and_keeps_open_windows(spark):
     def batch(*minutes):
         return spark.createDataFrame([(t0 + dt.timedelta(minutes=m), "a", 1.0) for m in minutes], "ts timestamp_ntz, k string, v double")
 
-    land, sink, check = (scratch_path(spark, n) for n in ("land", "sink", "check"))
+    land, sink, check, log = (scratch_path(spark, n) for n in ("land", "sink", "check", "log"))
     first, second = batch(10, 70, 400), batch(20, 410)  # minute 20 is far behind the watermark
     for part in (first, second):
         part.write.mode("append").parquet(land)
         agg = hourly.hourly(hourly.read_stream(spark, land, part.schema, None), "ts", ["k"], [F.count(F.lit(1)).alias("n")])
-        q = hourly.run_available(agg, sink, check)
+        hourly.run_logged(agg, sink, check, log)
     got = {(r.hour, r.n) for r in hourly.flat(spark.read.parquet(sink)).collect()}
     assert got == {(t0, 1), (t0 + dt.timedelta(hours=1), 1)}
-    assert hourly.progress(spark, q).agg(F.sum("dropped_late")).first()[0] == 1
+    assert hourly.read_progress(spark, log).agg(F.sum("dropped_late")).first()[0] == 1
     twin = hourly.closed_windows(hourly.hourly(first, "ts", ["k"], [F.count(F.lit(1)).alias("n")]), first, "ts")
     assert {(r.hour, r.n) for r in hourly.flat(twin).collect()} == got
