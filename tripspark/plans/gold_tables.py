@@ -23,7 +23,7 @@ _COUNTS = (
 @query("standardize_union", f"SELECT {_TRIP_COLS} FROM trips", _MONEY)
 def standardize_union(t):
     """Two raw schemas in one common schema."""
-    return t.two_sources
+    return t.two_sources_from_files
 
 
 @query("quality_flags", f"SELECT service, pu, dl, miles, time_s, fare, src_month, {_FLAGS} FROM flagged", "miles:4 time_s:4 fare:4")

@@ -136,7 +136,7 @@ def incremental_partitions(t):
     """Three runs: the early months, everything, and nothing left to do."""
     table, log = scratch_path(t.spark, "inc"), scratch_path(t.spark, "inc-log")
     keys = ["service", "src_month"]
-    rows = t.stored_silver.select(*keys, "fare")
+    rows = t.trips.select(*keys, "fare")
 
     def summarise(df):
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("fare").alias("fare"))
@@ -296,7 +296,7 @@ def cached_reuse(t):
     """Several queries over one selected table that is kept in memory."""
     from pyspark import StorageLevel
 
-    month = t.stored_silver.persist(StorageLevel.MEMORY_AND_DISK)
+    month = t.trips.persist(StorageLevel.MEMORY_AND_DISK)
     zones = month.groupBy("service", "d", "pu").agg(F.sum("fare").alias("fare"))
     hours = month.groupBy("service", "d", "hr", "pu_grp", "do_grp").agg(F.sum("fare").alias("fare"))
     rows = [(name, *g.agg(F.count(F.lit(1)), F.sum("fare")).first()) for name, g in (("zones", zones), ("hours", hours))]
