@@ -6,6 +6,7 @@ aggregate, so nothing row-sized leaves the executors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
@@ -155,7 +156,8 @@ def crump_threshold(df: DataFrame, e: str) -> float:
         if top <= 2.0 * mean:
             break
         top = h.where(F.col("h") <= 2.0 * mean).agg(F.max("h")).first()[0]
-    return 0.0 if top is None else 0.5 - max(0.25 - 1.0 / top, 0.0) ** 0.5
+    # the root itself, not a power: a last digit decides whether the rows that set the point are kept
+    return 0.0 if top is None else 0.5 - math.sqrt(max(0.25 - 1.0 / top, 0.0))
 
 
 def trimmed(df: DataFrame, y: str, d: str, e: str, mu1: str, mu0: str, cluster: str, low: float, label: str) -> DataFrame:
@@ -176,11 +178,14 @@ def ato(df: DataFrame, y: str, d: str, e: str, mu1: str, mu0: str, cluster: str,
 
 
 def _clustered(rows: DataFrame, label: str) -> DataFrame:
-    per = rows.groupBy("c").agg(F.sum("phi").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("phi") * F.col("phi")).alias("q"), F.sum("d").alias("t"))
-    mean = rows.agg(F.avg("phi")).scalar()
-    dev = F.col("s") - F.col("n") * mean
-    return per.agg(
-        F.sum("n").alias("n_used"), F.sum("t").cast("long").alias("n_treated"), (F.sum("s") / F.sum("n")).alias("estimate"),
-        (F.sqrt((F.sum("q") - F.sum("n") * mean * mean) / (F.sum("n") - 1)) / F.sqrt(F.sum("n"))).alias("se_iid"),
-        (F.sqrt(F.sum(dev * dev)) / F.sum("n")).alias("se_cluster"),
-    ).select(F.lit(label).alias("rule"), "*")
+    """Mean with plain and clustered errors; without rows the count is 0 and the rest NULL."""
+    per = rows.groupBy("c").agg(F.sum("phi").alias("s"), F.count(F.lit(1)).alias("n"))
+    dev = F.col("s") - F.col("n") * rows.agg(F.avg("phi")).scalar()
+    spread = per.agg(F.sqrt(F.sum(dev * dev))).scalar()
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_used"), F.sum("d").cast("long").alias("n_treated"), F.avg("phi").alias("estimate"),
+        F.stddev_samp("phi").alias("sd"),
+    ).select(
+        F.lit(label).alias("rule"), "n_used", "n_treated", "estimate",
+        F.try_divide("sd", F.sqrt("n_used")).alias("se_iid"), F.try_divide(spread, F.col("n_used")).alias("se_cluster"),
+    )
