@@ -15,7 +15,8 @@ def k_anonymity(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
     Everything after the class counts works on the histogram of class sizes, which is tiny.
     """
-    hist = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    classes = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))  # a column of the set may be called k
+    hist = classes.groupBy(F.col("_rows").alias("k")).agg(F.count(F.lit(1)).alias("c"))
     return _risk(hist.withColumn("qi", F.lit(label)), ["qi"])
 
 
