@@ -82,18 +82,20 @@ def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int =
     return picked.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
 
 
+def _packed(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(feature, split, children, path, depth) of one tree; a leaf leads to itself, so all rows take ``depth`` equal steps."""
+    at = np.arange(len(nodes), dtype=np.intp)
+    feature = nodes["feature"].to_numpy()
+    leaf = feature < 0
+    child = np.stack([np.where(leaf, at, nodes[side].to_numpy()) for side in ("left", "right")], axis=1)
+    path = nodes["depth"].to_numpy() + mean_path(nodes["size"].to_numpy())
+    return np.where(leaf, 0, feature).astype(np.intp), nodes["split"].to_numpy(), child.ravel().astype(np.intp), path, int(nodes["depth"].max())
+
+
 def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str], kept: Sequence[str]) -> DataFrame:
     """Anomaly score of every row, near 1 for isolated rows: (*kept, score)."""
     by_tree = [g.sort_values("node") for _, g in forest.groupby("tree")]
-    packed = [
-        (
-            g["feature"].to_numpy(),
-            g["split"].to_numpy(),
-            np.stack([g["left"].to_numpy(), g["right"].to_numpy()], axis=1),
-            g["depth"].to_numpy() + mean_path(g["size"].to_numpy()),
-        )
-        for g in by_tree
-    ]
+    packed = [_packed(g) for g in by_tree]
     sizes = [int(g["size"].iloc[0]) for g in by_tree]
     scale = float(np.mean(mean_path(np.array(sizes, dtype=float)))) if sizes else 1.0
     shared = df.sparkSession.sparkContext.broadcast(packed)
@@ -101,19 +103,16 @@ def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str], kept: Se
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, split, child, path in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                for _ in range(64):
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_right = (x[rows[inner], f[inner]] >= split[at[inner]]).astype(int)
-                    at[inner] = child[at[inner], go_right]
-                total += path[at]
+            n = len(pdf)
+            x = pdf[names].to_numpy(dtype=float).ravel(order="F")  # feature by feature
+            total = np.zeros(n)
+            rows = np.arange(n)
+            for feature, split, child, path, depth in shared.value:
+                at = np.zeros(n, dtype=np.intp)
+                for _ in range(depth):
+                    value = x.take(feature.take(at) * n + rows)
+                    at = child.take(2 * at + (value >= split.take(at)))
+                total += path.take(at)
             out = pdf[keys].copy()
             out["score"] = np.power(2.0, -total / len(shared.value) / scale)
             yield out
