@@ -60,6 +60,30 @@ def rings(nodes: DataFrame, edges: DataFrame, key: str, is_seed: Column, max_rin
     return nodes.select(key).join(reached, F.col(key) == F.col("v"), "left").select(key, "ring")
 
 
+def rings_within(points: DataFrame, key: str, limit: float, is_seed: Column, max_ring: int = 5) -> DataFrame:
+    """`rings` over the pairs closer than ``limit``, without a table of them: crowded points have very many pairs.
+
+    In each round the points still open look for one point of the last ring in their own and the eight cells around:
+    a semi-join on the cell, so points are moved and pairs are not.
+    """
+    x, y = F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")
+    grid = checkpointed(_cells(points.select(F.col(key).alias("v"), x, y, is_seed.alias("seed")), limit))
+    reached = checkpointed(grid.where("seed").select("v", F.lit(0).alias("ring")).distinct())
+    for step in range(1, max_ring + 1):
+        last = grid.join(reached.where(F.col("ring") == step - 1).select("v"), "v", "left_semi")
+        near = _spread(last.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_cx").alias("_cx"), F.col("_cy").alias("_cy")))
+        near = near.select("ax", "ay", F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"))
+        left = grid.join(reached.select("v"), "v", "left_anti")
+        met = (F.col("_cx") == F.col("_nx")) & (F.col("_cy") == F.col("_ny"))
+        close = F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)) < limit
+        nxt = checkpointed(left.join(near, met & close, "left_semi").select("v").distinct().withColumn("ring", F.lit(step)))
+        if nxt.isEmpty():
+            break
+        reached = reached.unionByName(nxt)
+    found = reached.withColumnRenamed("v", "_v")
+    return points.select(key).join(found, F.col(key) == F.col("_v"), "left").select(key, "ring")
+
+
 def polygon_measures(vertices: DataFrame, unit: str = "zone", part: str = "part", order: str = "ord", scale: float = 1.0) -> DataFrame:
     """Area and centroid of each unit's polygons from ordered vertices (shoelace), in scaled units."""
     ring = Window.partitionBy(unit, part)

@@ -68,7 +68,7 @@ for _k in range(1, 6):
 def adjacency_rings(t):
     """Steps from the seed set along adjacency edges, up to five."""
     p = points(t)
-    return spatial.rings(p, spatial.adjacency(p, "vec_id", LIMIT), "vec_id", F.col("label") == 0)
+    return spatial.rings_within(p, "vec_id", LIMIT, F.col("label") == 0)
 
 
 @query("distance_to_set", "SELECT vec_id, dist FROM pt_dist", "dist", _POINTS)
